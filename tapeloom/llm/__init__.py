@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("packing", "mixing")
+MODULES = ("packing", "mixing", "spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
