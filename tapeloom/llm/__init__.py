@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("mojibake", "lookalike", "packing", "mixing", "spans")
+MODULES = ("mojibake", "lookalike", "canonical", "packing", "mixing", "spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
