@@ -37,6 +37,8 @@ LEAST = 200
 SHARD_CHARS = 1_000_000
 #: Characters fingerprinted at once, about.
 CHUNK = 1 << 18
+#: Keys (16 bytes each, about) that are broadcast at most; more are shuffled.
+MOST_KEYS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -145,6 +147,12 @@ def _search(shard: pd.DataFrame, least: int) -> pd.DataFrame:
     return pd.DataFrame({"key_a": owners[owner[a]], "from_a": begin[a] + p, "key_b": owners[owner[b]], "from_b": begin[b] + q, "length": n})
 
 
+def by_keys(df: DataFrame, keys: DataFrame, how: str, most: int = MOST_KEYS) -> DataFrame:
+    """Semi or anti join on ``key``: the keys are broadcast if they were counted and are few, else both sides are shuffled."""
+    few = keys.limit(most + 1).count() <= most
+    return df.join(F.broadcast(keys) if few else keys.hint("shuffle_merge"), "key", how)
+
+
 def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame]:
     """The maximal shared runs of at least ``least`` characters, and the classes of equal texts.
 
@@ -158,11 +166,13 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = cut(rows.mapInPandas(lambda it: _fingerprints(it, least), f"key {kind}, class binary, n_chars long, fps array<long>, at array<int>"))
     reps = marks.groupBy("class").agg(F.min("key").alias("rep"))
-    classes = marks.select("key", "class", "n_chars").join(reps, "class").select("key", F.col("rep").alias("class_key"), "n_chars")
-    each = marks.select("key", "class", F.explode(F.arrays_zip("fps", "at")).alias("m")).select("key", "class", F.col("m.fps").alias("fp"), F.col("m.at").alias("at"))
-    shared = each.groupBy("fp").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("fp")
-    hits = each.join(shared, "fp").join(reps, (F.col("key") == F.col("rep")) & (each["class"] == reps["class"]), "left_semi").groupBy("key").agg(F.collect_list(F.struct("at", "fp")).alias("hits"))
-    regions = cut(rows.join(hits, "key").mapInPandas(lambda it: _regions(it, least), f"key {kind}, begin long, text string, fps array<long>"))
+    classes = cut(marks.select("key", "class", "n_chars").join(reps, "class").select("key", F.col("rep").alias("class_key"), "n_chars"))
+    first = by_keys(marks.select("key", "fps", "at"), classes.filter("key <> class_key").select("key"), "left_anti")
+    each = first.select("key", F.explode(F.arrays_zip("fps", "at")).alias("m")).select("key", F.col("m.fps").alias("fp"), F.col("m.at").alias("at"))
+    shared = each.groupBy("fp").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("fp")
+    hits = cut(each.join(shared, "fp").groupBy("key").agg(F.collect_list(F.struct("at", "fp")).alias("hits")))
+    some = by_keys(rows, hits.select("key"), "left_semi")
+    regions = cut(some.join(hits, "key").mapInPandas(lambda it: _regions(it, least), f"key {kind}, begin long, text string, fps array<long>"))
     # Labels.
     sizes = regions.select("key", "begin", "fps", F.array_min("fps").alias("least_fp"), F.length("text").cast("long").alias("chars"))
     spots = sizes.select("key", "begin", "least_fp", "chars", F.explode("fps").alias("fp"))
