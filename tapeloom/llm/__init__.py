@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("mojibake", "names", "lookalike", "canonical", "packing", "mixing", "spans")
+MODULES = ("mojibake", "names", "lookalike", "canonical", "linkage", "packing", "mixing", "spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
