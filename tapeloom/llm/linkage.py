@@ -33,8 +33,8 @@ FUNCTIONS = ("night", "part_of_date", "venue_entry", "venue_words", "city", "reg
 DEPENDENT = 0.2
 #: Pseudo-counts of each vote.
 SMOOTH = 1.0
-#: Confidence from which a candidate is a match.
-ENOUGH = 0.6
+#: Confidence above which a candidate is a match: two equal claims on a release are both too weak.
+ENOUGH = 0.5
 _DATE = r"(?<!\d)(\d{4}-\d\d-\d\d|\d{4}\.\d\d\.\d\d|\d\d-\d\d-\d\d)(?!\d)"
 
 
@@ -48,7 +48,7 @@ class LabelModel:
     def _codes(self, votes: np.ndarray) -> list[np.ndarray]:
         return [sum((votes[:, j] + 1) * 3**k for k, j in enumerate(f)) for f in self.factors]
 
-    def _em(self, votes: np.ndarray, counts: np.ndarray, post: np.ndarray) -> np.ndarray:
+    def _em(self, votes: np.ndarray, counts: np.ndarray, post: np.ndarray, never: np.ndarray) -> np.ndarray:
         codes = self._codes(votes)
         for _ in range(self.rounds):
             self.prior = float(np.clip((counts * post).sum() / counts.sum(), 1e-4, 1 - 1e-4))
@@ -64,18 +64,19 @@ class LabelModel:
                 ratio = np.log(yes / np.bincount(silent, yes)[silent]) - np.log(no / np.bincount(silent, no)[silent])
                 self.tables.append(ratio)
                 score += ratio[c]
-            new = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
+            new = np.where(never, 0.0, 1 / (1 + np.exp(-np.clip(score, -40, 40))))
             if np.abs(new - post).max() < 1e-7:
                 return new
             post = new
         return post
 
-    def fit(self, votes: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Posterior of each pattern. ``weight`` tells which functions the first guess is taken from."""
+    def fit(self, votes: np.ndarray, counts: np.ndarray, weight: np.ndarray, never: np.ndarray) -> np.ndarray:
+        """Posterior of each pattern. ``weight`` tells which functions the first guess is taken from; patterns in
+        ``never`` are no match by definition, and teach the model what such candidates look like."""
         m = votes.shape[1]
         self.factors = [(j,) for j in range(m)]
         post = 1 / (1 + np.exp(-(votes * weight).sum(axis=1).astype(float)))
-        post = self._em(votes, counts, post)
+        post = self._em(votes, counts, post, never)
         # What the classes don't explain: correlation of the votes within the classes.
         rest = np.zeros((m, m))
         for p in (post, 1 - post):
@@ -95,7 +96,7 @@ class LabelModel:
                 free -= {a, b}
         if joined:
             self.factors = [*joined, *((j,) for j in sorted(free))]
-            post = self._em(votes, counts, post)
+            post = self._em(votes, counts, post, never)
         return post
 
 
@@ -255,8 +256,10 @@ def link(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("region").alias("r_region"), F.col("venue_ref").alias("r_venue_ref"), F.col("city_ref").alias("r_city_ref"), _folded("title").alias("r_title"),
     )
     sp, rp = cut(sp), cut(rp)
-    # Blocks: the act's night; for other dates the act's month, or its place.
-    sb = sp.select("*", F.explode(F.array(F.concat_ws("|", F.lit("n"), "act", "s_night"), F.concat_ws("|", F.lit("m"), "act", F.substring("s_night", 1, 7)), F.concat_ws("|", F.lit("v"), "act", F.nullif("s_venue_ref", F.lit(""))), F.concat_ws("|", F.lit("c"), "act", F.nullif("s_city", F.lit(""))))).alias("block"))
+    # Blocks: the act's night, and the nights beside it, from which the model learns what no match looks like; for
+    # incomplete dates the act's month, or its place.
+    around = [F.concat_ws("|", F.lit("n"), "act", F.coalesce(F.date_format(F.date_add(F.try_to_date("s_night"), k), "yyyy-MM-dd"), "s_night")) for k in (-1, 0, 1)]
+    sb = sp.select("*", F.explode(F.array(*around, F.concat_ws("|", F.lit("m"), "act", F.substring("s_night", 1, 7)), F.concat_ws("|", F.lit("v"), "act", F.nullif("s_venue_ref", F.lit(""))), F.concat_ws("|", F.lit("c"), "act", F.nullif("s_city", F.lit(""))))).alias("block"))
     known = F.col("r_night").isNotNull()
     rb = rp.select(
         "*",
@@ -287,7 +290,8 @@ def link(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], "show_id long, rel_id long, confidence double")
     votes = np.array([["-0+".index(c) - 1 for c in p["pattern"]] for p in patterns])
     counts = np.array([p["count"] for p in patterns], float)
-    post = LabelModel().fit(votes, counts, np.array([1, 1, 2, 1, 1, 0.5, 1, 0, 0]))
+    # Another night is another performance, whatever else agrees.
+    post = LabelModel().fit(votes, counts, np.array([1, 1, 2, 1, 1, 0.5, 1, 0, 0]), votes[:, FUNCTIONS.index("night")] < 0)
     learned = spark.createDataFrame([(p["pattern"], float(c)) for p, c in zip(patterns, post)], "pattern string, posterior double")
     scored = cut(judged.join(F.broadcast(learned), "pattern"))
     # A release is of one performance: what speaks for several is shared out between their nights and places.
@@ -303,7 +307,7 @@ def link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shows and releases of one performance."""
-    return link(spark, sf_dir).filter(F.col("confidence") >= ENOUGH).select("show_id", "rel_id")
+    return link(spark, sf_dir).filter(F.col("confidence") > ENOUGH).select("show_id", "rel_id")
 
 
 def p6_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
