@@ -188,11 +188,14 @@ def _release_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = lambda k: F.regexp_extract(d, r"^(\d{1,2})/(\d{1,2})/(\d{2}|\d{4})$", k)
     year = F.when(F.length(us(3)) == 2, F.concat(F.when(us(3) > "40", "19").otherwise("20"), us(3))).otherwise(us(3))
     night = F.when(d.rlike(r"^\d{4}-\d\d-\d\d"), F.substring(d, 1, 10)).when(us(1) != "", F.concat_ws("-", year, F.lpad(us(1), 2, "0"), F.lpad(us(2), 2, "0")))
+    # "1995-05-00" and "1995-00-00" say no night: only a day of the calendar does.
+    day = lambda c: F.date_format(F.try_to_date(c), "yyyy-MM-dd")
     told = F.coalesce("title", F.lit(""))
     said = F.regexp_extract(told, r"(?<!\d)(\d{4}-\d\d-\d\d)(?!\d)", 1)
     in_id = F.regexp_extract(F.coalesce("release_id", F.lit("")), r"^[a-z]+(\d{4}-\d\d-\d\d)", 1)
-    night = F.coalesce(night, F.nullif(said, F.lit("")), F.nullif(in_id, F.lit("")))
-    part = F.when(d.rlike(r"^\d{4}-\d\d$"), d).when(d.rlike(r"^\d{4}$"), d).otherwise(F.nullif(F.regexp_extract(told, r"\((\d{4})\)", 1), F.lit("")))
+    night = F.coalesce(day(night), day(F.nullif(said, F.lit(""))), day(F.nullif(in_id, F.lit(""))))
+    known_part = F.regexp_extract(d, r"^(\d{4}(?:-(?:0[1-9]|1[0-2]))?)(?:$|-00)", 1)
+    part = F.when(known_part != "", known_part).otherwise(F.nullif(F.regexp_extract(told, r"\((\d{4})\)", 1), F.lit("")))
     place = F.split(F.trim(F.coalesce("location", F.lit(""))), r"\s*,\s*")
     return r.select(
         F.col("id").alias("rel_id"),
