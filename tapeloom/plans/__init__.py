@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("problems",)
-FLAGSHIP = "p1_found"
+MODULES = ("problems", "decisions", "filters", "joins", "aggregates", "windows", "scalars", "inputs", "streams", "mutations")
+FLAGSHIP = "merge_trust_order"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,3 +25,13 @@ def oracle_sql() -> dict[str, str]:
     for name in MODULES:
         found |= getattr(importlib.import_module(f"{__name__}.{name}"), "ORACLE", {})
     return found
+
+
+def covered() -> dict[str, list[str]]:
+    """Inventory ids and the queries that cover them."""
+    out: dict[str, list[str]] = {}
+    for name in MODULES:
+        for query, ids in getattr(importlib.import_module(f"{__name__}.{name}"), "COVERS", {}).items():
+            for i in ids:
+                out.setdefault(i, []).append(query)
+    return out

@@ -185,7 +185,7 @@ def learned_spellings(spark: SparkSession, d: str) -> DataFrame:
     return rules.filter(fuzzy.names_related(F.col("right"), F.col("head"))).select("wrong", "right")
 
 
-@query("R-26", sql="""with s as (select distinct id, meta from shows where json_valid(meta)), p as (select id, json_array_length(meta->'$.parts') as n from s where json_type(meta->'$.parts') = 'ARRAY') select id as show_id, n as parts from p where n > 1""")
+@query("R-26", sql="""with s as (select distinct id, meta from shows where json_valid(meta)), p as (select id, json_array_length(meta->'$.parts') as n from s where json_type(meta->'$.parts') = 'ARRAY') select id as show_id, cast(n as bigint) as parts from p where n > 1""")
 def shows_of_parts(spark: SparkSession, d: str) -> DataFrame:
     """Shows whose parts are stored as a list, and how many."""
     from tapeloom.operators import nested

@@ -42,7 +42,7 @@ def keyed_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("M-6", sql="""with n as (select c_custkey as id, 1 as rev, c_mktsegment as body from customer), u as (select c_custkey as id, 1 + c_custkey % 2 as rev, 'edited' as body from customer where c_custkey % 3 = 0)
- select n.id, case when u.rev = n.rev then n.rev + 1 else n.rev end as rev, case when u.rev = n.rev then u.body else n.body end as body, u.id is not null and u.rev <> n.rev as conflict from n left join u on u.id = n.id""")
+ select n.id, cast(case when u.rev = n.rev then n.rev + 1 else n.rev end as bigint) as rev, case when u.rev = n.rev then u.body else n.body end as body, u.id is not null and u.rev <> n.rev as conflict from n left join u on u.id = n.id""")
 def optimistic_update(spark: SparkSession, d: str) -> DataFrame:
     """Edits that name the revision they saw: others are conflicts and change nothing."""
     notes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).cast("long").alias("rev"), F.col("c_mktsegment").alias("body"))

@@ -36,4 +36,25 @@ def p1_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.unionByName(parts).join(parents, F.col("parent_sk") == F.col("sk"), "left_anti")
 
 
+_NAMED = "len(list_filter(json_keys(v), lambda k: not regexp_matches(k, '^[0-9]{1,9}$'))) = 0"
+
+
+def _items_sql(source: str) -> str:
+    """The entries of the lists in ``source`` (id, part_no, v), whatever their stored form."""
+    read = f"(select id, part_no, case when json_type(w) = 'VARCHAR' and json_valid(w->>'$') then cast(w->>'$' as json) else w end as v from {source})"
+    return f"""(select id, part_no, cast(i + 1 as bigint) as ord, json_extract(v, '$[' || i || ']') as item from (select id, part_no, v, unnest(range(cast(json_array_length(v) as bigint))) as i from {read} where json_type(v) = 'ARRAY')
+ union all select id, part_no, cast(k as bigint), json_extract(v, '$."' || k || '"') from (select id, part_no, v, unnest(json_keys(v)) as k from {read} where json_type(v) = 'OBJECT' and {_NAMED})
+ union all select id, part_no, cast(1 as bigint), v from {read} where json_type(v) = 'OBJECT' and not ({_NAMED}))"""
+
+
+_PARTS_SQL = _items_sql("(select id, 0 as part_no, meta->'$.parts' as w from s)")
+P1_SQL = f"""with s as (select distinct id, meta from shows where json_valid(meta) and json_type(meta) = 'OBJECT'), p as (select * from {_PARTS_SQL}),
+ l as (select id, cast(0 as bigint) as part_no, meta->'$.tracks' as w from s union all select id, ord, item->'$.tracks' from p where json_type(item) = 'OBJECT')
+ select id as show_id, part_no, ord as track_no from {_items_sql("l")} where json_type(item) in ('OBJECT', 'VARCHAR')"""
+_SCALARS = ", ".join(f"case when json_type(meta->'$.{f}') not in ('OBJECT', 'ARRAY', 'NULL') then meta->>'$.{f}' end as {f}" for f in shows.SHOW_FIELDS)
+ORACLE = {
+    "p1_found": P1_SQL,
+    "p1_shows": f"select id as show_id, cast(id as varchar) as sk, {_SCALARS} from (select distinct id, folder_name, meta from shows where json_valid(meta) and json_type(meta) = 'OBJECT')",
+    "p1_orphans": "select 'x' as parent_sk, 'x' as level where false",
+}
 QUERIES = {q.__name__: q for q in (p1_found, p1_shows, p1_parts, p1_tracks, p1_orphans)}
