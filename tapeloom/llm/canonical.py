@@ -199,7 +199,7 @@ def map_values(values: DataFrame, entries: DataFrame, codes: bool = False, most:
     cols = [F.col(c).cast("string").alias(c) for c in ("ref", "name", "place", "region")] + [F.col("aliases") if has_aliases else F.lit(None).cast("array<string>").alias("aliases")]
     cols.append((F.col("weight") if "weight" in entries.columns else F.lit(0)).cast("double").alias("weight"))
     listed = entries.filter("name is not null and ref is not null").select(*cols)
-    distinct = values.select("value", "place", "region").distinct()
+    distinct = values.filter("value is not null").select("value", "place", "region").distinct()
     schema = "value string, place string, region string, ref string, similarity double"
 
     def build(pdf: pd.DataFrame) -> Lexicon:
@@ -208,8 +208,9 @@ def map_values(values: DataFrame, entries: DataFrame, codes: bool = False, most:
         return Lexicon([tuple(x if isinstance(x, str) else "" for x in r) for r in rows], {r: list(a) for r, a in zip(pdf["ref"], pdf["aliases"]) if a is not None}, codes)
 
     def run(lexicon: Lexicon, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [lexicon.resolve(v, p or "", r or "") for v, p, r in zip(pdf["value"], pdf["place"], pdf["region"])]
-        return pdf[["value", "place", "region"]].assign(ref=[g[0] for g in got], similarity=[g[1] for g in got])
+        got = [lexicon.resolve(v, p if isinstance(p, str) else "", r if isinstance(r, str) else "") for v, p, r in zip(pdf["value"], pdf["place"], pdf["region"])]
+        same = {c: pd.Series([x if isinstance(x, str) else None for x in pdf[c]], dtype=object) for c in ("value", "place", "region")}
+        return pd.DataFrame(same | {"ref": pd.Series([g[0] for g in got], dtype=object), "similarity": pd.Series([g[1] for g in got], dtype="float64")})
 
     if n <= most:
         sent = spark.sparkContext.broadcast(listed.toPandas())

@@ -74,30 +74,35 @@ class LabelModel:
         """Posterior of each pattern. ``weight`` tells which functions the first guess is taken from; patterns in
         ``never`` are no match by definition, and teach the model what such candidates look like."""
         m = votes.shape[1]
-        self.factors = [(j,) for j in range(m)]
-        post = 1 / (1 + np.exp(-(votes * weight).sum(axis=1).astype(float)))
-        post = self._em(votes, counts, post, never)
-        # What the classes don't explain: correlation of the votes within the classes.
-        rest = np.zeros((m, m))
+        joined: list[tuple[int, int]] = []
+        while True:
+            free = [j for j in range(m) if not any(j in p for p in joined)]
+            self.factors = [*joined, *((j,) for j in free)]
+            # Two dependent functions say one thing twice: each has half the weight in the first guess.
+            half = np.array([1.0 if j in free else 0.5 for j in range(m)])
+            post = self._em(votes, counts, 1 / (1 + np.exp(-(votes * weight * half).sum(axis=1).astype(float))), never)
+            rest = np.abs(self._unexplained(votes, counts, post))
+            rest[[j for j in range(m) if j not in free]] = 0
+            rest[:, [j for j in range(m) if j not in free]] = 0
+            a, b = divmod(int(rest.argmax()), m)
+            # One pair at a time: what two functions share can make others look dependent too.
+            # Three factors at least must remain, or the classes can't be told from the votes.
+            if rest[a, b] < DEPENDENT or len(self.factors) <= 3:
+                return post
+            joined.append((a, b))
+
+    @staticmethod
+    def _unexplained(votes: np.ndarray, counts: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """Correlations of the votes within the classes."""
+        rest = np.zeros((votes.shape[1],) * 2)
         for p in (post, 1 - post):
             w = counts * p
             mean = (votes * w[:, None]).sum(axis=0) / max(w.sum(), 1e-9)
             rest += ((votes - mean) * w[:, None]).T @ (votes - mean)
         sd = np.sqrt(np.clip(np.diag(rest), 1e-9, None))
-        self.correlation = rest / sd[:, None] / sd[None, :]
-        np.fill_diagonal(self.correlation, 0)
-        free, joined = set(range(m)), []
-        for flat in np.argsort(-np.abs(self.correlation), axis=None):
-            a, b = divmod(int(flat), m)
-            if abs(self.correlation[a, b]) < DEPENDENT:
-                break
-            if a in free and b in free:
-                joined.append((a, b))
-                free -= {a, b}
-        if joined:
-            self.factors = [*joined, *((j,) for j in sorted(free))]
-            post = self._em(votes, counts, post, never)
-        return post
+        rest = rest / sd[:, None] / sd[None, :]
+        np.fill_diagonal(rest, 0)
+        return rest
 
 
 def likeness(a: str, b: str) -> float:

@@ -134,26 +134,27 @@ def inspect(text: str) -> tuple[bool, str]:
 
 
 def changed(df: DataFrame, text: str) -> DataFrame:
-    """Rows whose text needed it, with ``form``. ASCII and null texts never leave the JVM."""
+    """Rows whose text needed it, with ``form`` (a column of that name is replaced). ASCII and null texts never leave the JVM."""
+    df = df.drop("form")
 
     @F.pandas_udf("hit boolean, form string")
     def judge(texts: pd.Series) -> pd.DataFrame:
         seen: dict[str, tuple] = {}
         return pd.DataFrame([seen[t] if t in seen else seen.setdefault(t, inspect(t)) for t in texts], columns=["hit", "form"])
 
-    odd = df.filter(F.col(text).rlike(r"[^\x00-\x7f]")).withColumn("d", judge(text))
-    return odd.filter("d.hit").select(*df.columns, F.col("d.form").alias("form"))
+    odd = df.filter(F.col(text).rlike(r"[^\x00-\x7f]")).withColumn("__d", judge(text))
+    return odd.filter("__d.hit").select(*df.columns, F.col("__d.form").alias("form"))
 
 
 def in_form(df: DataFrame, text: str, into: str = "form") -> DataFrame:
-    """Adds every text's form."""
+    """Adds every text's form; null for null. ASCII texts never leave the JVM."""
 
     @F.pandas_udf("string")
     def form(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else inspect(t)[1])
 
-    odd = df.filter(F.col(text).rlike(r"[^\x00-\x7f]")).withColumn(into, form(text))
-    return odd.unionByName(df.filter(F.coalesce(~F.col(text).rlike(r"[^\x00-\x7f]"), F.lit(True))).withColumn(into, F.col(text)))
+    odd = F.coalesce(F.col(text).rlike(r"[^\x00-\x7f]"), F.lit(False))
+    return df.filter(odd).withColumn(into, form(text)).unionByName(df.filter(~odd).withColumn(into, F.col(text)))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,4 +175,9 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed(texts(spark, sf_dir), "text").distinct()
 
 
-QUERIES = {q.__name__: q for q in (p4_found, p4_forms)}
+def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in its form, changed or not."""
+    return in_form(texts(spark, sf_dir).distinct(), "text")
+
+
+QUERIES = {q.__name__: q for q in (p4_found, p4_forms, p4_texts)}

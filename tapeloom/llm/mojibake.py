@@ -89,8 +89,8 @@ _SCRIPT = {"l": "L", "U": "L", "a": "L", "A": "L", "e": "L", "E": "L", "g": "G",
 _WORD = re.compile(r"[^-]+")
 
 
-def cost(text: str) -> float:
-    """How garbled a text looks; 0 for ordinary text in any language."""
+def cost(text: str, strange_from: int = 4) -> float:
+    """How garbled a text looks; 0 for ordinary text in any language. Words of accented letters only count from that length on."""
     kinds = "".join(map(_kind, text))
     total = 4.0 * kinds.count("x") + 2.0 * kinds.count("b")
     for m in _WORD.finditer(kinds):
@@ -109,7 +109,7 @@ def cost(text: str) -> float:
                 elif after == "q" and (k not in "lU" or i + 2 < len(w) and w[i + 2] not in "lq"):
                     total += 0.25
         strange = sum(k in "aA" for k in w)
-        if letters >= 2 and strange == letters:
+        if letters >= strange_from and strange == letters:
             total += letters
         elif strange >= 4 and strange * 3 >= letters * 2:
             total += strange / 2
@@ -126,7 +126,7 @@ def _recode(text: str, read_as: str) -> bytes | None:
 
 def step(text: str) -> str | None:
     """The text with one layer of garbling removed, or None."""
-    now, best, kept = cost(text), None, None
+    now, best, kept = cost(text, 2), None, None
     for wrong in READ_AS:
         raw = _recode(text, wrong)
         if raw is None:
@@ -136,12 +136,14 @@ def step(text: str) -> str | None:
         except UnicodeDecodeError:
             continue
         if len(got) < len(text):
-            c = cost(got)
+            c = cost(got, 2)
             # Windows-1252 shows some bytes of a sequence as ordinary letters, which cost nothing.
             if c < now + 0.5 * (wrong == "cp1252") and (best is None or c < best):
                 best, kept = c, got
     if kept is not None:
         return kept
+    # Single bytes prove nothing: here a word must be longer ("été" and "Äöü" are words) and the result flawless.
+    now = cost(text)
     if now < 2:
         return None
     kinds = "".join(map(_kind, text))
@@ -208,23 +210,9 @@ def diagnose(text: str) -> tuple[bool, str, bool]:
     return got != text or left, got, not left
 
 
-def with_diagnosis(df: DataFrame, text: str) -> DataFrame:
-    """Adds affected, restored and complete. ASCII and null texts never leave the JVM."""
-
-    @F.pandas_udf("affected boolean, restored string, complete boolean")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        seen: dict[str, tuple] = {}
-        rows = [seen[t] if t in seen else seen.setdefault(t, diagnose(t)) for t in texts]
-        return pd.DataFrame(rows, columns=["affected", "restored", "complete"])
-
-    plain = F.col(text).isNull() | ~F.col(text).rlike(r"[^\x00-\x7f]")
-    odd = df.filter(~plain).withColumn("d", judge(text)).select("*", "d.affected", "d.restored", "d.complete").drop("d")
-    same = df.filter(plain).select("*", F.lit(False).alias("affected"), F.col(text).alias("restored"), F.lit(True).alias("complete"))
-    return odd.unionByName(same)
-
-
 def affected(df: DataFrame, text: str) -> DataFrame:
-    """Only the affected rows, with restored and complete."""
+    """Only the affected rows, with restored and complete; columns of those names are replaced. Null texts are never affected, and ASCII ones never leave the JVM."""
+    df = df.drop("restored", "complete")
 
     @F.pandas_udf("affected boolean, restored string, complete boolean")
     def judge(texts: pd.Series) -> pd.DataFrame:
@@ -233,7 +221,7 @@ def affected(df: DataFrame, text: str) -> DataFrame:
         return pd.DataFrame(rows, columns=["affected", "restored", "complete"])
 
     odd = df.filter(F.col(text).rlike(r"[^\x00-\x7f]"))
-    return odd.withColumn("d", judge(text)).filter("d.affected").select(*df.columns, "d.restored", "d.complete")
+    return odd.withColumn("__d", judge(text)).filter("__d.affected").select(*df.columns, "__d.restored", "__d.complete")
 
 
 def _no_place() -> list[Column]:

@@ -17,7 +17,7 @@ texts, gives the runs above the threshold (see :mod:`tapeloom.llm.fmindex`). Wha
 Pairs of classes and the classes' members are the result; :func:`document_pairs` expands both to pairs of
 documents where a list of them is wanted.
 
-Nulls and texts shorter than the threshold share nothing. Repeated rows of a key count once.
+Nulls and texts shorter than the threshold share nothing. Repeated rows of a key count once; a key has one text.
 """
 
 from __future__ import annotations
@@ -166,13 +166,13 @@ def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
     rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = cut(rows.mapInPandas(lambda it: _fingerprints(it, least), f"key {kind}, class binary, n_chars long, fps array<long>, at array<int>"))
     reps = marks.groupBy("class").agg(F.min("key").alias("rep"))
-    classes = cut(marks.select("key", "class", "n_chars").join(reps, "class").select("key", F.col("rep").alias("class_key"), "n_chars"))
+    classes = cut(marks.select("key", "class", "n_chars").join(reps, "class").select("key", F.col("rep").alias("class_key"), "n_chars").distinct())
     first = by_keys(marks.select("key", "fps", "at"), classes.filter("key <> class_key").select("key"), "left_anti")
     each = first.select("key", F.explode(F.arrays_zip("fps", "at")).alias("m")).select("key", F.col("m.fps").alias("fp"), F.col("m.at").alias("at"))
     shared = each.groupBy("fp").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("fp")
     hits = cut(each.join(shared, "fp").groupBy("key").agg(F.collect_list(F.struct("at", "fp")).alias("hits")))
     some = by_keys(rows, hits.select("key"), "left_semi")
-    regions = cut(some.join(hits, "key").mapInPandas(lambda it: _regions(it, least), f"key {kind}, begin long, text string, fps array<long>"))
+    regions = cut(some.join(hits, "key").mapInPandas(lambda it: _regions(it, least), f"key {kind}, begin long, text string, fps array<long>").dropDuplicates(["key", "begin"]))
     # Labels.
     sizes = regions.select("key", "begin", "fps", F.array_min("fps").alias("least_fp"), F.length("text").cast("long").alias("chars"))
     spots = sizes.select("key", "begin", "least_fp", "chars", F.explode("fps").alias("fp"))
