@@ -100,8 +100,8 @@ def plain_punctuation(c: Column) -> Column:
 
 def clean_title(c: Column) -> Column:
     """X-15: a track title without trailing time, segue arrows, footnote marks, and said once where it was said twice."""
-    t = F.regexp_replace(F.trim(c), r"\s*[\[(]?\d{1,2}:\d{2}(?::\d{2})?[\])]?\s*$", "")
-    t = F.regexp_replace(t, r"\s*(?:-+>|>+|→)\s*$", "")
+    t = F.regexp_replace(F.trim(c), r"\s*(?:-+>|>+|→)\s*$", "")
+    t = F.regexp_replace(t, r"\s*[\[(]?\d{1,2}:\d{2}(?::\d{2})?[\])]?\s*$", "")
     t = F.regexp_replace(t, r"[\s*#^+]+$", "")
     return F.regexp_replace(F.trim(t), r"^(.{3,}?)\s+\1$", "$1")
 
@@ -131,7 +131,7 @@ def smart_title(c: Column) -> Column:
 def camel_split(c: Column) -> Column:
     """X-20: a blank before an inner capital but after Mc or Mac; underscores, and dots between words, are blanks."""
     t = F.regexp_replace(c, r"_|(?<=\p{Ll})\.(?=\p{Lu})", " ")
-    return F.regexp_replace(t, r"(?<=\p{Ll})(?<!\bMc)(?<!\bMac)(?=\p{Lu})", " ")
+    return F.regexp_replace(t, r"(?<=\p{Ll})(?<!Mc)(?<!Mac)(?=\p{Lu})", " ")
 
 
 def safe_name(c: Column) -> Column:
@@ -167,7 +167,7 @@ def redact(c: Column) -> Column:
     t = F.regexp_replace(c, r"(?i)(\w+://[^/\s:@]+:)[^@\s/]+@", "$1***@")
     t = F.regexp_replace(t, r"(?i)(authorization\s*:\s*(?:bearer|basic)?\s*)\S+", "$1***")
     t = F.regexp_replace(t, r"(?i)([?&](?:api_?key|token|key|password|secret)=)[^&\s]+", "$1***")
-    return F.regexp_replace(t, r"(?i)(\"?(?:password|passwd|secret|api_?key|token)\"?\s*[:=]\s*\"?)[^\s\",}]+", "$1***")
+    return F.regexp_replace(t, r"(?i)(\"?(?:password|passwd|secret|api_?key|token)\"?\s*[:=]\s*\"?)[^\s\",}&]+", "$1***")
 
 
 def magnet_hash(c: Column) -> Column:
