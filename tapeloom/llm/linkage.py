@@ -216,30 +216,33 @@ def _release_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _resolved(spark: SparkSession, sf_dir: str, side: DataFrame) -> DataFrame:
-    """Adds region (a code), venue_ref and city_ref: the entries meant, '' if none."""
-    states = canonical.mapped_states(spark, sf_dir, side.filter("state <> ''").select("state"))
-    side = cut(side.join(states.withColumnRenamed("code", "region"), "state", "left").fillna("", ["region"]))
+def _resolved(spark: SparkSession, sf_dir: str, typed: DataFrame) -> DataFrame:
+    """Of every distinct venue, city, state as typed (on either side): region (a code), venue_ref, meant_city, city_ref; '' if none."""
+    states = canonical.mapped_states(spark, sf_dir, typed.filter("state <> ''").select("state")).withColumnRenamed("code", "region")
+    typed = cut(typed.distinct().join(states, "state", "left").fillna("", ["region"]))
     venues = table(spark, sf_dir, "ref_venues").select(F.col("venue_id").alias("ref"), F.col("venue").alias("name"), F.col("city").alias("place"), F.col("state").alias("region"))
     places = table(spark, sf_dir, "places").select(F.col("gid").alias("ref"), "name", F.lit("").alias("place"), F.col("admin").alias("region"), F.col("pop").alias("weight"))
-    by_venue = canonical.map_values(side.filter("venue <> ''").select(F.col("venue").alias("value"), F.col("city").alias("place"), "region"), venues)
-    by_city = canonical.map_values(side.filter("city <> ''").select(F.col("city").alias("value"), F.lit("").alias("place"), "region"), places)
+    by_venue = canonical.map_values(typed.filter("venue <> ''").select(F.col("venue").alias("value"), F.col("city").alias("place"), "region"), venues)
+    by_city = canonical.map_values(typed.filter("city <> ''").select(F.col("city").alias("value"), F.lit("").alias("place"), "region"), places)
     by_venue = by_venue.select(F.col("value").alias("venue"), F.col("place").alias("city"), "region", F.col("ref").alias("venue_ref"))
     by_city = by_city.select(F.col("value").alias("city"), "region", F.col("ref").alias("city_ref"))
-    side = side.join(by_venue, ["venue", "city", "region"], "left").join(by_city, ["city", "region"], "left").fillna("", ["venue_ref", "city_ref"])
+    got = typed.join(by_venue, ["venue", "city", "region"], "left").join(by_city, ["city", "region"], "left").fillna("", ["venue_ref", "city_ref"])
     # An entry's own place says more than what was typed beside it, or nothing was.
     own = table(spark, sf_dir, "ref_venues").select(F.col("venue_id").cast("string").alias("venue_ref"), F.col("city").alias("own_city"), F.lower("state").alias("own_region"), F.col("gid").cast("string").alias("gid"), F.count("*").over(W.partitionBy("venue")).alias("namesakes"))
-    side = side.join(own, "venue_ref", "left")
+    got = got.join(own, "venue_ref", "left")
     # Where neither city nor state was given, a name that several places have tells none of them.
-    unclear = (F.col("namesakes") > 1) & (F.col("city") == "") & (F.col("region") == "")
-    for c in ("own_city", "own_region", "gid"):
-        side = side.withColumn(c, F.when(~F.coalesce(unclear, F.lit(False)), F.col(c)))
-    side = side.withColumn("venue_ref", F.when(unclear, "").otherwise(F.col("venue_ref")))
-    return side.select(
-        *[c for c in side.columns if c not in ("city", "region", "city_ref", "own_city", "own_region", "gid", "namesakes")],
-        F.coalesce("own_city", "city").alias("city"),
-        F.coalesce("own_region", "region").alias("region"),
-        F.coalesce("gid", "city_ref").alias("city_ref"),
+    unclear = F.coalesce((F.col("namesakes") > 1) & (F.col("city") == "") & (F.col("region") == ""), F.lit(False))
+    told = lambda c, otherwise: F.coalesce(F.when(~unclear, F.col(c)), otherwise)
+    return cut(
+        got.select(
+            "venue",
+            "city",
+            "state",
+            told("own_region", F.col("region")).alias("region"),
+            F.when(unclear, "").otherwise(F.col("venue_ref")).alias("venue_ref"),
+            told("own_city", F.col("city")).alias("meant_city"),
+            told("gid", F.col("city_ref")).alias("city_ref"),
+        )
     )
 
 
@@ -249,8 +252,11 @@ def link(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = names.all_names(spark, sf_dir).unionByName(s.select("name")).filter("name is not null").distinct()
     acts = cut(names.link_names(every))
     classed = acts.select("key", F.col("class").alias("act"))
-    s = _resolved(spark, sf_dir, s).withColumn("key", _keyed("name")).join(classed, "key", "left").withColumn("act", F.coalesce("act", "key"))
-    r = _resolved(spark, sf_dir, r).withColumn("key", _keyed("name")).join(classed, "key", "left").withColumn("act", F.coalesce("act", "key"))
+    typed = ["venue", "city", "state"]
+    meant = _resolved(spark, sf_dir, s.select(typed).unionByName(r.select(typed)))
+    placed = lambda side: side.join(meant, typed, "left").drop("city").withColumnRenamed("meant_city", "city")
+    s = placed(s).withColumn("key", _keyed("name")).join(classed, "key", "left").withColumn("act", F.coalesce("act", "key"))
+    r = placed(r).withColumn("key", _keyed("name")).join(classed, "key", "left").withColumn("act", F.coalesce("act", "key"))
     # A show of which only the code is known has the code for an act; releases are found under both.
     s = s.withColumn("act", F.coalesce("act", F.concat(F.lit("#"), "code"))).filter("act is not null")
     plain = ["key", "night", "venue", "city", "region", "venue_ref", "city_ref"]

@@ -158,6 +158,9 @@ class Parts:
                     if len(g) >= 3 and self.own.startswith(g) and len(self.own) - len(g) >= 6:
                         out += [(f + self.own[len(g) :], "w") for f in full]
             return out
+        if len(self.given) > 1:
+            # "Ted" is Edward or Theodore: it joins the one that there is, and must not tie both together.
+            return [(g + self.own, "w") for g in sorted(self.given)]
         if self.given:
             out = [(g + self.own, "f") for g in self.given]
             return out + [(f, "a") for g in self.given for f in {g[0] + self.own, self.own, self.own + g, self.own + g[0]}]

@@ -58,6 +58,13 @@ def test_shared_surname_does_not_link(spark):
     assert "kolmarendal" not in got
 
 
+def test_ambiguous_short_form_ties_nothing(spark):
+    got = linked(spark, ["Edward Kolmarendal", "Eddie Kolmarendal", "Theodore Kolmarendal", "Theo Kolmarendal", "Ted Kolmarendal"])
+    assert got["edward kolmarendal"] != got["theodore kolmarendal"] and "ted kolmarendal" not in got
+    one = linked(spark, ["Theodore Kolmarendal", "Ted Kolmarendal"])
+    assert one["ted kolmarendal"] == one["theodore kolmarendal"]
+
+
 def test_edges(spark):
     got = linked(spark, [None, "", "  ", "!!", "Весна", "x" * 5000, "x" * 5000, "Solo Name"])
     assert got == {}
