@@ -149,11 +149,11 @@ def custom_rank_order(spark: SparkSession, d: str) -> DataFrame:
     return release_fields(spark, d).groupBy("source_type").agg(F.count("*").alias("n"), F.min(place).alias("place"))
 
 
-@query("O-9", sql="select artist_norm, list_slice(list(title order by rid), 1, 6) as first_titles from song_titles group by artist_norm")
+@query("O-9", sql="select artist_norm, array_to_string(list_slice(list(title order by rid), 1, 6), '|') as first_titles from song_titles group by artist_norm")
 def stable_prefix(spark: SparkSession, d: str) -> DataFrame:
     """The first six of a list, in order. Only six rows per group reach the list."""
     first = table(spark, d, "song_titles").withColumn("k", F.row_number().over(W.partitionBy("artist_norm").orderBy("rid"))).filter("k <= 6")
-    return first.groupBy("artist_norm").agg(F.transform(F.array_sort(F.collect_list(F.struct("rid", "title"))), lambda x: x["title"]).alias("first_titles"))
+    return first.groupBy("artist_norm").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rid", "title"))), lambda x: x["title"]), "|").alias("first_titles"))
 
 
 @query("O-10", "SRC-5", sql="""with r as (select show_id, doc_id, row_number() over (partition by show_id order by doc_id) as k, count(*) over (partition by show_id) as n from documents where show_id is not null) select show_id, doc_id from r where (k - 1) % greatest(1, n // 4) = 0 and (k - 1) // greatest(1, n // 4) < 4""")
