@@ -199,7 +199,9 @@ def map_values(values: DataFrame, entries: DataFrame, codes: bool = False, most:
     cols = [F.col(c).cast("string").alias(c) for c in ("ref", "name", "place", "region")] + [F.col("aliases") if has_aliases else F.lit(None).cast("array<string>").alias("aliases")]
     cols.append((F.col("weight") if "weight" in entries.columns else F.lit(0)).cast("double").alias("weight"))
     listed = entries.filter("name is not null and ref is not null").select(*cols)
-    distinct = values.filter("value is not null").select("value", "place", "region").distinct()
+    # Few bytes but much work for each value: as many tasks as there are cores, where coalescing by size would make one.
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    distinct = values.filter("value is not null").select("value", "place", "region").distinct().repartition(tasks)
     schema = "value string, place string, region string, ref string, similarity double"
 
     def build(pdf: pd.DataFrame) -> Lexicon:
