@@ -308,11 +308,14 @@ def classes_of(links: DataFrame) -> DataFrame:
 
 def link_names(names: DataFrame) -> DataFrame:
     """(key, class) of every name key that is linked to another. ``names`` has one column, name."""
-    read = names.filter("name is not null").select("name").distinct()
+    # Few bytes but much work for each name: as many tasks as there are cores, where coalescing by size would make one.
+    tasks = 2 * names.sparkSession.sparkContext.defaultParallelism
+    read = names.filter("name is not null").select("name").distinct().repartition(tasks)
     placed = read.mapInPandas(lambda it: map(_read, it), "key string, name string, form string, sort string, shard string").filter("key <> ''")
     placed = cut(placed)
-    buckets = F.lit(max(1, -(-placed.count() // BUCKET_ROWS)))
-    found = cut(placed.groupBy(F.pmod(F.xxhash64("shard"), buckets)).applyInPandas(_join, "a string, b string, sort string, distance int").distinct())
+    buckets = max(1, -(-placed.count() // BUCKET_ROWS))
+    bucketed = placed.withColumn("bucket", F.pmod(F.xxhash64("shard"), F.lit(buckets))).repartition(max(tasks, buckets), "bucket")
+    found = cut(bucketed.groupBy("bucket").applyInPandas(_join, "a string, b string, sort string, distance int").distinct())
     strong = classes_of(found.filter("sort = 'f'"))
     # A key that says enough in one of its spellings is not weak in another.
     sure = placed.filter("sort = 'f'").select(F.col("key").alias("k")).distinct()
