@@ -55,6 +55,18 @@ def best_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float)
     return good.groupBy(a).agg(F.max(F.struct("score", b)).alias("m")).select(a, F.col(f"m.{b}").alias(b), F.round("m.score", 6).alias("score"))
 
 
+def contained_pairs(df: DataFrame, key: str, least: int = 4) -> DataFrame:
+    """X-11: rows whose keys hold one another, the shorter having at least ``least`` letters; the smaller key is a.
+
+    Every key is exploded into its own parts and joined on equality: a key of n letters has fewer than n * n / 2.
+    """
+    k = F.col(key)
+    ends = lambda i: F.sequence(i + least - 1, F.length(k))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(k) - least + 1), lambda i: F.transform(ends(i), lambda e: F.substring(k, i, e - i + 1))))
+    whole = df.filter(F.length(k) > least).select(k.alias("whole"), F.explode(F.array_distinct(parts)).alias("part")).filter("whole <> part")
+    return whole.join(df.select(k.alias("part")), "part").select(F.least("whole", "part").alias("a"), F.greatest("whole", "part").alias("b"))
+
+
 def only_best(scored: DataFrame, keys: list[str], score: str) -> DataFrame:
     """W-2: the row with the greatest score per key, if no other has it."""
     w = W.partitionBy(*keys)

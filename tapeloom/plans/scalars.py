@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.functions import fuzzy, parse, text
+from tapeloom.operators import matching
 from tapeloom.plans.base import release_fields, show_fields
 from tapeloom.plans.registry import Family
 from tapeloom.tables import table
@@ -61,10 +62,8 @@ def title_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("X-11", sql="select a.norm as a, b.norm as b from artists a join artists b on left(a.norm, 6) = left(b.norm, 6) and a.norm < b.norm where least(length(a.norm), length(b.norm)) >= 4 and (contains(a.norm, b.norm) or contains(b.norm, a.norm))")
 def contained_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of keys, one inside the other, that begin alike."""
-    a = table(spark, d, "artists").select(F.col("norm").alias("a"), F.left("norm", F.lit(6)).alias("head"))
-    b = a.select(F.col("a").alias("b"), "head")
-    return a.join(b, "head").filter("a < b").filter(text.contains_either(F.col("a"), F.col("b"))).select("a", "b")
+    """Pairs of keys, one inside the other at any place."""
+    return matching.contained_pairs(table(spark, d, "artists"), "norm")
 
 
 @query("X-13")

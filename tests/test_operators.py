@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import changes, matching, merging, places, sequences
+from tapeloom.plans import scalars
 from tapeloom.sources import sinks, texts
 
 
@@ -47,6 +48,15 @@ def test_fuzzy_tie_takes_the_greater(spark):
     assert matching.best_fuzzy(a, b, "a", "b", 0.8).first()["b"] == "abcdefy"
 
 
+def test_contained_at_any_place(spark, small):
+    keys = ["falwen", "thefalwen", "falwenband", "aolneb", "olne", "oln", "xx", "", None, "falwen"]
+    got = sorted(tuple(r) for r in matching.contained_pairs(spark.createDataFrame([(k,) for k in keys], "k string"), "k").collect())
+    assert got == [("aolneb", "olne")] + [("falwen", "falwenband")] * 2 + [("falwen", "thefalwen")] * 2
+    names = [r["norm"] for r in spark.read.parquet(f"{small}/artists.parquet").collect()]
+    want = sorted((a, b) for a in names for b in names if a and b and a < b and min(len(a), len(b)) >= 4 and (a in b or b in a))
+    assert sorted(tuple(r) for r in scalars.contained_keys(spark, small).collect()) == want
+
+
 @pytest.mark.parametrize("sizes, limit, taken", [([6, 5, 4], 10, [True, False, True]), ([11, 10], 10, [False, True]), ([5, 5], 0, [True, True]), ([None, 10], 10, [True, True])])
 def test_budget(spark, sizes, limit, taken):
     df = spark.createDataFrame([("k", i, s) for i, s in enumerate(sizes)], "k string, o long, s long")
