@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tapeloom.functions.text import html_lines
 from tapeloom.operators import places
 from tapeloom.plans.base import release_fields, show_fields, show_tracks
 from tapeloom.plans.registry import Family
@@ -37,10 +38,11 @@ def first_text_per_show(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SRC-7")
 def decoded_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Texts stored as UTF-8 and UTF-16 bytes, read back: the lengths must be the same."""
-    t = table(spark, d, "documents").select("doc_id", "text").filter("text not rlike '[\\\\x00<&]'")
-    b = t.select("doc_id", F.length("text").alias("n"), F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "UTF-8")).alias("content"))
-    return b.select("doc_id", (F.length(texts.decoded(F.col("content"))) == F.col("n")).alias("same"))
+    """Texts stored as UTF-8 and UTF-16 bytes, read back: the same texts, without NULs and with their HTML as lines."""
+    t = table(spark, d, "documents").select("doc_id", "text")
+    b = t.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "UTF-8")).alias("content"))
+    want = html_lines(F.regexp_replace("text", "^\\ufeff|\\x00", ""))
+    return b.select("doc_id", texts.decoded(F.col("content")).eqNullSafe(want).alias("same"))
 
 
 @query("SRC-10", "SRC-24", "SNK-6", sql="""with k as (select regexp_replace(strip_accents(lower(name)), '[^a-z0-9]', '', 'g') as key, * from places where not regexp_matches(lower(name), '^(saint|st)'))
@@ -51,8 +53,7 @@ def gazetteer_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
     from tapeloom.tables import shared_folder
 
-    p = table(spark, d, "places").filter("lower(name) not rlike '^(saint|st)'")
-    best = places.best_per_name(p).select("key", "cc", "admin", "pop", F.col("gid").cast("string").alias("gid"))
+    best = places.best_per_name(table(spark, d, "places")).select("key", "cc", "admin", "pop", F.col("gid").cast("string").alias("gid"))
     path = f"{shared_folder(spark)}/gazetteer-{uuid.uuid4().hex}"
     texts.write_gazetteer(best, path)
     return texts.gazetteer(spark, path)

@@ -14,10 +14,13 @@ MOST_DEPTH, MOST_BYTES = 64, 20 << 20
 
 
 def decoded(content: Column) -> Column:
-    """SRC-7: bytes as text: UTF-16 by its mark or by zeros in every other byte, else UTF-8 with bad bytes replaced; no NULs; HTML as lines."""
-    head = F.hex(F.substring(content, 1, 8))
-    le = F.startswith(head, F.lit("FFFE")) | head.rlike("^(?:..00){3,}")
-    be = F.startswith(head, F.lit("FEFF")) | head.rlike("^(?:00..){3,}")
+    """SRC-7: bytes as text: UTF-16 by its mark or by zeros in every other byte (a quarter of the first 200 bytes), else UTF-8 with bad bytes replaced; no NULs; HTML as lines."""
+    head, long = F.hex(F.substring(content, 1, 8)), F.hex(F.substring(content, 1, 200))
+    zeros = lambda byte: F.length(F.regexp_replace(F.regexp_replace(long, byte, "$1"), "(00)|..", "$1"))
+    first, second = zeros("(..)(?:..)?"), zeros("..(..)?")
+    dense = (4 * (first + second) > F.length(long)) & (F.octet_length(content) > 8) & (F.octet_length(content) % 2 == 0)
+    le = F.startswith(head, F.lit("FFFE")) | head.rlike("^(?:..00){3,}") | (dense & (second > first))
+    be = F.startswith(head, F.lit("FEFF")) | head.rlike("^(?:00..){3,}") | (dense & (first > second))
     text = F.when(le, F.decode(content, "UTF-16LE")).when(be, F.decode(content, "UTF-16BE")).otherwise(F.make_valid_utf8(content.cast("string")))
     return html_lines(F.regexp_replace(text, "^﻿|\\x00", ""))
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import changes, matching, merging, places, sequences
-from tapeloom.plans import scalars
+from tapeloom.plans import inputs, scalars
 from tapeloom.sources import sinks, texts
 
 
@@ -146,6 +146,21 @@ def test_torrents_and_bytes(spark):
     assert out[1] == "Été\n" and out[2] == "Été" and out[3] == "plain text" and out[4].startswith("a") and out[5] is None
 
 
+def test_all_documents_are_decoded(spark, tmp_path):
+    rows = ["plain", "<p>a<br>b &amp; c</p>", "a < b", "R & B", "x\0y", None, "", "Śnieg Głos is cut", "“Quiet” <b>Hall</b>", "\ufeffmark"]
+    df = spark.createDataFrame([(2 * i + k, t) for i, t in enumerate(rows) for k in (0, 1)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in inputs.decoded_texts(spark, str(tmp_path)).collect()) == [(i, True) for i in range(2 * len(rows))]
+    b = df.select("doc_id", texts.decoded(F.encode("text", "UTF-16BE")).alias("t"))
+    assert {r["doc_id"] // 2: r["t"] for r in b.collect()} == {0: "plain", 1: "a\nb & c\n", 2: "a < b", 3: "R & B", 4: "xy", 5: None, 6: "", 7: rows[7], 8: "“Quiet” Hall", 9: "mark"}
+
+
+def test_gazetteer_has_the_saints(spark, tmp_path):
+    rows = [(1, "Saint Mary", "AA", "X", 5), (2, "St. Mary", "BB", "X", 9), (3, "Stanmore", "CC", "X", 1), (4, "Orvan", "AA", "X", 2)]
+    spark.createDataFrame(rows, "gid long, name string, admin string, cc string, pop long").write.parquet(f"{tmp_path}/places.parquet")
+    assert {(r["key"], r["gid"]) for r in inputs.gazetteer_roundtrip(spark, str(tmp_path)).collect()} == {("stmary", "2"), ("stanmore", "3"), ("orvan", "4")}
+
+
 def test_ledger_takes_every_key_once(spark, tmp_path):
     df = spark.createDataFrame([("a",), ("b",), ("a",)], "k string")
     assert sinks.append_new(df, f"{tmp_path}/l", "k").count() == 2 and sinks.append_new(df, f"{tmp_path}/l", "k").count() == 0
