@@ -98,9 +98,8 @@ def cased_names(spark: SparkSession, d: str) -> DataFrame:
  where not regexp_matches(coalesce(venue, '') || coalesce(city, '') || coalesce(state, ''), '[^ -~]')""")
 def composed_titles(spark: SparkSession, d: str) -> DataFrame:
     """An album's title of what is known, as a safe file name."""
-    s = show_fields(spark, d).filter(~F.concat_ws("", "venue", "city", "state").rlike("[^ -~]"))
     parts = [text.blank_to_null(F.col(c)) for c in ("venue", "city", "state")]
-    return s.select("show_id", text.safe_name(F.concat_ws(", ", *parts)).alias("title"))
+    return show_fields(spark, d).select("show_id", text.safe_name(F.concat_ws(", ", *parts)).alias("title"))
 
 
 @query("X-25", "X-46", "Q-3", sql="""with d as (select id, date, regexp_extract(date, '^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$', 1) as m, regexp_extract(date, '^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$', 2) as dd, regexp_extract(date, '^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$', 3) as y from {RELEASES})

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,14 @@ def test_contained_at_any_place(spark, small):
     assert sorted(tuple(r) for r in scalars.contained_keys(spark, small).collect()) == want
 
 
+def test_titles_of_any_script_are_composed(spark, tmp_path):
+    rows = [("Café: Zoë", " ", "ST"), ("Тихий/Дом", "Łąka", None), ("\u200bHall.", None, "NK."), ("Tab\there", "", ""), (None, None, None), ("Hall", "Orvan", "AA")]
+    meta = [json.dumps(dict(zip(("venue", "city", "state"), r))) for r in rows] + ["{", None]
+    spark.createDataFrame([(i, "f", "s", 1.0, m) for i, m in enumerate(meta)], "id long, folder_name string, status string, confidence double, meta string").write.parquet(f"{tmp_path}/shows.parquet")
+    got = {r["show_id"]: r["title"] for r in scalars.composed_titles(spark, str(tmp_path)).collect()}
+    assert got == {0: "Café- Zoë, ST", 1: "Тихий-Дом, Łąka", 2: "\u200bHall., NK", 3: "Tab-here", 4: "Unknown", 5: "Hall, Orvan, AA"}
+
+
 @pytest.mark.parametrize("sizes, limit, taken", [([6, 5, 4], 10, [True, False, True]), ([11, 10], 10, [False, True]), ([5, 5], 0, [True, True]), ([None, 10], 10, [True, True])])
 def test_budget(spark, sizes, limit, taken):
     df = spark.createDataFrame([("k", i, s) for i, s in enumerate(sizes)], "k string, o long, s long")
