@@ -94,7 +94,7 @@ def digit_share(c: Column) -> Column:
 
 def plain_punctuation(c: Column) -> Column:
     """X-14, the part of characters: typographic signs to ASCII, zero-width characters removed."""
-    t = F.translate(c, "‘’‚“”„–—−…", "'''\"\"\"---.")
+    t = F.replace(F.translate(c, "‘’‚“”„–—−", "'''\"\"\"---"), F.lit("…"), F.lit("..."))
     return F.regexp_replace(t, "[\\u200b-\\u200d\\u2060\\ufeff\\u00ad]", "")
 
 

@@ -76,7 +76,7 @@ def common_beginnings(spark: SparkSession, d: str) -> DataFrame:
 @query("X-14", sql="select rid, regexp_replace(replace(replace(replace(replace(replace(title, '’', ''''), '‘', ''''), '“', '\"'), '”', '\"'), '–', '-'), '[\\x{200b}-\\x{200d}\\x{2060}\\x{feff}\\x{ad}]', '', 'g') as t from song_titles where not regexp_matches(title, '[‚„—−…]')")
 def plain_signs(spark: SparkSession, d: str) -> DataFrame:
     """Typographic signs to plain ones; the repair of encodings is problem 2's operator."""
-    return table(spark, d, "song_titles").filter(~F.col("title").rlike("[‚„—−…]")).select("rid", text.plain_punctuation(F.col("title")).alias("t"))
+    return table(spark, d, "song_titles").select("rid", text.plain_punctuation(F.col("title")).alias("t"))
 
 
 @query("X-15", "X-37")
@@ -106,8 +106,7 @@ def composed_titles(spark: SparkSession, d: str) -> DataFrame:
  select id, strftime(try_cast(date as date), '%Y-%m-%d') as day from d where m = ''""")
 def iso_dates(spark: SparkSession, d: str) -> DataFrame:
     """Dates read from free text; the calendar is checked."""
-    r = release_fields(spark, d).filter(~F.coalesce(F.col("date").rlike("^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$"), F.lit(False)) & F.col("date").isNotNull())
-    return r.select("id", parse.extract_date(F.col("date")).alias("day"))
+    return release_fields(spark, d).select("id", parse.extract_date(F.col("date")).alias("day"))
 
 
 @query("X-26", "X-27", "X-28", "X-29", "X-30", sql="""select show_id, case when regexp_matches(upper(source_type), '\\b(FM|BROADCAST|SIMULCAST)\\b') then 'SBD.FM' when regexp_matches(upper(source_type), '\\b(MATRIX|MTX)\\b') then 'MTX' when regexp_matches(upper(source_type), '\\b(SBD|DSBD|SDB)\\b') then 'SBD' when regexp_matches(upper(source_type), '\\bFOB\\b') then 'AUD.FOB' when regexp_matches(upper(source_type), '\\bAUD\\b') then 'AUD' else '' end as kind,

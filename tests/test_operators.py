@@ -1,10 +1,12 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import changes, matching, merging, places, sequences
 from tapeloom.plans import inputs, scalars
+from tapeloom.plans.base import release_fields
 from tapeloom.sources import sinks, texts
 
 
@@ -67,6 +69,16 @@ def test_titles_of_any_script_are_composed(spark, tmp_path):
     assert got == {0: "Café- Zoë, ST", 1: "Тихий-Дом, Łąka", 2: "\u200bHall., NK", 3: "Tab-here", 4: "Unknown", 5: "Hall, Orvan, AA"}
 
 
+def test_no_title_and_no_date_is_left_out(spark, small, tmp_path):
+    rows = [(1, "‚a„ — b−c…"), (2, None), (3, "‘a’ “b” –\u200b"), (4, "a")]
+    spark.createDataFrame(rows, "rid long, title string").write.parquet(f"{tmp_path}/song_titles.parquet")
+    assert {r["rid"]: r["t"] for r in scalars.plain_signs(spark, str(tmp_path)).collect()} == {1: "'a\" - b-c...", 2: None, 3: "'a' \"b\" -", 4: "a"}
+    dates = {r["id"]: r["date"] for r in release_fields(spark, small).select("id", "date").collect()}
+    days = {r["id"]: r["day"] for r in scalars.iso_dates(spark, small).collect()}
+    short = [i for i, t in dates.items() if re.fullmatch(r"\d+/\d+/\d\d", t or "")]
+    assert short and set(days) == set(dates) and {days[i] for i in short} == {None}  # no family of X-25 has m/d/yy
+
+
 @pytest.mark.parametrize("sizes, limit, taken", [([6, 5, 4], 10, [True, False, True]), ([11, 10], 10, [False, True]), ([5, 5], 0, [True, True]), ([None, 10], 10, [True, True])])
 def test_budget(spark, sizes, limit, taken):
     df = spark.createDataFrame([("k", i, s) for i, s in enumerate(sizes)], "k string, o long, s long")
