@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tapeloom.functions import fuzzy
 from tapeloom.functions.text import norm_key
+from tapeloom.tables import cut
 
 
 def variant_cascade(names: DataFrame, known: DataFrame, name: str) -> DataFrame:
@@ -22,21 +23,58 @@ def variant_cascade(names: DataFrame, known: DataFrame, name: str) -> DataFrame:
     return j.select(*names.columns, F.coalesce("a", "b", "c").alias("canonical"), how.alias("how"))
 
 
-def _blocks(key: Column) -> Column:
-    """Keys under which similar texts meet: their first and last three letters."""
-    return F.array_distinct(F.array(F.concat(F.lit("<"), F.left(key, F.lit(3))), F.concat(F.lit(">"), F.right(key, F.lit(3)))))
+def _unmatched(cutoff: float, total: int) -> int:
+    """The most letters of two texts, ``total`` in all, that can be unmatched at the cutoff; negative if there is no such pair."""
+    u = int((1 - cutoff) * total + 1e-6)
+    return u - (u - total) % 2
+
+
+def _shared(cutoff: float, total: int, q: int) -> int:
+    """The fewest runs of q letters that two texts, ``total`` letters in all, share at the cutoff.
+
+    u unmatched letters part the matched ones into u + 1 blocks at most, and a block of n letters has n - q + 1 runs.
+    """
+    u = _unmatched(cutoff, total)
+    return (total - u) // 2 - (u + 1) * (q - 1)
+
+
+def _candidates(x: DataFrame, y: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs of x and y (distinct keys) that may reach the cutoff: none that does is lost.
+
+    Of n runs of which two texts share t, the rarest n - t + 1 of each have one in common, whatever the order. They
+    are listed for every length that the other text may have and joined; the pairs then have to share t runs.
+    """
+    q = next(q for q in (3, 2, 1) if all(_shared(cutoff, s, q) >= 1 for s in range(1, 1000) if _unmatched(cutoff, s) > 0))
+    k = F.col("k")
+    keys = x.select(F.col("x").alias("k")).unionByName(y.select(F.col("y").alias("k"))).filter("k is not null").distinct()
+    runs = F.when(F.length(k) >= q, F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - q + 1, F.lit(1))), lambda i: F.substring(k, i, F.lit(q)))).otherwise(F.array(k))
+    # The second of the same run in a text is another one.
+    each = keys.select("k", F.explode(runs).alias("run")).groupBy("k", "run").agg(F.count("*").cast("int").alias("n"))
+    each = each.select("k", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat_ws("#", "run", i))).alias("run"))
+    rare = each.join(each.groupBy("run").agg(F.count("*").alias("n")), "run").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "run")))["run"].alias("runs"))
+    size, other = F.length("k"), F.col("other")
+    lengths = F.sequence(F.ceil(size * (cutoff / (2 - cutoff)) - 1e-6), F.floor(size * ((2 - cutoff) / cutoff) + 1e-6))
+    total = size + other
+    most = F.floor((1 - cutoff) * total + 1e-6)
+    u = most - F.pmod(most - total, F.lit(2))
+    t = F.greatest(((total - u) / 2 - (u + 1) * (q - 1)).cast("int"), F.lit(1))
+    near = rare.withColumn("other", F.explode(lengths)).withColumn("u", u).withColumn("t", t).filter("u >= 0 and t <= size(runs)")
+    near = cut(near.select("k", "runs", size.cast("long").alias("own"), "other", "t", F.explode(F.slice("runs", F.lit(1), F.size("runs") - F.col("t") + 1)).alias("run")))
+    a = near.select(k.alias("x"), F.col("runs").alias("x_runs"), F.col("own").alias("lx"), F.col("other").alias("ly"), "t", "run").join(x.select("x").distinct(), "x", "left_semi")
+    b = near.select(k.alias("y"), F.col("runs").alias("y_runs"), F.col("own").alias("ly"), F.col("other").alias("lx"), "run").join(y.select("y").distinct(), "y", "left_semi")
+    some = a.join(b, ["lx", "ly", "run"]).filter(F.size(F.array_intersect("x_runs", "y_runs")) >= F.col("t"))
+    return some.select("x", "y").distinct()
 
 
 def best_fuzzy(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
     """X-10: for each ``a`` the most similar ``b`` at the cutoff or above; of equals the greater text (Q-8).
 
-    Only texts that share their first or last three letters and whose lengths allow the cutoff are compared.
+    Only texts whose keys share as many runs of letters as the cutoff asks for are compared.
     """
-    x = left.select(a, norm_key(F.col(a)).alias("x")).distinct().withColumn("block", F.explode(_blocks(F.col("x"))))
-    y = right.select(b, norm_key(F.col(b)).alias("y")).distinct().withColumn("block", F.explode(_blocks(F.col("y"))))
-    able = 2 * F.least(F.length("x"), F.length("y")) >= cutoff * (F.length("x") + F.length("y"))
-    pairs = x.join(y, "block").filter(able).select(a, b, "x", "y").distinct()
-    good = pairs.withColumn("score", fuzzy.ratio(F.col("x"), F.col("y"))).filter(F.col("score") >= cutoff)
+    x = left.select(a, norm_key(F.col(a)).alias("x")).distinct()
+    y = right.select(b, norm_key(F.col(b)).alias("y")).distinct()
+    scored = _candidates(x, y, cutoff).withColumn("score", fuzzy.ratio(F.col("x"), F.col("y"))).filter(F.col("score") >= cutoff)
+    good = scored.join(x, "x").join(y, "y")
     return good.groupBy(a).agg(F.max(F.struct("score", b)).alias("m")).select(a, F.col(f"m.{b}").alias(b), F.round("m.score", 6).alias("score"))
 
 
@@ -48,10 +86,8 @@ def near_duplicates(df: DataFrame, key: str, cutoff: float) -> DataFrame:
 
 
 def best_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
-    x = left.distinct().withColumn("block", F.explode(_blocks(F.col(a))))
-    y = right.distinct().withColumn("block", F.explode(_blocks(F.col(b))))
-    able = (F.col(a) != F.col(b)) & (2 * F.least(F.length(a), F.length(b)) >= cutoff * (F.length(a) + F.length(b)))
-    good = x.join(y, "block").filter(able).select(a, b).distinct().withColumn("score", fuzzy.ratio(F.col(a), F.col(b))).filter(F.col("score") >= cutoff)
+    some = _candidates(left.select(F.col(a).alias("x")), right.select(F.col(b).alias("y")), cutoff).select(F.col("x").alias(a), F.col("y").alias(b)).filter(F.col(a) != F.col(b))
+    good = some.withColumn("score", fuzzy.ratio(F.col(a), F.col(b))).filter(F.col("score") >= cutoff)
     return good.groupBy(a).agg(F.max(F.struct("score", b)).alias("m")).select(a, F.col(f"m.{b}").alias(b), F.round("m.score", 6).alias("score"))
 
 

@@ -77,7 +77,7 @@ def variant_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 @query("J-7", "X-10", "Q-8")
 def fuzzy_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """The cascade's last leg: the most similar known spelling, at 0.88 or more, among those that share a block."""
+    """The cascade's last leg: the most similar known spelling, at 0.88 or more."""
     names = release_fields(spark, d).filter("artist is not null").select("artist").distinct()
     known = table(spark, d, "artists").select("name")
     missed = matching.variant_cascade(names, table(spark, d, "artists"), "artist").filter("canonical is null").select("artist")
@@ -122,7 +122,7 @@ def fuzzy_within_date(spark: SparkSession, d: str) -> DataFrame:
 
 @query("J-11")
 def near_duplicate_names(spark: SparkSession, d: str) -> DataFrame:
-    """Each key's closest other key at 0.87 or more, reported once per pair; candidates share three letters in a row at an end."""
+    """Each key's closest other key at 0.87 or more, reported once per pair."""
     return matching.near_duplicates(table(spark, d, "artists").select("norm"), "norm", cutoff=0.87)
 
 

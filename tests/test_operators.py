@@ -1,5 +1,6 @@
 import json
 import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,34 @@ def test_no_title_and_no_date_is_left_out(spark, small, tmp_path):
     assert short and set(days) == set(dates) and {days[i] for i in short} == {None}  # no family of X-25 has m/d/yy
 
 
+def closest(x, others, cutoff):
+    scored = [(SequenceMatcher(None, x[1], y[1]).ratio(), y[0]) for y in others]
+    return max((m for m in scored if m[0] >= cutoff), default=None)
+
+
+@pytest.mark.parametrize("cutoff", [0.87, 0.8, 0.6])
+def test_near_duplicates_by_brute_force(spark, small, cutoff):
+    keys = ["thefalwennolpororchestra", "falwennolpororchestrathe", "abcd", "abxcd", "a", "", "aaaaaaaa", "aaaaaaa", "xbcdefghiy", "zbcdefghiw"]
+    keys += [r["norm"] for r in spark.read.parquet(f"{small}/artists.parquet").distinct().collect()]
+    want = {}
+    for k in set(keys):
+        if m := closest((k, k), [(o, o) for o in set(keys) - {k}], cutoff):
+            pair = tuple(sorted((k, m[1])))
+            want[pair] = max(want.get(pair, 0), round(m[0], 6))
+    got = matching.near_duplicates(spark.createDataFrame([(k,) for k in keys + [None]], "k string"), "k", cutoff).collect()
+    assert {(r["a"], r["b"]): r["score"] for r in got} == want and len(got) == len(want)
+    assert cutoff != 0.87 or ("falwennolpororchestrathe", "thefalwennolpororchestra") in want
+
+
+def test_fuzzy_cascade_by_brute_force(spark):
+    left = ["The Falwennolpor Orchestra", "Abxcd", "?", "A", "No One Near"]
+    right = ["Falwennolpor Orchestra, The", "abcd", "!", "a.", "a", "Quite Another"]
+    key = lambda t: re.sub("[^a-z0-9]", "", t.lower())
+    want = {t: (m[1], round(m[0], 6)) for t in left if (m := closest((t, key(t)), [(o, key(o)) for o in right], 0.85))}
+    a, b = (spark.createDataFrame([(t,) for t in v], f"{c} string") for v, c in ((left, "a"), (right, "b")))
+    assert {r["a"]: (r["b"], r["score"]) for r in matching.best_fuzzy(a, b, "a", "b", 0.85).collect()} == want and len(want) == 4
+
+
 @pytest.mark.parametrize("sizes, limit, taken", [([6, 5, 4], 10, [True, False, True]), ([11, 10], 10, [False, True]), ([5, 5], 0, [True, True]), ([None, 10], 10, [True, True])])
 def test_budget(spark, sizes, limit, taken):
     df = spark.createDataFrame([("k", i, s) for i, s in enumerate(sizes)], "k string, o long, s long")
