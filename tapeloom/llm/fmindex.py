@@ -149,17 +149,20 @@ def shared_runs(texts: list[str], owner: np.ndarray, least: int, side: np.ndarra
     small = high - low <= few
     hits = []
 
-    def locate(pos: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    def locate(pos: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> None:
         which, row = spread(low, high)
         there = index.sa[row]
         other = np.searchsorted(first, there, side="right") - 1
         keep = owner[of[which]] < owner[other]
         if side is not None:
             keep &= side[of[which]] != side[other]
-        hits.append(np.stack([of[which][keep], pos[which][keep], other[keep], there[keep]]))
+        hit = np.stack([of[which][keep], pos[which][keep], other[keep], there[keep]])
+        # Of hits of one kind on a diagonal, those in one bucket touch: they lie in one run. Hits of the two kinds need not.
+        _, once = np.unique(np.stack([hit[0], hit[2], hit[1] - hit[3], hit[1] // width]), axis=1, return_index=True)
+        hits.append(hit[:, once])
 
     pick = small & (high - low > 1)
-    locate(block[pick], text[pick], low[pick], high[pick])
+    locate(block[pick], text[pick], low[pick], high[pick], 2 * half)
     many = np.flatnonzero(~small)
     for part in np.array_split(many, max(1, len(many) // 256)):
         start = block[part][:, None] - np.arange(least - half + 1)
@@ -170,10 +173,8 @@ def shared_runs(texts: list[str], owner: np.ndarray, least: int, side: np.ndarra
         if len(start):
             low, high = index.search(codes[start[:, None] + np.arange(least)])
             more = high - low > 1
-            locate(start[more], of[more], low[more], high[more])
+            locate(start[more], of[more], low[more], high[more], least)
     a, p, b, q = np.concatenate(hits, axis=1) if hits else np.zeros((4, 0), np.int64)
-    _, once = np.unique(np.stack([a, b, p - q, p // least]), axis=1, return_index=True)
-    a, p, b, q = a[once], p[once], b[once], q[once]
     back = extend(codes, p - 1, q - 1, -1)
     length = back + extend(codes, p, q, 1)
     p, q = p - back - first[a], q - back - first[b]

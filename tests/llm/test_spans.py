@@ -23,6 +23,18 @@ def runs_by_hand(texts, least):
     return out
 
 
+@pytest.mark.parametrize("copies, few, half", [(8, 4, 7), (70, 64, 100)])
+def test_a_popular_notice_after_a_block_of_its_own(copies, few, half):
+    draw = random.Random(1)
+    block, notice = ("".join(draw.choice("abcdefgh") for _ in range(n)) for n in (half, 2 * half + half // 5))
+    texts = [block + "x" + notice, block + "y" + notice] + [chr(0x4E00 + k) * (k % 3) + notice + chr(0x5E00 + k) for k in range(copies)]
+    got = {tuple(r) for r in np.stack(fmindex.shared_runs(texts, np.arange(len(texts)), 2 * half, few=few)).T.tolist()}
+    assert (0, half + 1, 1, half + 1, len(notice)) in got
+    if half == 7:
+        assert got == runs_by_hand(texts, 2 * half)
+    assert {(a, b) for a, _, b, _, _ in got} == {(a, b) for b in range(len(texts)) for a in range(b)}
+
+
 def made(seed, n=10):
     random.seed(seed)
     passages = ["".join(random.choice("abé漢") for _ in range(40)) for _ in range(3)]
