@@ -8,6 +8,8 @@ from tapeloom.operators import nested
 from tapeloom.tables import table, whole_rows
 
 LEVELS = (nested.Level("tracks"), nested.Level("parts", (nested.Level("tracks"),)))
+PART_FIELDS = ("dir", "disc", "label", "bracket")
+TRACK_FIELDS = ("num", "title", "disc", "set", "segue")
 SHOW_FIELDS = ("artist", "host_artist", "date", "venue", "city", "state", "source_type", "official", "shnid", "recorder", "genre", "notes")
 
 
@@ -62,3 +64,19 @@ def track_rows(docs: DataFrame) -> DataFrame:
             nested.flag_of(doc, "segue").alias("segue"),
         )
     )
+
+
+def other_fields(docs: DataFrame) -> DataFrame:
+    """Every field of a show, a part or a track that the three tables have no column for, lists and objects included.
+
+    show_id, level, sk (of the row that has the field), field and its value as JSON; nulls are no values.
+    """
+    tables = nested.flatten(docs, "id", levels=LEVELS)
+    known = {"": (*SHOW_FIELDS, "tracks", "parts"), "parts": (*PART_FIELDS, "tracks"), "tracks": TRACK_FIELDS, "parts.tracks": TRACK_FIELDS}
+    found = None
+    for level, fields in known.items():
+        pairs = F.explode(F.map_entries(F.try_variant_get(F.col("doc"), "$", "map<string,variant>"))).alias("e")
+        rows = tables[level].filter(F.schema_of_variant("doc").startswith("OBJECT")).select(F.col("id").alias("show_id"), F.lit(level).alias("level"), "sk", pairs)
+        rows = rows.filter(~F.col("e.key").isin(*fields) & ~nested.is_null_item(F.col("e.value"))).select("show_id", "level", "sk", F.col("e.key").alias("field"), F.to_json("e.value").alias("value"))
+        found = rows if found is None else found.unionByName(rows)
+    return found

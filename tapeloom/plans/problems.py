@@ -27,6 +27,11 @@ def p1_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shows.track_rows(shows.documents(spark, sf_dir))
 
 
+def p1_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields for which the tables of shows, parts and tracks have no column; sk is the row's there."""
+    return shows.other_fields(shows.documents(spark, sf_dir))
+
+
 def p1_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of child tables without their parent, by level: always none; kept as a check of the links."""
     docs = shows.documents(spark, sf_dir)
@@ -57,4 +62,4 @@ ORACLE = {
     "p1_shows": f"select id as show_id, cast(id as varchar) as sk, {_SCALARS} from (select distinct id, folder_name, meta from shows where json_valid(meta) and json_type(meta) = 'OBJECT')",
     "p1_orphans": "select 'x' as parent_sk, 'x' as level where false",
 }
-QUERIES = {q.__name__: q for q in (p1_found, p1_shows, p1_parts, p1_tracks, p1_orphans)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_shows, p1_parts, p1_tracks, p1_others, p1_orphans)}

@@ -1,6 +1,7 @@
 import json
 
 from tapeloom.operators import nested, shows
+from tapeloom.plans import problems
 
 TRACK = {"num": 1, "title": "One"}
 FORMS = {
@@ -41,6 +42,13 @@ def test_inferred_levels(spark):
     assert levels == {"tracks": [], "parts": ["tracks"]}
 
 
+def test_fields_without_a_column_are_kept(spark, tmp_path):
+    meta = {"artist": "A", "extras": [{"t": 1}], "empty": None, "tracks": [{"title": "One", "rating": 5}, "Two"], "parts": {"dir": "x", "mood": {"a": "b"}, "tracks": [{"num": 1, "x y": True}]}}
+    spark.createDataFrame([(1, "f", json.dumps(meta)), (2, "g", "{"), (3, "h", None)], "id long, folder_name string, meta string").write.parquet(f"{tmp_path}/shows.parquet")
+    got = {(r["level"], r["sk"], r["field"], r["value"]) for r in problems.p1_others(spark, str(tmp_path)).collect()}
+    assert got == {("", "1", "extras", '[{"t":1}]'), ("parts", "1/parts:1", "mood", '{"a":"b"}'), ("tracks", "1/tracks:1", "rating", "5"), ("parts.tracks", "1/parts:1/tracks:1", "x y", "true")}
+
+
 def test_list_fields():
     assert nested.list_fields("OBJECT<a: STRING, b: ARRAY<OBJECT<c: BIGINT, d: ARRAY<STRING>>>, `x y`: VARIANT, e: ARRAY<STRING>>") == ["b", "x y"]
     assert nested.list_fields("VOID") == []
