@@ -1,20 +1,28 @@
 """A compressed FM-index over a shard of texts, and matching statistics by backward search.
 
-The index holds the Burrows-Wheeler transform as a wavelet tree in its level-wise layout: a bit vector
-per level with a popcount directory. Searches run in lockstep, all patterns one symbol a step, so a step
-is a few numpy operations for the whole shard.
-
-Suffixes are sorted by their first 256 symbols only (prefix doubling). For patterns up to that length
-the ranges of a backward search are the same as with a full sort.
+What the index holds: the Burrows-Wheeler transform as a wavelet tree in its level-wise layout (a bit vector per
+level with a popcount directory, so about log2 of the alphabet bits a character), the alphabet's cumulative counts,
+and one more bit vector that marks where the rows' first ``width`` symbols change. Neither the texts nor the suffix
+array stay: no row is ever located, since the streamed texts themselves say where they are.
+
+Every text is streamed backwards through the index, all of them in lockstep, so a step is a few numpy operations
+for the whole shard. The range of rows is narrowed by each symbol; at ``width`` symbols the matching statistic has
+reached the threshold, and the range is widened again to the rows that share those symbols before the next symbol
+is read. The range is then the occurrences of the window that begins here: windows with one range are equal.
+
+Suffixes are sorted by a bounded number of symbols only, the power of two above ``width`` (prefix doubling). For
+patterns up to that length the ranges of a backward search are the same as with a full sort.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SEPARATOR, FIRST = 1, 2
-#: Suffixes are sorted to this depth, a power of two; no pattern may be longer.
-DEPTH = 256
+#: Windows of one text that are streamed as one pattern, so that a long text is many short streams.
+STREAM = 512
 
 
 class Bits:
@@ -33,39 +41,51 @@ class Bits:
         return self.before[w] + np.bitwise_count(self.words[w] & mask)
 
 
-def suffix_array(codes: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """Positions in the order of their suffixes' first ``depth`` symbols."""
-    n = len(codes)
-    packed = np.zeros(n + 4, np.uint64)
+def sorted_suffixes(codes: np.ndarray, depth: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of their suffixes' first ``depth`` symbols, and which of them differ in their first
+    ``width`` (4 or more) symbols from the one before."""
+    n, bits = len(codes), 8 * codes.itemsize
+    have, at_width = 64 // bits, None
+    packed = np.zeros(n + have, np.uint64)
     packed[:n] = codes
-    key = (packed[:n] << np.uint64(48)) | (packed[1 : n + 1] << np.uint64(32)) | (packed[2 : n + 2] << np.uint64(16)) | packed[3 : n + 3]
-    have = 4
+    key = np.zeros(n, np.uint64)
+    for k in range(have):
+        key = (key << np.uint64(bits)) | packed[k : n + k]
     while True:
         order = np.argsort(key)
         sorted_key = key[order]
         step = np.empty(n, np.int64)
         step[0] = 0
         np.cumsum(sorted_key[1:] != sorted_key[:-1], out=step[1:])
-        if have >= depth or step[-1] == n - 1:
-            return order
         rank = np.empty(n, np.int64)
         rank[order] = step + 1
+        if have <= width:
+            # The widest power of two below: two windows of it, one at either end, cover ``width`` symbols.
+            at_width, shift = rank, width - have
+        if have >= depth or step[-1] == n - 1:
+            break
         key = rank << 32
         key[: n - have] |= rank[have:]
         have *= 2
+    far = np.zeros(n, np.int64)
+    far[: n - shift] = at_width[shift:]
+    edge = np.ones(n, bool)
+    edge[1:] = (at_width[order[1:]] != at_width[order[:-1]]) | (far[order[1:]] != far[order[:-1]])
+    return order, edge
 
 
 class Index:
     """The FM-index of texts given as one array of symbols, each text followed by a separator.
 
-    Symbols are dense codes from FIRST up, below 2**16.
+    Symbols are dense codes from FIRST up, of 16 or 32 bits. ``width`` is the threshold of the matching statistics.
     """
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        text = np.append(codes, 0).astype(np.uint16)
-        self.sa = suffix_array(text)
-        bwt = text[self.sa - 1]
+    def __init__(self, codes: np.ndarray, width: int):
+        text = np.append(codes, np.zeros(1, codes.dtype))
+        order, edge = sorted_suffixes(text, 1 << width.bit_length(), width)
+        self.rows, self.width = len(text), width
+        self.edges, self.edge_rows = Bits(edge), np.append(np.flatnonzero(edge), len(text)).astype(np.int32)
+        bwt = text[order - 1]
         top = int(text.max()) + 1
         self.starts = np.zeros(top + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=top), out=self.starts[1:])
@@ -82,102 +102,82 @@ class Index:
             i = np.where((c >> bit) & 1 == 1, zeros + ones, i - ones)
         return i
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The range of suffixes that begin with each row of ``patterns``; empty where low >= high."""
-        m = len(patterns)
-        low, high = np.zeros(m, np.int64), np.full(m, len(self.sa), np.int64)
-        live = np.arange(m)
-        for step in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[live, step].astype(np.int64)
-            both = self._descend(np.concatenate([c, c]), np.concatenate([low[live], high[live]]))
-            at = self.starts[c] - self.base[c]
-            low[live], high[live] = at + both[: len(c)], at + both[len(c) :]
-            live = live[low[live] < high[live]]
-            if not len(live):
-                break
-        return low, high
-
-
-def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All rows of the ranges: (index of the range, row)."""
-    n = np.maximum(high - low, 0)
-    which = np.repeat(np.arange(len(low)), n)
-    return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]
-
-
-def extend(codes: np.ndarray, a: np.ndarray, b: np.ndarray, step: int, chunk: int = 32) -> np.ndarray:
-    """How many symbols from a and b onwards (step 1) or backwards (step -1) are equal; separators are equal to nothing."""
-    got = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    ahead = np.arange(chunk) * step
-    padded = np.concatenate([np.full(chunk, SEPARATOR, codes.dtype), codes, np.full(chunk, SEPARATOR, codes.dtype)])
-    while len(live):
-        x = padded[(a[live] + got[live] * step + chunk)[:, None] + ahead]
-        same = (x == padded[(b[live] + got[live] * step + chunk)[:, None] + ahead]) & (x != SEPARATOR)
-        run = np.where(same.all(axis=1), chunk, np.argmin(same, axis=1))
-        got[live] += run
-        live = live[run == chunk]
-    return got
-
-
-def shared_runs(texts: list[str], owner: np.ndarray, least: int, side: np.ndarray | None = None, few: int = 64) -> tuple[np.ndarray, ...]:
-    """Maximal runs of at least ``least`` characters that texts of different owners share.
-
-    Returns arrays (text a, start in a, text b, start in b, length) with owner[a] < owner[b]. With
-    ``side``, only runs between texts of different sides are given.
-
-    Every text is streamed through the index in blocks of half the threshold, aligned in the text: a run of
-    the threshold's length holds at least one of them. A block's range with few rows is located and each row
-    extended to a maximal run. A block that stands in many places (a notice that many texts repeat) is not
-    located: all windows of the full threshold around it are searched instead, and only rows of theirs are,
-    every one of which is a shared run.
+    def extend(self, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of the patterns with the symbols ``c`` put before them; empty where low >= high."""
+        both = self._descend(np.concatenate([c, c]), np.concatenate([low, high]))
+        at = self.starts[c] - self.base[c]
+        return at + both[: len(c)], at + both[len(c) :]
+
+    def widened(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of all rows whose first ``width`` symbols are those of the rows ``low``."""
+        k = self.edges.rank(low + 1) - 1
+        return self.edge_rows[k].astype(np.int64), self.edge_rows[k + 1].astype(np.int64)
+
+    def windows(self, codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For every position from ``first`` to before ``last`` of each stream, one after the other, the least row that
+        begins with the window there. The windows lie inside the texts of the index, so no range is ever empty."""
+        count = last - first
+        out = np.zeros(count.sum(), np.int64)
+        place = np.cumsum(count) - count
+        turn = np.argsort(-count, kind="stable")
+        first, last, place, count = first[turn], last[turn], place[turn], count[turn]
+        steps = count + self.width - 1
+        low, high = np.zeros(len(turn), np.int64), np.full(len(turn), self.rows, np.int64)
+        for step in range(int(steps[0]) if len(turn) else 0):
+            n = int(np.searchsorted(-steps, -step, side="left"))  # streams that are longer than this step
+            at = last[:n] + self.width - 2 - step
+            low[:n], high[:n] = self.extend(codes[at].astype(np.int64), low[:n], high[:n])
+            if step + 1 >= self.width:
+                low[:n], high[:n] = self.widened(low[:n])
+                out[place[:n] + (at - first[:n])] = low[:n]
+        return out
+
+
+def classes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """The spans of at least ``width`` characters that stand in two or more of the texts, as classes of equal spans.
+
+    Returns arrays (text, start, class) with a row per place and, per class, (length, 128-bit hash of its characters).
+    Windows with the same occurrences that follow each other are one span, so a window is in one class only, and
+    there are as many rows as places: no pair of places is ever formed.
     """
     lengths = np.array([len(t) for t in texts], np.int64)
-    first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(texts) else np.zeros(0, np.int64)
+    fits = lengths >= width
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    if fits.sum() < 2:
+        return nothing
+    first = np.cumsum(lengths + 1) - lengths - 1
     points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     symbols, codes = np.unique(points, return_inverse=True)
-    if len(symbols) + FIRST >= 1 << 16:
-        raise ValueError("too many different characters in one shard")
-    codes = (codes + FIRST).astype(np.uint16)
+    codes = (codes + FIRST).astype(np.uint16 if len(symbols) + FIRST < 1 << 16 else np.uint32)
     codes[first + lengths] = SEPARATOR
-    index = Index(codes)
-    half = least // 2
-    count = lengths // half
-    text = np.repeat(np.arange(len(texts)), count)
-    block = first[text] + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * half
-    low, high = index.search(codes[block[:, None] + np.arange(half)])
-    small = high - low <= few
-    hits = []
-
-    def locate(pos: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> None:
-        which, row = spread(low, high)
-        there = index.sa[row]
-        other = np.searchsorted(first, there, side="right") - 1
-        keep = owner[of[which]] < owner[other]
-        if side is not None:
-            keep &= side[of[which]] != side[other]
-        hit = np.stack([of[which][keep], pos[which][keep], other[keep], there[keep]])
-        # Of hits of one kind on a diagonal, those in one bucket touch: they lie in one run. Hits of the two kinds need not.
-        _, once = np.unique(np.stack([hit[0], hit[2], hit[1] - hit[3], hit[1] // width]), axis=1, return_index=True)
-        hits.append(hit[:, once])
-
-    pick = small & (high - low > 1)
-    locate(block[pick], text[pick], low[pick], high[pick], 2 * half)
-    many = np.flatnonzero(~small)
-    for part in np.array_split(many, max(1, len(many) // 256)):
-        start = block[part][:, None] - np.arange(least - half + 1)
-        of = np.broadcast_to(text[part][:, None], start.shape)
-        inside = (start >= first[of]) & (start + least <= first[of] + lengths[of])
-        start, inner = np.unique(start[inside], return_index=True)
-        of = of[inside][inner]
-        if len(start):
-            low, high = index.search(codes[start[:, None] + np.arange(least)])
-            more = high - low > 1
-            locate(start[more], of[more], low[more], high[more], least)
-    a, p, b, q = np.concatenate(hits, axis=1) if hits else np.zeros((4, 0), np.int64)
-    back = extend(codes, p - 1, q - 1, -1)
-    length = back + extend(codes, p, q, 1)
-    p, q = p - back - first[a], q - back - first[b]
-    long = length >= least
-    found = np.unique(np.stack([a, p, b, q, length])[:, long], axis=1)
-    return tuple(found)
+    index = Index(codes, width)
+    n_windows = np.where(fits, lengths - width + 1, 0)
+    # Streams: every text's windows in stretches of STREAM, in the order of the texts.
+    parts = -(-n_windows // STREAM)
+    of = np.repeat(np.arange(len(texts)), parts)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = first[of] + k * STREAM
+    row = index.windows(codes, begin, np.minimum(begin + STREAM, first[of] + n_windows[of]))
+    owner = np.repeat(np.arange(len(texts)), n_windows)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    _, group, size = np.unique(row, return_inverse=True, return_counts=True)
+    # The window after each, -1 at a text's end. A group goes on in another where all its windows do and no others are there.
+    after = np.full(len(row), -1, np.int64)
+    inner = owner[1:] == owner[:-1]
+    after[:-1][inner] = group[1:][inner]
+    order = np.argsort(group, kind="stable")
+    heads = np.cumsum(size) - size
+    least, most = np.minimum.reduceat(after[order], heads), np.maximum.reduceat(after[order], heads)
+    goes_on = (least == most) & (least >= 0)
+    goes_on &= size[np.where(goes_on, least, 0)] == size
+    many = np.minimum.reduceat(owner[order], heads) != np.maximum.reduceat(owner[order], heads)
+    head = np.ones(len(row), bool)
+    head[1:] = ~(goes_on[group[:-1]] & inner)
+    starts = np.flatnonzero(head)
+    length = np.diff(np.append(starts, len(row))) + width - 1
+    keep = many[group[starts]]
+    starts, length = starts[keep], length[keep]
+    _, one, which = np.unique(group[starts], return_index=True, return_inverse=True)
+    text, at = owner[starts], place[starts]
+    hashes = [hashlib.blake2b(texts[t][a : a + n].encode("utf-8", "surrogatepass"), digest_size=16).digest() for t, a, n in zip(text[one], at[one], length[one])]
+    return text, at, which, length[one], hashes
