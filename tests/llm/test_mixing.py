@@ -54,6 +54,22 @@ def test_weights(seed):
     assert short == {s for s in names if sizes[s] * repeats[s] < share[s] * total}
 
 
+@pytest.mark.parametrize("block_rows", [50_000, 7])
+def test_blocks_change_nothing_but_the_place(spark, block_rows):
+    used, report = mixing.mix(data(spark, a=(1000, 10), b=(400, 5), other=(50, 10)), targets(spark, a=(0.3, 1), b=(0.7, 2)), block_rows=block_rows)
+    got = {r["source"]: (r["tokens_used"], r["reachable"]) for r in report.collect()}
+    # b gives all it may, 4,000 of 12,500 tokens; a has the rest of its own.
+    assert got == {"a": (8500, True), "b": (4000, False)} and used.filter("source = 'other'").count() == 0
+
+
+def test_entropy_is_met(spark):
+    df = data(spark, a=(900, 10), b=(90, 10), c=(10, 10))
+    t = targets(spark, a=(0, 9), b=(0, 9), c=(0, 9))
+    wanted = 0.7
+    _, report = mixing.mix_to_entropy(df, t, wanted)
+    assert abs(mixing.entropy({r["source"]: r["actual_share"] for r in report.collect()}) - wanted) < 0.01
+
+
 def test_temperature():
     shares = {"a": 0.9, "b": 0.1}
     t = mixing.temperature_for_entropy(shares, 0.6)
