@@ -38,9 +38,10 @@ def test_edges(spark):
     assert packing.pack(df.filter("false"), "id", capacity=100).count() == 0
 
 
-def test_hot_size(spark):
+@pytest.mark.parametrize("block_rows", [50_000, 100])
+def test_hot_size(spark, block_rows):
     df = spark.range(5000).selectExpr("id", "30L as n_tokens")
-    assert check(packing.pack(df, "id", capacity=100).collect(), dict.fromkeys(range(5000), 30), 100) == -(-5000 // 3)
+    assert check(packing.pack(df, "id", capacity=100, block_rows=block_rows).collect(), dict.fromkeys(range(5000), 30), 100) == -(-5000 // 3)
 
 
 def test_plan_does_not_grow_with_the_items():
