@@ -35,10 +35,15 @@ LETTERS = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "ß": "ss",
 SHORT = {"st": "saint", "ste": "saint", "ft": "fort", "mt": "mount", "hts": "heights", "fls": "falls"}
 
 
+def plain(text: str) -> str:
+    """The text in its one form, with accents taken off."""
+    s = unicodedata.normalize("NFKD", lookalike.canonical(text).translate(LETTERS))
+    return "".join(c for c in s if not unicodedata.combining(c))
+
+
 def fold(text: str) -> str:
     """Lower-case ASCII words with single blanks between."""
-    s = unicodedata.normalize("NFKD", lookalike.canonical(text).translate(LETTERS))
-    s = "".join(c for c in s if not unicodedata.combining(c)).lower().replace("'", "")
+    s = plain(text).lower().replace("'", "")
     s = re.sub(r"\b([a-z])\.(?=[a-z]\b)", r"\1", s)
     return re.sub(r"[^a-z0-9]+", " ", s).strip()
 

@@ -149,7 +149,7 @@ def vote(r) -> list[int]:
 
 
 def _keyed(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), F.lit("")), F.nullif(F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", " ")), F.lit("")))
 
 
 def _folded(c: Column) -> Column:

@@ -3,17 +3,20 @@
 Method: trie join. Every name is read into its parts (given name, surname; or an act's own two words and
 the rest) whatever their order, and gives the forms it may be written in: its parts run together, with the
 given name's short forms brought to one, with initial, surname alone, with or without the rest. All forms
-are sharded into tries by half of their letters (of two forms one error apart, either the first or the last
-half is the same), each trie is walked by a Levenshtein automaton (one error, or a swap of neighbours), and
-pairs of forms found that way are checked on the parts, in every order of the words, before they count.
+are sharded into tries by stretches of their letters (of forms d errors apart, one of d + 1 stretches is the
+same), each trie is walked by a Levenshtein automaton (errors and swaps of neighbours, within a distance that is
+a parameter), and pairs of forms found that way are checked on the parts, in every order of the words, before
+they count.
 
 Names that say enough by themselves (a given name and a surname, or an act's own two words) are linked to
 classes first. Names that do not (initials, surnames alone, words run together) join the class that they fit
 if there is just one: two acts may share a surname, and such a name must not tie them together.
 
-Work is on distinct names. A shard holds names that have half their letters in common. The classes are
-found by passing on the least name along the links, in rounds written to the shared folder. The result is a
-class per name; :func:`pairs` expands it. Null and empty names are none.
+Work is on distinct names. A shard holds names that have a stretch of letters in common at one place; one that
+outgrows a task is split into blocks, and each pair of blocks is a task. The classes are found by passing on the
+least name along the links, in rounds written to the shared folder. The result is a class per name;
+:func:`pairs` expands it. Null and empty names are none. Accents and disguised letters are folded before a
+name is read; names in other scripts are read by their own letters, and have those for a key.
 """
 
 from __future__ import annotations
@@ -21,12 +24,11 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from functools import lru_cache
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeloom.llm.canonical import near, short_for
+from tapeloom.llm.canonical import near, plain, short_for
 from tapeloom.tables import cut, table
 
 # Given names and their usual short forms.
@@ -48,7 +50,9 @@ walter walt wally; warren; wendy; wesley wes; wilfred wilf; william bill billy w
 ENSEMBLES = "band orchestra trio quartet quintet sextet ensemble collective company revue ramblers brothers sisters group project experience choir singers players boys allstars combo duo string jug jazz".split()
 _JOINTS = {"and", "with", "w", "feat", "featuring", "n"}
 _HEAD = re.compile(r"^(.*?)(?<!\d)(?:\d{4}-\d\d-\d\d|\d{4}\.\d\d\.\d\d|\d\d-\d\d-\d\d)(?!\d)", re.S)
-#: Rows of forms that one task joins, about; shards are hashed to as many buckets as that needs.
+#: Errors between two forms of one name at most, and the letters that a form has for each.
+DISTANCE, LETTERS_PER_ERROR = 1, 6
+#: Rows of forms that one task joins, about; shards are hashed to as many buckets as that needs, and split beyond it.
 BUCKET_ROWS = 20_000
 #: Rounds of passing on the least name; a class of names is far less wide.
 ROUNDS = 20
@@ -86,12 +90,13 @@ def given_names(word: str) -> frozenset[str]:
 
 
 def key_of(name: str) -> str:
-    return re.sub(r"[^a-z0-9]+", " ", name.lower()).strip()
+    """The name's key: its words of a-z and 0-9; of a name without any, its words as they are."""
+    return re.sub(r"[^a-z0-9]+", " ", name.lower()).strip() or re.sub(r"[\W_]+", " ", name.lower()).strip()
 
 
 def words_of(name: str) -> tuple[list[str], list[str]]:
     """(words before a joint, words after it), in the order they are meant."""
-    s = name.replace("_", " ")
+    s = plain(name).replace("_", " ")
     if not re.search(r"\s", s.strip()) and s.count(".") > 1 or re.fullmatch(r"\w+(\.\w+)+\.?", s.strip()):
         s = s.replace(".", " ")
     if not re.search(r"\s", s.strip()):
@@ -100,7 +105,7 @@ def words_of(name: str) -> tuple[list[str], list[str]]:
         a, b = s.rsplit(",", 1)
         s = f"{b} {a}" if b.strip() else a
     s = re.sub(r"\bw/", " & ", s, flags=re.I).replace("'", "").replace("’", "")
-    parts = re.findall(r"[a-z0-9]+|[&+]", s.lower())
+    parts = re.findall(r"[^\W_]+|[&+]", s.lower())
     while parts and parts[0] in ("the", "&", "+"):
         parts.pop(0)
     for i, w in enumerate(parts):
@@ -113,6 +118,22 @@ def _ensemble(w: str) -> bool:
     return w in ENSEMBLES or len(w) >= 3 and any(near(w, e) for e in ENSEMBLES if len(e) >= 5)
 
 
+def _all_matched(a: list[str], b: list[str], like) -> bool:
+    """Whether every word of ``a`` has a word of ``b`` for its own, in whatever order (a matching by augmenting paths)."""
+    taken: dict[int, int] = {}
+
+    def place(i: int, tried: set[int]) -> bool:
+        for j in range(len(b)):
+            if j not in tried and like(a[i], b[j]):
+                tried.add(j)
+                if j not in taken or place(taken[j], tried):
+                    taken[j] = i
+                    return True
+        return False
+
+    return all(place(i, set()) for i in range(len(a)))
+
+
 class Parts:
     """What a name is read as: given (full names it may be), initial, own (surname, or the act's words run together), rest."""
 
@@ -137,6 +158,8 @@ class Parts:
             self.own, self.weak = head[0], True
         elif len(head[0]) == 1:
             self.initial, self.own, self.weak = head[0], "".join(w for w in head[1:] if len(w) > 1), True
+            if not self.own:
+                self.initial, self.own = "", "".join(head)
         elif first and not _ensemble(head[-1]):
             self.given, self.own = first, "".join(w for w in head[1:] if len(w) > 1)
         else:
@@ -179,10 +202,7 @@ class Parts:
             return False
         if self.rest and other.rest:
             a, b = sorted((self.rest, other.rest), key=len)
-            like = lambda x, y: x == y or near(x, y) and min(len(x), len(y)) >= 3 or short_for(x, y) or short_for(y, x)
-            if len(b) > 6:
-                return any(like(x, y) for x in a for y in b)
-            return any(all(like(x, y) for x, y in zip(a, p)) for p in permutations(b, len(a)))
+            return _all_matched(a, b, lambda x, y: x == y or near(x, y) and min(len(x), len(y)) >= 3 or short_for(x, y) or short_for(y, x))
         return True
 
 
@@ -198,62 +218,82 @@ class Trie:
             node = node.setdefault(c, {})
         node.setdefault("", []).append(value)
 
-    def within_one(self, s: str) -> list[tuple[int, int]]:
-        """(value, distance) of all strings at most one error or swap of neighbours from s.
+    def within(self, s: str, most: int) -> list[tuple[int, int]]:
+        """(value, distance) of all strings at most that many errors or swaps of neighbours from s.
 
         The automaton's states are (place in s, errors, letter owed by a swap).
         """
         out: dict[int, int] = {}
-        stack = [(self.root, frozenset({(0, 0, "")}))]
         n = len(s)
+
+        def closed(states: set) -> set:
+            # A letter of s may be left out, again and again.
+            return states | {(k, e + k - i, "") for i, e, owed in states if not owed for k in range(i + 1, min(n, i + most - e) + 1)}
+
+        stack = [(self.root, closed({(0, 0, "")}))]
         while stack:
             node, states = stack.pop()
-            closed = set(states) | {(i + 1, 1, "") for i, e, owed in states if not e and not owed and i < n}
-            ends = [e for i, e, owed in closed if i == n and not owed]
+            ends = [e for i, e, owed in states if i == n and not owed]
             if ends and "" in node:
                 for v in node[""]:
-                    out[v] = min(out.get(v, 2), min(ends))
+                    out[v] = min(out.get(v, most), min(ends))
             for c, child in node.items():
                 if not c:
                     continue
                 after = set()
-                for i, e, owed in closed:
+                for i, e, owed in states:
                     if owed:
                         if c == owed:
-                            after.add((i, 1, ""))
+                            after.add((i, e, ""))
                         continue
                     if i < n and s[i] == c:
                         after.add((i + 1, e, ""))
-                    if not e:
-                        after.add((i, 1, ""))
+                    if e < most:
+                        after.add((i, e + 1, ""))
                         if i < n:
-                            after.add((i + 1, 1, ""))
+                            after.add((i + 1, e + 1, ""))
                         if i + 1 < n and s[i + 1] == c:
-                            after.add((i + 2, 1, s[i]))
+                            after.add((i + 2, e + 1, s[i]))
                 if after:
-                    stack.append((child, frozenset(after)))
+                    stack.append((child, closed(after)))
         return list(out.items())
 
 
-def shard_keys(form: str) -> list[str]:
-    """Shards that a form goes to: two forms one error apart meet in at least one."""
-    n = len(form)
-    heads = {form[: max(1, h // 2)] for h in (n, n - 1)}
-    tails = {form[len(form) - max(1, h - h // 2 - 1) :] for h in (n, n - 1)}
-    return [f"<{h}" for h in sorted(heads)] + [f">{t}" for t in sorted(tails)]
+def errors(length: int, distance: int = DISTANCE) -> int:
+    """How many errors two forms may have between them, by the shorter one's length: short names that differ are different."""
+    return min(distance, length // LETTERS_PER_ERROR)
+
+
+def shard_keys(form: str, distance: int = DISTANCE) -> list[str]:
+    """Shards that a form goes to: two forms within their distance meet in at least one.
+
+    The shorter form, of m letters, is cut into one stretch more than it may have errors, with a letter between them,
+    so that a swap of neighbours touches one only. If up to the k-th stretch there are as few as k errors, the k-th
+    has none, and the other form has it within k places of its own, and within what errors are left of its end.
+    """
+    n, out = len(form), []
+    for m in range(n, max(0, n - distance) - 1, -1):
+        d = errors(m, distance)
+        if n - m > d or not m:
+            continue
+        size = (m - d) // (d + 1)
+        for k in range(d + 1):
+            start = k * (size + 1)
+            end = start + size if k < d else m
+            out += [f"{m}/{k}/{form[start + s : end + s]}" for s in range(-k, k + 1) if abs(n - m - s) <= d - k and start + s >= 0 and end + s <= n]
+    return list(dict.fromkeys(out))
 
 
-def _read(pdf: pd.DataFrame) -> pd.DataFrame:
+def _read(pdf: pd.DataFrame, distance: int) -> pd.DataFrame:
     rows = []
     for name in pdf["name"]:
         key = key_of(name)
         for form, sort in dict.fromkeys(Parts(name).forms()):
-            if len(form) >= 4:
-                rows += [(key, name, form, sort, s) for s in shard_keys(form)]
+            rows += [(key, name, form, sort, s) for s in shard_keys(form, distance)]
     return pd.DataFrame(rows, columns=["key", "name", "form", "sort", "shard"])
 
 
-def _join(bucket: pd.DataFrame) -> pd.DataFrame:
+def _join(bucket: pd.DataFrame, distance: int) -> pd.DataFrame:
     """Pairs of names whose forms are near, and whose parts agree, shard by shard."""
     shards: dict[str, dict[str, set]] = defaultdict(lambda: defaultdict(set))
     for key, name, form, sort, shard in bucket[["key", "name", "form", "sort", "shard"]].itertuples(index=False, name=None):
@@ -268,9 +308,9 @@ def _join(bucket: pd.DataFrame) -> pd.DataFrame:
             trie.add(f, i)
         for f in listed:
             mine = [x for x in forms[f] if x[2] != "a"]
-            for i, distance in trie.within_one(f) if mine else ():
+            for i, apart in trie.within(f, errors(len(f), distance)) if mine else ():
                 g = listed[i]
-                if distance and min(len(f), len(g)) < 6:
+                if apart > errors(min(len(f), len(g)), distance):
                     continue
                 for key, name, sort in mine:
                     for other, other_name, other_sort in forms[g]:
@@ -278,13 +318,13 @@ def _join(bucket: pd.DataFrame) -> pd.DataFrame:
                             continue
                         if sort == other_sort == "f":
                             if key < other and parts(name).agrees(parts(other_name)):
-                                out.add((key, other, "f", distance))
+                                out.add((key, other, "f", apart))
                         elif sort == "w" and other_sort in "fa":
                             # The first letter may be an initial: there no error is allowed.
-                            if f[0] == g[0] and (not distance or f[1:2] == g[1:2]):
-                                out.add((key, other, "w", distance))
-                        elif sort == other_sort == "w" and key < other and not distance:
-                            out.add((key, other, "v", distance))
+                            if f[0] == g[0] and (not apart or f[1:2] == g[1:2]):
+                                out.add((key, other, "w", apart))
+                        elif sort == other_sort == "w" and key < other and not apart:
+                            out.add((key, other, "v", apart))
     return pd.DataFrame(sorted(out), columns=["a", "b", "sort", "distance"])
 
 
@@ -306,16 +346,23 @@ def classes_of(links: DataFrame) -> DataFrame:
     raise RuntimeError(f"classes wider than 2^{ROUNDS} links")
 
 
-def link_names(names: DataFrame) -> DataFrame:
-    """(key, class) of every name key that is linked to another. ``names`` has one column, name."""
+def linked(names: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(key, class) of every name key that is linked to another, and the links (a, b) found. ``names`` has one column, name."""
     # Few bytes but much work for each name: as many tasks as there are cores, where coalescing by size would make one.
     tasks = 2 * names.sparkSession.sparkContext.defaultParallelism
     read = names.filter("name is not null").select("name").distinct().repartition(tasks)
-    placed = read.mapInPandas(lambda it: map(_read, it), "key string, name string, form string, sort string, shard string").filter("key <> ''")
+    placed = read.mapInPandas(lambda it: (_read(pdf, distance) for pdf in it), "key string, name string, form string, sort string, shard string").filter("key <> ''")
     placed = cut(placed)
-    buckets = max(1, -(-placed.count() // BUCKET_ROWS))
-    bucketed = placed.withColumn("bucket", F.pmod(F.xxhash64("shard"), F.lit(buckets))).repartition(max(tasks, buckets), "bucket")
-    found = cut(bucketed.groupBy("bucket").applyInPandas(_join, "a string, b string, sort string, distance int").distinct())
+    buckets = max(1, -(-placed.count() // bucket_rows))
+    # A shard of one name joins nothing; one beyond a task's rows is split into blocks, and each pair of blocks is a bucket.
+    sizes = placed.groupBy("shard").agg(F.count("*").alias("n"), F.min("name").alias("a"), F.max("name").alias("b")).filter("a <> b")
+    sizes = sizes.select("shard", F.ceil(F.col("n") / bucket_rows).alias("blocks"))
+    sent = placed.join(sizes, "shard")
+    whole = sent.filter("blocks = 1").drop("blocks").withColumn("bucket", F.pmod(F.xxhash64("shard"), F.lit(buckets)).cast("string"))
+    cells = sent.filter("blocks > 1").withColumn("i", F.pmod(F.xxhash64("form"), "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    split = cells.withColumn("bucket", F.concat_ws(" ", "shard", F.least("i", "j"), F.greatest("i", "j"))).drop("blocks", "i", "j")
+    bucketed = whole.unionByName(split).repartition(max(tasks, buckets), "bucket")
+    found = cut(bucketed.groupBy("bucket").applyInPandas(lambda pdf: _join(pdf, distance), "a string, b string, sort string, distance int").distinct())
     strong = classes_of(found.filter("sort = 'f'"))
     # A key that says enough in one of its spellings is not weak in another.
     sure = placed.filter("sort = 'f'").select(F.col("key").alias("k")).distinct()
@@ -329,7 +376,20 @@ def link_names(names: DataFrame) -> DataFrame:
     known = cut(joined.unionByName(alone))
     # Weak names that fit no class still go together where they are the same.
     rest = found.filter("sort = 'v'").join(known.select(F.col("key").alias("a")), "a", "left_anti").join(known.select(F.col("key").alias("b")), "b", "left_anti")
-    return known.unionByName(classes_of(rest))
+    return known.unionByName(classes_of(rest)), found.select("a", "b")
+
+
+def link_names(names: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(key, class) of every name key that is linked to another. ``names`` has one column, name."""
+    return linked(names, distance, bucket_rows)[0]
+
+
+def with_links(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """key, class, n_links: how many names of its class a name was found near to itself."""
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    of = lambda end: classes.select(F.col("key").alias(end), F.col("class").alias(f"class_{end}"))
+    counts = ends.join(of("a"), "a").join(of("b"), "b").filter("class_a = class_b").groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n_links"))
+    return classes.join(counts, "key", "left").fillna(0, ["n_links"])
 
 
 def pairs(classes: DataFrame) -> DataFrame:
@@ -345,13 +405,14 @@ def all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of name keys of one act."""
-    return pairs(link_names(all_names(spark, sf_dir)))
+    """Pairs of name keys of one act; a name without a-z and 0-9 has no key here."""
+    classes = link_names(all_names(spark, sf_dir))
+    return pairs(classes.filter(F.col("key").rlike("^[a-z0-9 ]+$")))
 
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each linked name key with its class."""
-    return link_names(all_names(spark, sf_dir))
+    """Each linked name key with its class and its number of links."""
+    return with_links(*linked(all_names(spark, sf_dir)))
 
 
 QUERIES = {q.__name__: q for q in (p3_found, p3_classes)}
