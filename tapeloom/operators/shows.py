@@ -24,6 +24,12 @@ def show_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("id").alias("show_id"), F.col("id").cast("string").alias("sk"), *[nested.text_of(F.col("doc"), f).alias(f) for f in SHOW_FIELDS])
 
 
+def fields(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """show_id and some scalar fields of every show with valid meta once; only they are shuffled, not the documents."""
+    docs = nested.parse_documents(table(spark, sf_dir, "shows").select("id", "meta"), "meta").filter(F.schema_of_variant("doc").startswith("OBJECT"))
+    return docs.select(F.col("id").alias("show_id"), *[nested.text_of(F.col("doc"), f).alias(f) for f in names]).distinct()
+
+
 def part_rows(docs: DataFrame) -> DataFrame:
     """One row per part, with its place in the show's list."""
     parts = nested.flatten(docs, "id", levels=LEVELS)["parts"]
