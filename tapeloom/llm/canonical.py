@@ -3,12 +3,15 @@
 Method: a multi-pattern automaton (Aho-Corasick) over the folded names and their aliases finds the mentions
 embedded in a value, at word boundaries; the longest non-overlapping ones win. What has no mention goes to
 token-set similarity: every word of the entry must have its own word in the value, equal, one typing
-error away, or its abbreviation. Candidates come from an index of the words and of what is left of them
-with one letter taken out, so a value is compared with the few entries that share a word, not with all.
+error away, or its abbreviation. Candidates come from an index of the entries' rarest words and of what is left of
+them with one letter taken out: an entry is never meant without its rarest word, so a word that thousands of
+names have brings up only those entries that have no rarer one.
 
 Of entries with one name, the record's other fields (city, state) choose. Values without an entry map to ''.
 Only distinct values are mapped, whatever the number of rows. The list is sent to all tasks; its size is
-checked, and a list beyond ``MOST_ENTRIES`` is mapped shard by shard, the best of all shards winning.
+checked, and a list beyond ``MOST_ENTRIES`` is mapped shard by shard. Every shard gives its best entry with what
+it is the best by (kind of match, length or score, place, region, weight), and the least of all shards wins, as
+it would in one list.
 
 Null and blank values give no rows. Values are equal to an entry only character for character.
 """
@@ -17,15 +20,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
+import uuid
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.llm import lookalike
 from tapeloom.operators import shows
-from tapeloom.tables import table
+from tapeloom.tables import cut, table
 
 #: Entries of a list that every task may hold (some 100 bytes each).
 MOST_ENTRIES = 200_000
@@ -75,17 +79,24 @@ def _less(w: str) -> set[str]:
     return {w} | {w[:i] + w[i + 1 :] for i in range(len(w))} if len(w) >= 4 else {w}
 
 
+#: What an entry is the best by, least first: kind of match, then length or score, place in the text, agreement of place and region, weight.
+_BY = "kind int, by double, start int, place_apart int, region_apart int, lightness double"
+_NONE = (9, 0.0, 0, 0, 0, 0.0)
+
+
 class Lexicon:
-    """A reference list made ready: entries of (ref, name, place, region), with further names by ref."""
+    """A reference list made ready: entries of (ref, name, place, region) and maybe weight and core (the name's rarest
+    word in the whole list, if this is a part of it), with further names by ref."""
 
-    def __init__(self, entries: list[tuple[str, str, str, str]], aliases: dict[str, list[str]] | None = None, codes: bool = False):
+    def __init__(self, entries: Iterable[tuple], aliases: dict[str, list[str]] | None = None, codes: bool = False):
         import ahocorasick
 
         self.codes = codes
-        self.entries = [(ref, fold(name), fold(place or ""), (region or "").lower()) for ref, name, place, region in entries]
+        given = [(*e, *(0.0, None)[len(e) - 4 :]) for e in entries]
+        self.entries = [(ref, fold(name), fold(place or ""), (region or "").lower(), float(weight)) for ref, name, place, region, weight, _ in given]
         self.names: dict[str, list[int]] = defaultdict(list)
         self.exact: dict[str, list[int]] = defaultdict(list)
-        for i, (ref, name, _, _) in enumerate(self.entries):
+        for i, (ref, name, *_) in enumerate(self.entries):
             for alias in {a for n in (name, *map(fold, (aliases or {}).get(ref, ()))) for a in self._forms(n)}:
                 self.names[alias].append(i)
                 self.exact[alias.replace(" ", "")].append(i)
@@ -93,16 +104,17 @@ class Lexicon:
                 self.exact[ref.lower()].append(i)
         self.automaton = ahocorasick.Automaton()
         for alias in self.names:
-            if len(alias) >= 4:
-                self.automaton.add_word(f" {alias} ", alias)
+            self.automaton.add_word(f" {alias} ", alias)
         if len(self.automaton):
             self.automaton.make_automaton()
+        counts = Counter(w for _, name, *_ in self.entries for w in set(name_words(name)))
+        self.cores = [core if core is not None else core_of(name_words(name), counts) for (_, name, *_), (*_, core) in zip(self.entries, given)]
         self.words: dict[str, set[str]] = defaultdict(set)
         self.heads: dict[str, set[str]] = defaultdict(set)
-        self.of: dict[str, set[int]] = defaultdict(set)
-        for i, (_, name, _, _) in enumerate(self.entries):
-            for w in set(name.split()) - {"the"}:
-                self.of[w].add(i)
+        self.of: dict[str, list[int]] = defaultdict(list)
+        for i, w in enumerate(self.cores):
+            if w:
+                self.of[w].append(i)
                 self.heads[w[:4]].add(w)
                 for v in _less(w):
                     self.words[v].add(w)
@@ -117,79 +129,125 @@ class Lexicon:
             forms.add(" ".join(w[:-1]))
         return {f for f in forms if f}
 
-    def mentions(self, text: str) -> list[str]:
-        """The longest non-overlapping names in a folded text."""
+    def mentions(self, text: str) -> list[tuple[str, int]]:
+        """The longest non-overlapping names in a folded text, with their places."""
         found = [(len(a), end - len(a) - 1, a) for end, a in self.automaton.iter(f" {text} ")] if len(self.automaton) else []
         taken, out = [], []
         for n, start, a in sorted(found, key=lambda f: (-f[0], f[1])):
             if all(start + n < s or e < start for s, e in taken):
                 taken.append((start, start + n))
-                out.append(a)
+                out.append((a, start))
         return out
 
     def similar(self, text: str) -> list[tuple[float, int]]:
-        """Entries whose every word has its own in the text, best first."""
+        """Entries whose every word has its own in the text."""
         words = [SHORT.get(w, w) for w in text.split()]
-        hits: dict[int, set[str]] = defaultdict(set)
-        for w in words:
-            for v in _less(w):
-                for full in self.words.get(v, ()):
-                    if near(w, full) or w == full:
-                        for i in self.of[full]:
-                            hits[i].add(full)
-            if len(w) >= 4:
-                for full in self.heads.get(w[:4], ()):
-                    if full.startswith(w):
-                        for i in self.of[full]:
-                            hits[i].add(full)
+        met = {full for w in words for v in _less(w) for full in self.words.get(v, ()) if near(w, full)}
+        met |= {full for w in words if len(w) >= 4 for full in self.heads.get(w[:4], ()) if full.startswith(w)}
         out = []
-        for i in hits:
-            name = [w for w in self.entries[i][1].split() if w != "the"]
-            core = max(name, key=lambda w: (-len(self.of[w]), len(w)))
-            if core not in hits[i]:
-                continue
-            left, score = list(words), 0.0
-            for w in sorted(name, key=len, reverse=True):
-                best, which = 0.0, None
-                for x in left:
-                    s = 1.0 if x == w else 0.9 if len(w) >= 4 and len(x) >= 3 and near(x, w) else 0.8 if len(x) >= 4 and w.startswith(x) else 0.7 if w != core and short_for(x, w) else 0.0
-                    if s > best:
-                        best, which = s, x
-                if which is None:
-                    break
-                left.remove(which)
-                score += best * len(w)
-            else:
-                out.append((score / sum(map(len, name)) - 0.01 * len(left), i))
-        return sorted(out, reverse=True)
-
-    def choose(self, found: list[int], place: str, region: str) -> str:
-        """Of namesakes, the one that the record's place or region means."""
-        found = sorted(set(found))
-        if len(found) > 1 and place:
-            same = [i for i in found if self.entries[i][2] == place] or [i for i in found if self.entries[i][2] and near(self.entries[i][2].replace(" ", ""), place.replace(" ", ""))]
-            found = same or found
-        if len(found) > 1 and region:
-            found = [i for i in found if self.entries[i][3] == region] or found
-        return self.entries[found[0]][0]
+        for core in met:
+            for i in self.of[core]:
+                name = name_words(self.entries[i][1])
+                left, score = list(words), 0.0
+                for w in sorted(name, key=len, reverse=True):
+                    best, which = 0.0, None
+                    for x in left:
+                        s = 1.0 if x == w else 0.9 if len(w) >= 4 and len(x) >= 3 and near(x, w) else 0.8 if len(x) >= 4 and w.startswith(x) else 0.7 if w != core and short_for(x, w) else 0.0
+                        if s > best:
+                            best, which = s, x
+                    if which is None:
+                        break
+                    left.remove(which)
+                    score += best * len(w)
+                else:
+                    out.append((round(score / sum(map(len, name)) - 0.01 * len(left), 9), i))
+        return out
 
-    def resolve(self, value: str, place: str = "", region: str = "") -> tuple[str, float]:
-        """(ref or '', similarity)."""
-        text = fold(value)
+    def choose(self, found: Iterable[int], place: str, region: str) -> tuple[int, int, float, str]:
+        """Of namesakes, the one that the record's place or region means, else the one of most weight, else the least ref:
+        (how far its place is, its region, lightness, ref)."""
+
+        def apart(i: int) -> tuple[int, int, float, str]:
+            ref, _, own_place, own_region, weight = self.entries[i]
+            where = 0 if not place or own_place == place else 1 if own_place and near(own_place.replace(" ", ""), place.replace(" ", "")) else 2
+            return where, int(bool(region) and own_region != region), -weight, ref
+
+        return min(map(apart, set(found)))
+
+    def best(self, value: str, place: str = "", region: str = "") -> tuple[tuple, str, float]:
+        """(what it is the best by, ref or '', similarity)."""
+        text, where = fold(value), fold(place)
         whole = self.exact.get(text.replace(" ", ""))
         if whole:
-            return self.choose(whole, fold(place), region), 1.0
+            *far, ref = self.choose(whole, where, region)
+            return (0, 0.0, 0, *far), ref, 1.0
         if self.codes and len(text.replace(" ", "")) <= 2:
-            return "", 0.0
-        named = self.mentions(text) or self.mentions(" ".join(SHORT.get(w, w) for w in text.split()))
-        if named:
-            return self.choose(self.names[named[0]], fold(place), region), 0.95
-        for part in dict.fromkeys((fold(re.sub(r"\([^)]*\)?", " ", value)), fold(re.split(r" [-–—@|/] |,|\(", value)[0]), text)):
-            near_ones = self.similar(part)
-            if near_ones:
-                best = near_ones[0][0]
-                return self.choose([i for s, i in near_ones if s == best], fold(place), region), best
-        return "", 0.0
+            return _NONE, "", 0.0
+        for kind, said in enumerate((text, " ".join(SHORT.get(w, w) for w in text.split())), 1):
+            if named := self.mentions(said):
+                alias, start = named[0]
+                *far, ref = self.choose(self.names[alias], where, region)
+                return (kind, -float(len(alias)), start, *far), ref, 0.95
+        for kind, part in enumerate(dict.fromkeys((fold(re.sub(r"\([^)]*\)?", " ", value)), fold(re.split(r" [-–—@|/] |,|\(", value)[0]), text)), 3):
+            if near_ones := self.similar(part):
+                score = max(s for s, _ in near_ones)
+                *far, ref = self.choose([i for s, i in near_ones if s == score], where, region)
+                return (kind, -score, 0, *far), ref, score
+        return _NONE, "", 0.0
+
+    def resolve(self, value: str, place: str = "", region: str = "") -> tuple[str, float]:
+        """(ref or '', similarity)."""
+        return self.best(value, place, region)[1:]
+
+
+def name_words(name: str) -> list[str]:
+    return [w for w in name.split() if w != "the"]
+
+
+def core_of(words: list[str], counts: dict[str, int]) -> str:
+    """The word that fewest names have; of those the longest, then the first."""
+    return max(words, key=lambda w: (-counts[w], len(w)), default="")
+
+
+def _with_cores(listed: DataFrame) -> DataFrame:
+    """The same by Spark, for lists of any length: adds ``core``."""
+
+    @F.pandas_udf("array<string>")
+    def words(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: name_words(fold(n)))
+
+    named = cut(listed.select("name").distinct().withColumn("words", words("name")))
+    each = named.select("name", F.posexplode("words").alias("at", "word"))
+    counts = listed.join(each, "name").groupBy("word").agg(F.count_distinct("ref", "name").alias("n"))
+    cores = each.join(counts, "word").groupBy("name").agg(F.max_by("word", F.struct(-F.col("n"), F.length("word"), -F.col("at"))).alias("core"))
+    return listed.join(cores, "name", "left").fillna("", ["core"])
+
+
+_LEXICONS: dict[str, Lexicon] = {}
+
+
+def _lexicon(pdf: pd.DataFrame, codes: bool) -> Lexicon:
+    text = lambda x: x if isinstance(x, str) else ""
+    cols = ["ref", "name", "place", "region", "weight", *(["core"] if "core" in pdf else [])]
+    rows = [(*map(text, r[:4]), *r[4:]) for r in pdf[cols].itertuples(index=False, name=None)]
+    return Lexicon(rows, {r: [a for a in al if a] for r, al in zip(pdf["ref"], pdf["aliases"]) if al is not None}, codes)
+
+
+def _sent_lexicon(name: str, sent, codes: bool) -> Lexicon:
+    """The lexicon of a list sent to all, built once for each worker process and not for each task."""
+    if name not in _LEXICONS:
+        while len(_LEXICONS) > 3:
+            _LEXICONS.pop(next(iter(_LEXICONS)))
+        _LEXICONS[name] = _lexicon(sent.value, codes)
+    return _LEXICONS[name]
+
+
+def _resolved(lexicon: Lexicon, pdf: pd.DataFrame) -> pd.DataFrame:
+    text = lambda x: x if isinstance(x, str) else ""
+    got = [lexicon.best(v, text(p), text(r)) for v, p, r in zip(pdf["value"], pdf["place"], pdf["region"])]
+    same = {c: pd.Series([x if isinstance(x, str) else None for x in pdf[c]], dtype=object) for c in ("value", "place", "region")}
+    by = {c.split()[0]: pd.Series([g[0][k] for g in got], dtype="float64" if c.endswith("double") else "int32") for k, c in enumerate(_BY.split(", "))}
+    return pd.DataFrame(same | by | {"ref": pd.Series([g[1] for g in got], dtype=object), "similarity": pd.Series([g[2] for g in got], dtype="float64")})
 
 
 def map_values(values: DataFrame, entries: DataFrame, codes: bool = False, most: int = MOST_ENTRIES) -> DataFrame:
@@ -200,51 +258,41 @@ def map_values(values: DataFrame, entries: DataFrame, codes: bool = False, most:
     """
     spark = values.sparkSession
     n = entries.count()
-    has_aliases = "aliases" in entries.columns
-    cols = [F.col(c).cast("string").alias(c) for c in ("ref", "name", "place", "region")] + [F.col("aliases") if has_aliases else F.lit(None).cast("array<string>").alias("aliases")]
-    cols.append((F.col("weight") if "weight" in entries.columns else F.lit(0)).cast("double").alias("weight"))
+    cols = [F.col(c).cast("string").alias(c) for c in ("ref", "name", "place", "region")] + [F.col("aliases") if "aliases" in entries.columns else F.lit(None).cast("array<string>").alias("aliases")]
+    cols.append(F.coalesce((F.col("weight") if "weight" in entries.columns else F.lit(0)).cast("double"), F.lit(0.0)).alias("weight"))
     listed = entries.filter("name is not null and ref is not null").select(*cols)
     # Few bytes but much work for each value: as many tasks as there are cores, where coalescing by size would make one.
     tasks = 2 * spark.sparkContext.defaultParallelism
     distinct = values.filter("value is not null").select("value", "place", "region").distinct().repartition(tasks)
-    schema = "value string, place string, region string, ref string, similarity double"
-
-    def build(pdf: pd.DataFrame) -> Lexicon:
-        pdf = pdf.sort_values(["weight", "ref"], ascending=[False, True])
-        rows = list(pdf[["ref", "name", "place", "region"]].itertuples(index=False, name=None))
-        return Lexicon([tuple(x if isinstance(x, str) else "" for x in r) for r in rows], {r: list(a) for r, a in zip(pdf["ref"], pdf["aliases"]) if a is not None}, codes)
-
-    def run(lexicon: Lexicon, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [lexicon.resolve(v, p if isinstance(p, str) else "", r if isinstance(r, str) else "") for v, p, r in zip(pdf["value"], pdf["place"], pdf["region"])]
-        same = {c: pd.Series([x if isinstance(x, str) else None for x in pdf[c]], dtype=object) for c in ("value", "place", "region")}
-        return pd.DataFrame(same | {"ref": pd.Series([g[0] for g in got], dtype=object), "similarity": pd.Series([g[1] for g in got], dtype="float64")})
-
+    schema = f"value string, place string, region string, {_BY}, ref string, similarity double"
+    out = ["value", "place", "region", "ref", "similarity"]
     if n <= most:
-        sent = spark.sparkContext.broadcast(listed.toPandas())
+        sent, name = spark.sparkContext.broadcast(listed.toPandas()), uuid.uuid4().hex
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            lexicon = build(sent.value)
+            lexicon = _sent_lexicon(name, sent, codes)
             for pdf in batches:
-                yield run(lexicon, pdf)
+                yield _resolved(lexicon, pdf)
 
-        return distinct.mapInPandas(each, schema)
+        return distinct.mapInPandas(each, schema).select(*out)
     shards = -(-n // most)
     salts = spark.sparkContext.defaultParallelism
     left = distinct.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = listed.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    both = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(lambda a, b: run(build(b), a), schema)
-    return both.groupBy("value", "place", "region").agg(F.max(F.struct("similarity", "ref")).alias("m")).select("value", "place", "region", "m.ref", "m.similarity")
+    right = _with_cores(listed).withColumn("shard", F.pmod(F.xxhash64("ref", "name"), F.lit(shards)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    both = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(lambda a, b: _resolved(_lexicon(b, codes), a), schema)
+    best = F.min(F.struct(*[c.split()[0] for c in _BY.split(", ")], "ref", "similarity")).alias("m")
+    return both.groupBy("value", "place", "region").agg(best).select("value", "place", "region", "m.ref", "m.similarity")
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All typed values: tbl, field, rec_id, value, place, region. A region is a code where it can be read as one."""
-    s = shows.show_rows(shows.documents(spark, sf_dir))
+    s = cut(shows.fields(spark, sf_dir, "venue", "city", "state"))
     states = mapped_states(spark, sf_dir, s.select("state"))
     s = s.join(states, "state", "left")
     venues = s.select(F.lit("shows").alias("tbl"), F.lit("venue").alias("field"), F.col("show_id").alias("rec_id"), F.col("venue").alias("value"), F.col("city").alias("place"), F.col("code").alias("region"))
     codes = s.select(F.lit("shows").alias("tbl"), F.lit("state").alias("field"), F.col("show_id").alias("rec_id"), F.col("state").alias("value"), F.lit(None).cast("string").alias("place"), F.lit(None).cast("string").alias("region"))
     learned = table(spark, sf_dir, "venues").select(F.lit("venues").alias("tbl"), F.lit("city").alias("field"), F.col("rid").alias("rec_id"), F.col("city").alias("value"), F.lit(None).cast("string").alias("place"), F.lower("state").alias("region"))
-    return venues.unionByName(codes).unionByName(learned).filter("value is not null and value <> ''").distinct()
+    return venues.unionByName(codes).unionByName(learned).filter("value is not null and value <> ''")
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +309,7 @@ def mapped_states(spark: SparkSession, sf_dir: str, states: DataFrame) -> DataFr
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = _typed(spark, sf_dir)
+    typed = cut(_typed(spark, sf_dir).distinct())
     lists = {
         "venue": (table(spark, sf_dir, "ref_venues").select(F.col("venue_id").alias("ref"), F.col("venue").alias("name"), F.col("city").alias("place"), F.col("state").alias("region")), False),
         "state": (_states(spark, sf_dir), True),
