@@ -1,34 +1,39 @@
 """Deeply nested records into related flat tables.
 
-Method: the documents' merged schema is inferred (one aggregate over all records), then every
-array level is exploded into a child table, from the top down. A child row carries its parent's
-surrogate key and its ordinal in the parent's list; its own surrogate key is the parent's key, the
-field and the ordinal, so the chain of parents can be read back from it and needs no counter that
-all tasks would share.
-
-Lists of objects come in four stored forms, and all are read: an array, an array written again as
-JSON text, an object whose keys are the ordinals, and one bare object. Nulls in a list keep their
-place and give no row. A document that is not valid JSON gives no rows; it is listed by
-:func:`invalid_documents`.
+Method: the documents' merged schema is inferred, then every array level is exploded into a child table, from the
+top down. A child row carries its parent's surrogate key and its ordinal in the parent's list; its own surrogate
+key is the parent's key, the field and the ordinal, so the chain of parents can be read back from it and needs no
+counter that all tasks would share.
+
+Inference is one aggregate for the root and one for each depth below it, over all documents and for all fields of
+that depth at once. A field is a level if any document has a list there; where a field only ever holds one object,
+the lists inside it are levels by their path; a list whose items are lists has a level of its own, "[]". There is
+no bound on the depth: it ends where no field holds a list or an object.
+
+Lists come in four stored forms, and all are read: an array, an array written again as JSON text, an object whose
+keys are the ordinals, and (of a field that is a list elsewhere) one bare object. Text counts as a list for
+inference only if objects or lists are in it: "[1]" may be a remark. Nulls in a list keep their place and give no
+row. A document that is not valid JSON gives no rows; it is listed by :func:`invalid_documents`.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: The deepest nesting that inference follows.
-MAX_DEPTH = 8
-
 
 @dataclass(frozen=True)
 class Level:
-    """One list of objects inside its parent, with the lists inside its own objects."""
+    """One list inside its parent: the fields that lead to it (none, if the parent's item is the list), and the lists inside its own items."""
+
+    path: tuple[str, ...]
+    children: tuple["Level", ...] = ()
 
-    name: str
-    children: tuple["Level", ...] = field(default_factory=tuple)
+    @property
+    def name(self) -> str:
+        return ".".join(self.path) or "[]"
 
 
 def parse_documents(df: DataFrame, text: str, into: str = "doc") -> DataFrame:
@@ -46,25 +51,33 @@ def merged_schema(df: DataFrame, doc: str = "doc") -> str:
     return df.agg(F.schema_of_variant_agg(F.col(doc)).alias("s")).first()["s"] or "VOID"
 
 
-def list_fields(schema: str) -> list[str]:
-    """Fields at the top of a merged schema that may hold a list of records: arrays of objects, and
-    fields stored in more than one form."""
-    inner = re.fullmatch(r"OBJECT<(.*)>", schema, re.S)
+def schema_fields(schema: str) -> list[tuple[str, str]]:
+    """(name, kind) of the fields at the top of a merged schema."""
+    inner = re.fullmatch(r"OBJECT<(.*)>", schema or "", re.S)
     found, at, text = [], 0, inner[1] if inner else ""
     while m := re.compile(r"\s*(`(?:[^`]|``)*`|[^:,\s]+):\s*", re.S).match(text, at):
         start, depth, at = m.end(), 0, m.end()
         while at < len(text) and (depth or text[at] != ","):
             depth += {"<": 1, ">": -1}.get(text[at], 0)
             at += 1
-        kind = text[start:at].strip()
-        if kind.startswith(("ARRAY<OBJECT", "ARRAY<VARIANT")) or kind == "VARIANT":
-            found.append(m[1].strip("`").replace("``", "`"))
+        name = m[1][1:-1].replace("``", "`") if m[1].startswith("`") else m[1]
+        found.append((name, text[start:at].strip()))
         at += 1
     return found
 
 
-def _texts(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
+def inside(doc: Column, path: tuple[str, ...]) -> Column:
+    """What the fields of ``path`` lead to, whatever signs their names are made of; null where one is absent."""
+    for name in path:
+        if re.fullmatch(r"[A-Za-z_]\w*", name):
+            doc = F.try_variant_get(doc, f"$.{name}", "variant")
+        else:
+            doc = F.try_element_at(F.try_variant_get(doc, "$", "map<string,variant>"), F.lit(name))
+    return doc
+
+
+#: Keys of an object that may be ordinals: as many digits as a long has for sure.
+ORDINAL = "^[0-9]{1,18}$"
 
 
 def entries(v: Column) -> Column:
@@ -77,7 +90,7 @@ def entries(v: Column) -> Column:
     pairs = lambda x: F.map_entries(F.try_variant_get(x, "$", "map<string,variant>"))
     placed = lambda a: F.transform(a, lambda x, i: F.struct((i + 1).cast("long").alias("ord"), x.alias("item")))
     numbered = lambda p: F.transform(p, lambda e: F.struct(e["key"].cast("long").alias("ord"), e["value"].alias("item")))
-    digits = lambda p: F.forall(p, lambda e: e["key"].rlike(r"^[0-9]{1,9}$"))
+    digits = lambda p: F.forall(p, lambda e: e["key"].rlike(ORDINAL))
     single = lambda x: F.array(F.struct(F.lit(1).cast("long").alias("ord"), x.alias("item")))
 
     def read(x: Column) -> Column:
@@ -95,25 +108,91 @@ def is_null_item(v: Column) -> Column:
     return v.isNull() | F.is_variant_null(v)
 
 
-def child_table(parent: DataFrame, name: str, sk: str = "sk", doc: str = "doc", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of list ``name`` inside ``parent``'s documents: keep…, parent_sk, ordinal, sk, doc."""
+def child_table(parent: DataFrame, path: tuple[str, ...], sk: str = "sk", doc: str = "doc", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of the list that ``path`` leads to inside ``parent``'s documents: keep…, parent_sk, ordinal, sk, doc."""
     return (
-        parent.select(*keep, F.col(sk).alias("parent_sk"), F.explode(entries(F.try_variant_get(F.col(doc), f"$.{name}", "variant"))).alias("e"))
+        parent.select(*keep, F.col(sk).alias("parent_sk"), F.explode(entries(inside(F.col(doc), path))).alias("e"))
         .select(*keep, "parent_sk", F.col("e.ord").alias("ordinal"), F.col("e.item").alias("doc"))
         .filter(~is_null_item(F.col("doc")))
-        .withColumn("sk", F.concat_ws("/", "parent_sk", F.concat(F.lit(name), F.lit(":"), F.col("ordinal"))))
+        .withColumn("sk", F.concat_ws("/", "parent_sk", F.concat(F.lit(Level(path).name), F.lit(":"), F.col("ordinal"))))
     )
 
 
-def infer_levels(df: DataFrame, doc: str = "doc", depth: int = MAX_DEPTH) -> tuple[Level, ...]:
-    """The tree of lists of objects in the documents. One aggregate for each list found."""
-    found = []
-    base = df.select(F.lit("").alias("sk"), F.col(doc).alias("doc"))
-    for name in list_fields(merged_schema(base)) if depth else []:
-        below = child_table(base, name).filter(F.schema_of_variant("doc").startswith("OBJECT"))
-        if not below.isEmpty():
-            found.append(Level(name, infer_levels(below, "doc", depth - 1)))
-    return tuple(found)
+def _signs(v: Column) -> Column:
+    """What a value shows of being a list: (is_list, item) for each item of a list, or for a bare object itself."""
+    kind = F.schema_of_variant
+    array = lambda x: F.try_variant_get(x, "$", "array<variant>")
+    pairs = lambda x: F.map_entries(F.try_variant_get(x, "$", "map<string,variant>"))
+    one = lambda is_list: lambda x: F.struct(F.lit(is_list).alias("is_list"), x.alias("item"))
+    numbered = lambda p: (F.size(p) > 0) & F.forall(p, lambda e: e["key"].rlike(ORDINAL))
+
+    def of_object(x: Column) -> Column:
+        p = pairs(x)
+        return F.when(numbered(p), F.transform(p, lambda e: one(True)(e["value"]))).otherwise(F.array(one(False)(x)))
+
+    def read(x: Column) -> Column:
+        return F.when(kind(x).startswith("ARRAY"), F.transform(array(x), one(True))).when(kind(x).startswith("OBJECT"), of_object(x))
+
+    text = F.try_variant_get(v, "$", "string")
+    parsed = F.try_parse_json(F.when(text.rlike(r"^\s*[\[{]"), text))
+    deep = F.filter(read(parsed), lambda e: kind(e["item"]).rlike("^(OBJECT|ARRAY)"))
+    return F.when(kind(v) == "STRING", deep).otherwise(read(v))
+
+
+@dataclass
+class _Node:
+    """A place whose fields are looked through: rows with ``doc``, the fields that lead to the place, and its merged schema."""
+
+    rows: DataFrame
+    level: list
+    path: tuple[str, ...]
+    schema: str
+    lists: bool
+    known: tuple[Level, ...]
+
+    def candidates(self) -> list[tuple[str, ...]]:
+        own = [()] if self.lists else []
+        return own + [(*self.path, name) for name, kind in schema_fields(self.schema) if kind.startswith(("ARRAY", "OBJECT", "VARIANT", "STRING"))]
+
+
+def infer_levels(df: DataFrame, doc: str = "doc", known: tuple[Level, ...] = ()) -> tuple[Level, ...]:
+    """The tree of lists in the documents: an aggregate for the root, and one for each depth.
+
+    ``known`` names fields that mean a list even where these documents only ever hold one bare object; one that
+    no document has is no level all the same. What comes to the driver is one row for each field that may hold a list, never one for a document.
+    """
+    base = df.select(F.lit("").alias("sk"), F.col(doc).alias("doc")).filter(F.col("doc").isNotNull())
+    kind = F.schema_of_variant(F.col("doc"))
+    root: list = []
+    first = base.agg(F.schema_of_variant_agg(F.when(kind.startswith("OBJECT"), F.col("doc"))).alias("s"), F.bool_or(kind.startswith("ARRAY")).alias("lists")).first()
+    nodes = [_Node(base, root, (), first["s"] or "VOID", bool(first["lists"]), known)]
+    while nodes:
+        asked, signs = [], None
+        for node in nodes:
+            found = []
+            for path in node.candidates():
+                found.append(F.struct(F.lit(len(asked)).alias("n"), inside(F.col("doc"), path).alias("v")))
+                asked.append((node, path))
+            if found:
+                rows = node.rows.select(F.explode(F.array(*found)).alias("e")).select("e.*").filter(F.schema_of_variant("v").rlike("^(ARRAY|OBJECT|STRING$)"))
+                rows = rows.select("n", F.explode(_signs(F.col("v"))).alias("e")).select("n", "e.*")
+                signs = rows if signs is None else signs.unionByName(rows)
+        if signs is None:
+            break
+        kind = F.schema_of_variant(F.col("item"))
+        seen = signs.groupBy("n").agg(F.bool_or("is_list").alias("level"), F.schema_of_variant_agg(F.when(kind.startswith("OBJECT"), F.col("item"))).alias("s"), F.bool_or(F.col("is_list") & kind.startswith("ARRAY")).alias("lists"))
+        nodes = []
+        for r in sorted(seen.collect(), key=lambda r: r["n"]):
+            node, path = asked[r["n"]]
+            told = next((level for level in node.known if level.path == path), None)
+            if r["level"] or told:
+                below: list = []
+                node.level.append((path, below))
+                nodes.append(_Node(child_table(node.rows, path), below, (), r["s"] or "VOID", bool(r["lists"]), told.children if told else ()))
+            elif path:
+                nodes.append(_Node(node.rows, node.level, path, r["s"] or "VOID", False, node.known))
+    tree = lambda levels: tuple(Level(path, tree(below)) for path, below in levels)
+    return tree(root)
 
 
 def flatten(df: DataFrame, key: str, doc: str = "doc", levels: tuple[Level, ...] | None = None) -> dict[str, DataFrame]:
@@ -127,14 +206,23 @@ def flatten(df: DataFrame, key: str, doc: str = "doc", levels: tuple[Level, ...]
 
     def down(parent: DataFrame, prefix: str, below: tuple[Level, ...]) -> None:
         for level in below:
-            path = f"{prefix}.{level.name}" if prefix else level.name
-            tables[path] = child_table(parent, level.name, keep=(key,))
-            down(tables[path], path, level.children)
+            name = f"{prefix}.{level.name}" if prefix else level.name
+            tables[name] = child_table(parent, level.path, keep=(key,))
+            down(tables[name], name, level.children)
 
     down(root, "", infer_levels(root) if levels is None else levels)
     return tables
 
 
+def level_names(levels: tuple[Level, ...], prefix: str = "") -> list[str]:
+    """The names of all tables below the root, as :func:`flatten` gives them."""
+    out = []
+    for level in levels:
+        name = f"{prefix}.{level.name}" if prefix else level.name
+        out += [name, *level_names(level.children, name)]
+    return out
+
+
 def text_of(doc: Column, name: str) -> Column:
     """A scalar field as text; null where it is absent, null or no scalar."""
     v = F.try_variant_get(doc, f"$.{name}", "variant")
@@ -143,7 +231,7 @@ def text_of(doc: Column, name: str) -> Column:
 
 def whole_of(doc: Column, name: str) -> Column:
     """A number stored as a number or as text, as a long; null where it is neither."""
-    return F.try_to_number(F.regexp_extract(text_of(doc, name), r"^\s*(-?[0-9]{1,18})\s*$", 1), F.lit("S999999999999999999")).cast("long")
+    return F.regexp_extract(text_of(doc, name), r"^\s*([-+]?[0-9]+)\s*$", 1).try_cast("long")
 
 
 def flag_of(doc: Column, name: str) -> Column:

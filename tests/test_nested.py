@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from tapeloom.operators import nested, shows
 from tapeloom.plans import problems
 
@@ -39,7 +42,7 @@ def test_links_and_lenient_types(spark):
 
 def test_inferred_levels(spark):
     levels = {lv.name: [c.name for c in lv.children] for lv in nested.infer_levels(frame(spark))}
-    assert levels == {"tracks": [], "parts": ["tracks"]}
+    assert levels == {"tracks": [], "parts": ["tracks"], "venue": []}
 
 
 def test_fields_without_a_column_are_kept(spark, tmp_path):
@@ -49,9 +52,44 @@ def test_fields_without_a_column_are_kept(spark, tmp_path):
     assert got == {("", "1", "extras", '[{"t":1}]'), ("parts", "1/parts:1", "mood", '{"a":"b"}'), ("tracks", "1/tracks:1", "rating", "5"), ("parts.tracks", "1/parts:1/tracks:1", "x y", "true")}
 
 
-def test_list_fields():
-    assert nested.list_fields("OBJECT<a: STRING, b: ARRAY<OBJECT<c: BIGINT, d: ARRAY<STRING>>>, `x y`: VARIANT, e: ARRAY<STRING>>") == ["b", "x y"]
-    assert nested.list_fields("VOID") == []
+def docs_of(spark, *docs):
+    return nested.parse_documents(spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs, 1)], "id long, meta string"), "meta")
+
+
+@pytest.mark.parametrize(
+    "docs, want",
+    [
+        ([{"t": json.dumps([{"a": 1}])}, {"t": "no list"}], {"t": ["1/t:1"]}),  # only as JSON text
+        ([{"t": {"1": {"a": 1}, "12345678901": {"a": 2}}}], {"t": ["1/t:1", "1/t:12345678901"]}),  # only as an object of ordinals
+        ([{"m": [[{"a": 1}, {"a": 2}], [{"a": 3}]]}], {"m": ["1/m:1", "1/m:2"], "m.[]": ["1/m:1/[]:1", "1/m:1/[]:2", "1/m:2/[]:1"]}),  # lists of lists
+        ([{"a": {"b": {"tracks": [{"x": 1}]}}}], {"a.b.tracks": ["1/a.b.tracks:1"]}),  # inside objects
+        ([{"t": ["One", "Two"]}], {"t": ["1/t:1", "1/t:2"]}),  # of plain values
+        ([{"t": ["One", {"l": [1]}]}, {"t": {"l": [2]}}], {"t": ["1/t:1", "1/t:2", "2/t:1"], "t.l": ["1/t:2/l:1", "2/t:1/l:1"]}),
+        ([{"a b'c": [{"x.y": [1]}]}], {"a b'c": ["1/a b'c:1"], "a b'c.x.y": ["1/a b'c:1/x.y:1"]}),  # odd names
+        ([{"o": {"x": 1}, "n": "[1]", "m": "[4:33]", "s": None}], {}),
+        ([[{"a": 1}], {"b": 1}], {"[]": ["1/[]:1", "2/[]:1"]}),
+        ([{"d": [{"d": [{"d": [{"d": [{"d": [{"d": [{"d": [{"d": [{"d": [{"d": [7]}]}]}]}]}]}]}]}]}]}], {".".join(["d"] * n): ["1" + "/d:1" * n] for n in range(1, 11)}),  # ten deep
+    ],
+)
+def test_every_kind_of_level_is_inferred(spark, docs, want):
+    tables = nested.flatten(docs_of(spark, *docs), "id")
+    assert {name: sorted(r["sk"] for r in t.select("sk").collect()) for name, t in tables.items() if name} == want
+
+
+def test_schema_fields():
+    assert nested.schema_fields("OBJECT<a: STRING, b: ARRAY<OBJECT<c: BIGINT, d: ARRAY<STRING>>>, `x y`: VARIANT, e: ARRAY<STRING>>") == [("a", "STRING"), ("b", "ARRAY<OBJECT<c: BIGINT, d: ARRAY<STRING>>>"), ("x y", "VARIANT"), ("e", "ARRAY<STRING>")]
+    assert nested.schema_fields("VOID") == []
+
+
+def test_known_lists_stored_as_one_object(spark):
+    docs = docs_of(spark, {"parts": {"dir": "x", "tracks": {"title": "One"}}}, {"other": 1})
+    assert nested.level_names(nested.infer_levels(docs, known=shows.LEVELS)) == ["parts", "parts.tracks"]
+    assert nested.infer_levels(docs_of(spark, {"a": 1}), known=shows.LEVELS) == nested.infer_levels(docs.filter("false"), known=shows.LEVELS) == ()
+
+
+def test_long_whole_numbers(spark):
+    rows = docs_of(spark, {"n": 1234567890123456789}, {"n": " 9223372036854775807 "}, {"n": "9223372036854775808"}, {"n": "1.5"}, {"n": -3}, {"n": None})
+    assert [r["n"] for r in rows.orderBy("id").select(nested.whole_of(F.col("doc"), "n").alias("n")).collect()] == [1234567890123456789, 9223372036854775807, None, None, -3, None]
 
 
 def test_invalid_and_empty(spark):
