@@ -7,9 +7,10 @@ helps, each run of suspicious words by itself, since a text may be garbled in pa
 
 The garbling cost knows no words: it counts what written language does not do. Control characters,
 replacement characters, symbols that touch letters, letters of different scripts side by side, capitals
-after small letters, words made of accented Latin letters only. UTF-8 proves itself when a strict decode
-of several bytes succeeds, so any drop will do; single-byte encodings decode anything, so what they give
-must be free of garbling.
+after small letters, words made of accented Latin letters only, phonetic letters and other rare ones. UTF-8
+proves itself when a strict decode of several bytes succeeds, so any drop will do; single-byte encodings decode
+anything, so what they give must be free of garbling. A text whose cost is 0 is left alone, and every change
+lowers the cost of the whole text, so the layers end by themselves however many there are.
 
 A text is affected when a repair is found or when it holds what no repair can remove: replacement and
 control characters, or the remains of sequences whose bytes were lost. Null, empty and ASCII texts are
@@ -36,11 +37,15 @@ CONFUSED = (
     (("cp1252", "latin-1"), ("cp1250", "iso8859-2")),
     (("cp1251", "koi8-r", "cp866"), ("cp1251", "koi8-r", "cp866")),
 )
-#: Nested layers that are looked through at most.
-LAYERS = 5
 
+# Signs that the bytes of a sequence are shown as; the letters among them, in Windows-1252; quotes and dashes.
 _SYMBOLS = set("¡¢£¤¥¦§¨©ª«¬®¯°±²³´¶·¸¹»¼½¾¿×÷‚„†‡•…‰‹›€™ƒˆ˜⌐₧\xa0\xad")
+_SHOWN_LETTERS = set("ŠŒŽšœžŸ")
 _QUOTES = set("“”‘’–—")
+# Of the letters from U+0180 to U+02AF those that alphabets in use have (Azeri, Vietnamese, Pinyin, Romanian); the rest is rare.
+_IN_USE = {0x18F, 0x192, 0x1A0, 0x1A1, 0x1AF, 0x1B0, *range(0x1CD, 0x1DD), 0x1E6, 0x1E7, *range(0x1FA, 0x200), *range(0x218, 0x21C), 0x259}
+# Of the marks from U+0300 to U+036F those that such alphabets put on letters.
+_MARKS = {*range(0x300, 0x30D), 0x30F, 0x311, 0x31B, *range(0x323, 0x329), 0x331}
 
 
 def _table(encoding: str) -> dict[str, int]:
@@ -62,7 +67,7 @@ def _tables() -> dict[str, dict[str, int]]:
 @lru_cache(maxsize=1 << 12)
 def _kind(c: str) -> str:
     """What a character counts as: l and U for small and capital Latin letters of ASCII, a and A for others of
-    Latin-1, e and E for further Latin ones, g/c with G/C for Greek and Cyrillic, s for a suspicious symbol, b for
+    Latin-1, e and E for further Latin ones, r for rare letters and marks, g/c with G/C for Greek and Cyrillic, s for a suspicious symbol, b for
     box drawing and mathematics, x for controls and replacements, - for the rest."""
     o = ord(c)
     if o < 128:
@@ -73,6 +78,8 @@ def _kind(c: str) -> str:
         return "s"
     if 0x2190 <= o < 0x2600:
         return "b"
+    if 0x180 <= o < 0x2B0 and o not in _IN_USE or 0x300 <= o < 0x370 and o not in _MARKS:
+        return "r"
     if unicodedata.category(c).startswith("L"):
         big = c.isupper()
         if o < 0x100:
@@ -92,7 +99,7 @@ _WORD = re.compile(r"[^-]+")
 def cost(text: str, strange_from: int = 4) -> float:
     """How garbled a text looks; 0 for ordinary text in any language. Words of accented letters only count from that length on."""
     kinds = "".join(map(_kind, text))
-    total = 4.0 * kinds.count("x") + 2.0 * kinds.count("b")
+    total = 4.0 * kinds.count("x") + 2.0 * kinds.count("b") + 1.0 * kinds.count("r")
     for m in _WORD.finditer(kinds):
         w = m[0]
         letters = sum(k in _SCRIPT for k in w)
@@ -101,6 +108,8 @@ def cost(text: str, strange_from: int = 4) -> float:
             if k == "s":
                 total += 1.0 if letters else 0.5
             elif k in _SCRIPT:
+                if k == "A" and text[m.start() + i + 1 : m.start() + i + 2] in _SHOWN_LETTERS:
+                    total += 0.5
                 if after in _SCRIPT:
                     if _SCRIPT[k] != _SCRIPT[after]:
                         total += 1.0
@@ -137,8 +146,7 @@ def step(text: str) -> str | None:
             continue
         if len(got) < len(text):
             c = cost(got, 2)
-            # Windows-1252 shows some bytes of a sequence as ordinary letters, which cost nothing.
-            if c < now + 0.5 * (wrong == "cp1252") and (best is None or c < best):
+            if c < now and (best is None or c < best):
                 best, kept = c, got
     if kept is not None:
         return kept
@@ -166,12 +174,11 @@ def step(text: str) -> str | None:
 
 
 def _layers(text: str) -> str:
-    for _ in range(LAYERS):
+    while True:
         better = step(text)
-        if better is None or better == text:
+        if better is None:
             return text
         text = better
-    return text
 
 
 _RUN = re.compile(r"\S*[^\x00-\x7f]\S*(?:[ \xa0]\S*[^\x00-\x7f]\S*)*")
@@ -182,18 +189,15 @@ _ATOM = re.compile(r"[^\x00-\x7f]{2,}")
 
 def repair(text: str) -> str:
     """The text with its garbling undone as far as it can be: as a whole, else its runs, words and sequences."""
-    for _ in range(LAYERS):
-        if text.isascii():
-            return text
+    now = cost(text, 2)
+    while now:
         for attempt in (_layers, *(lambda t, p=p: p.sub(lambda m: _layers(m[0]), t) for p in (_RUN, _SINGLE, _ATOM))):
             got = attempt(text)
-            if got != text and (len(got) < len(text) or cost(got) < cost(text)):
+            if got != text and (c := cost(got, 2)) < now:
+                text, now = got, c
                 break
         else:
-            return text
-        text = got
-        if cost(text) < 1:
-            return text
+            break
     return text
 
 

@@ -30,6 +30,21 @@ def test_single_byte_confusion(right):
     assert mojibake.diagnose("Весна Город".encode(right).decode("latin-1"))[:2] == (True, "Весна Город")
 
 
+@pytest.mark.parametrize("layers", [1, 3, 6, 9])
+def test_any_number_of_layers(layers):
+    bad = "Mañana"
+    for _ in range(layers):
+        bad = bad.encode().decode("latin-1")
+    assert mojibake.diagnose(bad) == (True, "Mañana", True)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abÉéÃÂ®”’žŠœ°ñØ ", max_size=12))
+def test_every_change_lowers_the_cost(text):
+    got = mojibake.repair(text)
+    assert got == text or mojibake.cost(got, 2) < mojibake.cost(text, 2)
+
+
 def test_part_of_a_text():
     assert mojibake.diagnose("Мельница / " + sloppy("Señal"))[:2] == (True, "Мельница / Señal")
 
@@ -39,7 +54,7 @@ def test_what_cannot_be_restored_is_still_found(text):
     assert mojibake.diagnose(text)[0]
 
 
-@pytest.mark.parametrize("text", [*WORDS, "", None, "plain", "ÉTÉ À L’ÎLE", "KSIĘŻYC", "SÃO JOÃO", "MAÇÃ", "Süß & Äöü", "Тhе Bаnd", "naïve"])
+@pytest.mark.parametrize("text", [*WORDS, "", None, "plain", "ÉTÉ À L’ÎLE", "KSIĘŻYC", "SÃO JOÃO", "MAÇÃ", "Süß & Äöü", "Тhе Bаnd", "naïve", "CLICHÉ® live", "“ÉTÉ”", "CAFÉ’S", "ÚŽASNÝ", "BÍŽE", "Țara Șarpelui", "l’été – 30°"])
 def test_proper_text_is_no_case(text):
     assert not mojibake.diagnose(text)[0]
 
