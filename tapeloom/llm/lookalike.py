@@ -4,12 +4,14 @@ Method: Unicode's quick-check properties tell which characters a normal form lea
 surroundings. A text of such characters only is returned as it is. In others, the unstable segments are
 isolated: each unstable character with the starter before it and the marks after it, since normalisation
 can reach no further. Only those segments are normalised, and spliced into the unchanged rest. The classes
-are computed from Python's Unicode data, not listed.
+are computed from Python's Unicode data, not listed; a letter that may be drawn to the one before it (quick check
+"maybe": vowels and ends of Hangul syllables, vowel signs of Indic scripts) counts as unstable.
 
 The form: canonical composition everywhere; compatibility forms that only change a letter's look (full and
 half width, ligatures, letter-like and enclosed letters) decomposed; invisible characters removed; odd
-blanks made blanks; letters of Greek, Cyrillic and Armenian that stand inside Latin words for a Latin
-letter of the same look replaced by it. Typographic quotes, dashes and the ellipsis, superscripts and
+blanks made blanks; letters of other scripts that stand inside Latin words for a Latin letter of the same look
+replaced by it. Which letters look alike is read from Unicode's own table of confusable characters, in the form in
+which Spark ships it. A word wholly of such letters is taken for Latin where the rest of the text is. Typographic quotes, dashes and the ellipsis, superscripts and
 ordinals, and words wholly written in another script stay as they are; joiners stay between letters of
 scripts that need them.
 
@@ -19,25 +21,31 @@ are no cases. Null and empty texts are in form.
 
 from __future__ import annotations
 
+import glob
 import itertools
+import os
 import re
+import struct
 import unicodedata
+import zipfile
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
+import pyspark
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.llm import mojibake
 from tapeloom.operators import shows
 from tapeloom.tables import table
 
-# Letters of other scripts and the Latin letters they look like.
-LOOKS = {
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ј": "J",
-    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "υ": "u", "χ": "x", "γ": "y", "ϲ": "c", "ϳ": "j", "τ": "t", "η": "n", "ω": "w", "ε": "e",
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X", "З": "3", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y",
-    "а": "a", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ѕ": "s", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "г": "r", "п": "n",
-    "ո": "n", "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q",
+#: Where the table of confusable characters lies: in the ICU library in the folder "jars" of Spark's own home, or a path to it.
+CONFUSABLES = ""
+_IN_JAR = "com/ibm/icu/impl/data/icudata/confusables.cfu"
+# Letters that only resemble a Latin one, which that table leaves out. They count inside a Latin word only.
+RESEMBLE = {
+    "γ": "y", "τ": "t", "η": "n", "ω": "w", "ε": "e", "κ": "k", "χ": "x", "υ": "u", "ι": "i", "З": "3", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "г": "r", "п": "n",
+    "Ԛ": "Q", "Ү": "Y", "У": "Y", "ѵ": "v", "ց": "g", "զ": "q", "հ": "h", "һ": "h",
 }
 #: Scripts in whose words joiners and non-joiners are spelling.
 _JOINED = ("ARABIC", "SYRIAC", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "MONGOLIAN", "KHMER")
@@ -45,11 +53,57 @@ _JOINED = ("ARABIC", "SYRIAC", "DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI",
 _LOOK_TAGS = ("<wide>", "<narrow>", "<font>", "<circle>", "<square>", "<compat>")
 
 
+#: Scripts whose letters are not looked for in Latin words: Latin itself, and those that are not set letter by letter. Nor are letters written from right to left.
+_APART = ("LATIN", "CJK", "HIRAGANA", "KATAKANA", "HANGUL")
+
+
+def read_confusables(path: str = CONFUSABLES) -> dict[str, str]:
+    """Every character and what it is confused with, from ICU's compiled table, in its library or by itself."""
+    # Workers import pyspark out of an archive deep inside the home folder.
+    homes = [os.environ.get("SPARK_HOME", ""), *map(str, Path(pyspark.__file__).parents)]
+    found = [path] if path else [j for home in homes if home for j in sorted(glob.glob(os.path.join(home, "jars", "icu4j-*.jar")))]
+    if not found or not os.path.exists(found[0]):
+        raise FileNotFoundError(f"no table of confusable characters at {path or 'jars/icu4j-*.jar'}")
+    if found[0].endswith(".jar"):
+        with zipfile.ZipFile(found[0]) as z:
+            data = z.read(_IN_JAR)
+    else:
+        data = Path(found[0]).read_bytes()
+    body = data[int.from_bytes(data[:2], "big") :]
+    keys_at, n, values_at, _, strings_at, _ = struct.unpack(">6i", body[12:36])
+    out = {}
+    for key, value in zip(struct.unpack(f">{n}i", body[keys_at : keys_at + 4 * n]), struct.unpack(f">{n}H", body[values_at : values_at + 2 * n])):
+        # A key is a code point and, above it, the length less one; a value of length one is the character itself.
+        length = (key >> 24 & 0xFF) + 1
+        raw = value.to_bytes(2, "big") if length == 1 else body[strings_at + 2 * value : strings_at + 2 * (value + length)]
+        out[chr(key & 0xFFFFFF)] = raw.decode("utf-16-be", "surrogatepass")
+    return out
+
+
+@lru_cache(maxsize=1)
+def looks() -> tuple[dict[str, str], dict[str, str], re.Pattern]:
+    """Letters of other scripts with the Latin letter of the same look; the same with those that only resemble one; any of both."""
+    same = {}
+    for c, other in read_confusables().items():
+        if unicodedata.category(c)[0] == "L" and len(other) == 1 and other.isascii() and other.isalpha() and _script(c) not in _APART and unicodedata.bidirectional(c) == "L":
+            # The table has one form for I and l, and for a letter whose capital is only larger the small one.
+            twin = other.upper() if c.isupper() else other.lower() if c.islower() and c.upper() != c else other
+            same[c] = "I" if other == "l" and not c.islower() else "i" if other == "l" and c.islower() and "IOTA" in unicodedata.name(c, "") else twin
+    every = same | RESEMBLE
+    return same, every, re.compile(f"[{''.join(map(re.escape, every))}]")
+
+
 @lru_cache(maxsize=1)
 def _classes() -> tuple[re.Pattern, re.Pattern, dict[str, str]]:
     """Quick check, segments and the look-only decompositions."""
     compat: dict[str, str] = {}
     loose, blanks, unseen = [], [], []
+    # Quick check "maybe": what may be the second of a composed pair, and the vowels and ends of Hangul syllables.
+    maybe = {chr(o) for o in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for o in range(0x80, 0x20000):
+        pair = unicodedata.decomposition(chr(o)).split()
+        if len(pair) == 2 and not pair[0].startswith("<") and unicodedata.is_normalized("NFC", chr(o)):
+            maybe.add(chr(int(pair[1], 16)))
     # Nothing is assigned, or unstable, between these ranges.
     for o in itertools.chain(range(0x80, 0x20000), range(0x2F800, 0x2FA20), range(0xE0000, 0xE0200)):
         c = chr(o)
@@ -62,11 +116,11 @@ def _classes() -> tuple[re.Pattern, re.Pattern, dict[str, str]]:
             unseen.append(c)
         else:
             d = unicodedata.decomposition(c)
-            if d.startswith(_LOOK_TAGS) and o >= 0x2100 or d.startswith("<compat>") and unicodedata.name(c, "").startswith("LATIN") and o > 0x17F:
+            if d.startswith(_LOOK_TAGS) and o >= 0x2100 or d.startswith("<compat>") and unicodedata.name(c, "").startswith("LATIN") and o >= 0x17F:
                 n = unicodedata.normalize("NFKC", c)
                 if n != c and (kind[0] == "L" or kind == "Nl" or 0xFF00 <= o <= 0xFFEF or d.startswith(("<font>", "<circle>"))):
                     compat[c] = n
-            if c not in compat and (unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c)):
+            if c not in compat and (c in maybe or unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c)):
                 loose.append(c)
     every = lambda s: "".join(map(re.escape, s))
     # \x85 is a control that garbling makes; it is no blank that anyone meant.
@@ -86,19 +140,22 @@ def _script(c: str) -> str:
 
 def _latin_words(text: str) -> str:
     """Replaces letters of other scripts that stand for Latin ones."""
+    same, every, any_look = looks()
+    if not any_look.search(text):
+        return text
     words = list(_WORD.finditer(text))
     scripts = [{_script(c) for c in m[0]} for m in words]
     if not any("LATIN" in s for s in scripts):
         return text
-    # Short words wholly of look-alikes stand for Latin ones only where no word is truly foreign.
-    foreign = any(s - {"LATIN"} and "LATIN" not in s and any(c not in LOOKS for c in m[0]) for m, s in zip(words, scripts))
+    # A word wholly of look-alikes stands for a Latin one only where no word is truly foreign.
+    foreign = any(s - {"LATIN"} and "LATIN" not in s and any(c not in same for c in m[0]) for m, s in zip(words, scripts))
     out, at = [], 0
     for m, s in zip(words, scripts):
         w = m[0]
-        if s - {"LATIN"} and ("LATIN" in s or len(w) <= 3 and not foreign):
-            if all(c in LOOKS or _script(c) == "LATIN" for c in w):
-                out += [text[at : m.start()], "".join(LOOKS.get(c, c) for c in w)]
-                at = m.end()
+        fits = every if "LATIN" in s else {} if foreign else same
+        if s - {"LATIN"} and all(c in fits or _script(c) == "LATIN" for c in w):
+            out += [text[at : m.start()], "".join(fits.get(c, c) for c in w)]
+            at = m.end()
     return "".join([*out, text[at:]])
 
 

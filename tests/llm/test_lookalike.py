@@ -18,6 +18,15 @@ from tapeloom.llm import lookalike
         ("Части IV ΙΙ", "Части IV ΙΙ"),
         ("Dusty Needle Ⅳ", "Dusty Needle IV"),
         ("e​́", "é"),
+        ("Ꭺce Hall", "Ace Hall"),
+        ("PꓲNK Room", "PINK Room"),
+        ("Ⲟld Hall", "Old Hall"),
+        ("ſhow", "show"),
+        ("\u1112\u1161\u11ab\u1100\u116e\u11a8", "한국"),
+        ("\u09ac\u09c7\u09be", "\u09ac\u09cb"),
+        ("Тhe Ѕсоре РАМ", "The Scope PAM"),
+        ("Сон Весны / Scope", "Сон Весны / Scope"),
+        ("Hall סס", "Hall סס"),
     ],
 )
 def test_forms(text, form):
@@ -29,6 +38,22 @@ def test_no_cases(text):
     assert lookalike.inspect(text) == (False, text)
 
 
+def test_table_of_confusables():
+    table = lookalike.read_confusables()
+    assert table["\u0430"] == "a" and table["\u041e"] == "O" and table["m"] == "rn" and len(table) > 6000
+    with pytest.raises(FileNotFoundError):
+        lookalike.read_confusables("/nowhere/icu4j.jar")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(categories=["L", "M", "N", "Zs"]), max_size=8))
+def test_segments_give_what_the_whole_text_gives(text):
+    # Without look-only forms the form is the canonical composition, whatever the script.
+    quick, _, simple = lookalike._classes()
+    if not any(c in simple for c in text) and lookalike._latin_words(unicodedata.normalize("NFC", text)) == unicodedata.normalize("NFC", text):
+        assert lookalike.canonical(text) == unicodedata.normalize("NFC", text)
+
+
 def test_garbled_text_is_no_case():
     assert not lookalike.inspect("déjà".encode().decode("latin-1"))[0]
 
