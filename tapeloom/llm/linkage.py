@@ -35,6 +35,10 @@ DEPENDENT = 0.2
 SMOOTH = 1.0
 #: Confidence above which a candidate is a match: two equal claims on a release are both too weak.
 ENOUGH = 0.5
+#: Confidence from which a candidate is reported at all.
+REPORTED = 0.05
+#: Candidates that one task forms of a block, about; larger blocks are split.
+BLOCK_PAIRS = 200_000
 _DATE = r"(?<!\d)(\d{4}-\d\d-\d\d|\d{4}\.\d\d\.\d\d|\d\d-\d\d-\d\d)(?!\d)"
 
 
@@ -116,36 +120,53 @@ def likeness(a: str, b: str) -> float:
     return max(SequenceMatcher(None, w, v, False).ratio() for w in x for v in y if len(w) > 4 or len(v) > 4 or len(x) == 1) if any(len(w) > 4 for w in x + y) or len(x) == 1 else 0.0
 
 
-def vote(r) -> list[int]:
-    """The functions' votes on a candidate."""
-    out = dict.fromkeys(FUNCTIONS, 0)
-    if r.r_night:
-        out["night"] = 1 if r.r_night == r.s_night else -1
-    elif r.r_part:
-        out["part_of_date"] = 1 if r.s_night.startswith(r.r_part) else -1
-    if r.s_venue_ref and r.r_venue_ref:
-        out["venue_entry"] = 1 if r.s_venue_ref == r.r_venue_ref else -1
-    if r.s_venue and r.r_venue:
-        alike = 1.0 if r.s_venue == r.r_venue else likeness(r.s_venue, r.r_venue)
+def _compared(f, kind: str):
+    """A function of two texts over columns: once for each pair of texts in a batch, null where either is null."""
+
+    @F.pandas_udf(kind)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        known: dict[tuple, object] = {}
+        out = []
+        for pair in zip(a, b):
+            if pair[0] is None or pair[1] is None:
+                out.append(None)
+                continue
+            if pair not in known:
+                known[pair] = f(*pair)
+            out.append(known[pair])
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def votes() -> dict[str, Column]:
+    """The functions' votes on a candidate: 1, -1 or 0. Only texts that differ are compared in Python."""
+    alike, close = _compared(likeness, "double"), _compared(near, "boolean")
+    c = F.col
+    said = lambda *names: [c(n) != "" for n in names]
+    both = lambda a, b: (c(a) != "") & (c(b) != "")
+    yes_no = lambda test: F.when(test, 1).otherwise(-1)
+    venues = F.when(both("s_venue", "r_venue"), F.when(c("s_venue") == c("r_venue"), 1.0).otherwise(alike(*[F.when(both("s_venue", "r_venue") & (c("s_venue") != c("r_venue")), c(v)) for v in ("s_venue", "r_venue")])))
+    title = F.concat(F.lit(" "), c("r_title"), F.lit(" "))
+    named = lambda v: (c(v) != "") & F.contains(title, F.concat(F.lit(" "), c(v), F.lit(" ")))
+    told = named("s_venue") | named("s_city")
+    place = F.substring_index(F.expr("substring(concat(' ', r_title, ' '), locate(' live at ', concat(' ', r_title, ' ')) + 9)"), " on ", 1)
+    asks = ~told & F.contains(title, F.lit(" live at ")) & both("s_venue", "s_city")
+    of_title = F.greatest(*[alike(F.when(asks, c(v)), F.when(asks, place)) for v in ("s_venue", "s_city")])
+    cities = both("s_city", "r_city") & ~both("s_city_ref", "r_city_ref")
+    found = {
+        "night": F.when(c("r_night").isNotNull(), yes_no(c("r_night") == c("s_night"))),
+        "part_of_date": F.when(c("r_night").isNull() & c("r_part").isNotNull() & (c("r_part") != ""), yes_no(c("s_night").startswith(c("r_part")))),
+        "venue_entry": F.when(both("s_venue_ref", "r_venue_ref"), yes_no(c("s_venue_ref") == c("r_venue_ref"))),
         # A listed name against one that is not listed may be a name against a remark.
-        out["venue_words"] = 1 if alike >= 0.75 else -1 if alike < 0.6 and bool(r.s_venue_ref) == bool(r.r_venue_ref) else 0
-    if r.s_city_ref and r.r_city_ref:
-        out["city"] = 1 if r.s_city_ref == r.r_city_ref else -1
-    elif r.s_city and r.r_city:
-        out["city"] = 1 if near(r.s_city, r.r_city) else -1
-    if r.s_region and r.r_region:
-        out["region"] = 1 if r.s_region == r.r_region else -1
-    if r.r_title:
-        title = f" {r.r_title} "
-        if r.s_venue and f" {r.s_venue} " in title or r.s_city and f" {r.s_city} " in title:
-            out["title"] = 1
-        elif " live at " in title and r.s_venue and r.s_city:
-            place = title.split(" live at ", 1)[1].split(" on ")[0]
-            alike = max(likeness(r.s_venue, place), likeness(r.s_city, place))
-            out["title"] = 1 if alike >= 0.75 else -1 if alike < 0.6 else 0
-    out["spelling"] = 1 if r.s_key and r.s_key == r.r_key else 0
-    out["owned"] = {True: 1, False: -1}.get(r.owned, 0)
-    return list(out.values())
+        "venue_words": F.when(venues >= 0.75, 1).when((venues < 0.6) & (said("s_venue_ref")[0] == said("r_venue_ref")[0]), -1),
+        "city": F.when(both("s_city_ref", "r_city_ref"), yes_no(c("s_city_ref") == c("r_city_ref"))).when(cities, yes_no(close(*[F.when(cities, c(v)) for v in ("s_city", "r_city")]))),
+        "region": F.when(both("s_region", "r_region"), yes_no(c("s_region") == c("r_region"))),
+        "title": F.when(c("r_title") != "", F.when(told, 1).when(of_title >= 0.75, 1).when(of_title < 0.6, -1)),
+        "spelling": F.when((c("s_key") != "") & (c("s_key") == c("r_key")), 1),
+        "owned": F.when(c("owned"), 1).when(~c("owned"), -1),
+    }
+    return {f: F.coalesce(found[f], F.lit(0)) for f in FUNCTIONS}
 
 
 def _keyed(name: Column) -> Column:
@@ -162,8 +183,8 @@ def _folded(c: Column) -> Column:
 
 def _show_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """show_id, name, code, night, venue, city, state: from the meta, or from the folder name where the meta says nothing."""
-    docs = shows.documents(spark, sf_dir)
-    meta = shows.show_rows(docs).select("show_id", *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("artist", "date", "venue", "city", "state")])
+    told = ("artist", "date", "venue", "city", "state")
+    meta = shows.fields(spark, sf_dir, *told).select("show_id", *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in told])
     folder = table(spark, sf_dir, "shows").select(F.col("id").alias("show_id"), F.coalesce("folder_name", F.lit("")).alias("folder")).distinct()
     found = F.replace(F.regexp_extract("folder", _DATE, 1), F.lit("."), F.lit("-"))
     full = F.when(F.length(found) == 8, F.concat(F.when(F.substring(found, 1, 2) > "40", "19").otherwise("20"), found)).when(F.length(found) == 10, found)
@@ -248,7 +269,7 @@ def _resolved(spark: SparkSession, sf_dir: str, typed: DataFrame) -> DataFrame:
 
 def link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """show_id, rel_id, confidence of every candidate."""
-    s, r = _show_side(spark, sf_dir), _release_side(spark, sf_dir)
+    s, r = cut(_show_side(spark, sf_dir)), cut(_release_side(spark, sf_dir))
     every = names.all_names(spark, sf_dir).unionByName(s.select("name")).filter("name is not null").distinct()
     acts = cut(names.link_names(every))
     classed = acts.select("key", F.col("class").alias("act"))
@@ -289,23 +310,25 @@ def link(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("block"),
     ).drop("act")
-    pairs = sb.join(rb, "block").drop("block", "act", "code").dropDuplicates(["s_id", "r_id"])
-    schema = "s_id long, r_id long, place string, night string, open boolean, pattern string"
-
-    def judge(batches):
-        for pdf in batches:
-            v = [vote(x) for x in pdf.itertuples(index=False)]
-            place = np.where(pdf["s_city_ref"] != "", pdf["s_city_ref"], pdf["s_city"])
-            yield pd.DataFrame({"s_id": pdf["s_id"], "r_id": pdf["r_id"], "place": place, "night": pdf["s_night"], "open": pdf["r_night"].isna(), "pattern": ["".join("-0+"[x + 1] for x in row) for row in v]})
-
-    judged = cut(pairs.mapInPandas(judge, schema))
+    sb, rb = cut(sb), cut(rb)
+    # A block with many candidates is split among several tasks: its releases by their hash, with its shows in each.
+    sizes = sb.groupBy("block").agg(F.count("*").alias("a")).join(rb.groupBy("block").agg(F.count("*").alias("b")), "block")
+    big = sizes.select("block", F.ceil(F.col("a") * F.col("b") / BLOCK_PAIRS).alias("parts")).filter("parts > 1")
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    sb = sb.join(big, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    rb = rb.join(big, "block", "left").withColumn("part", F.pmod(F.xxhash64("r_id"), parts)).drop("parts")
+    pairs = sb.join(rb, ["block", "part"]).drop("block", "part", "act", "code").dropDuplicates(["s_id", "r_id"])
+    said = votes()
+    pattern = F.concat(*[F.when(said[f] > 0, "+").when(said[f] < 0, "-").otherwise("0") for f in FUNCTIONS])
+    place = F.when(F.col("s_city_ref") != "", F.col("s_city_ref")).otherwise(F.col("s_city"))
+    judged = cut(pairs.select("s_id", "r_id", place.alias("place"), F.col("s_night").alias("night"), F.col("r_night").isNull().alias("open"), pattern.alias("pattern")))
     patterns = judged.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** len(FUNCTIONS)
     if not patterns:
         return spark.createDataFrame([], "show_id long, rel_id long, confidence double")
-    votes = np.array([["-0+".index(c) - 1 for c in p["pattern"]] for p in patterns])
+    cast = np.array([["-0+".index(c) - 1 for c in p["pattern"]] for p in patterns])
     counts = np.array([p["count"] for p in patterns], float)
     # Another night is another performance, whatever else agrees.
-    post = LabelModel().fit(votes, counts, np.array([1, 1, 2, 1, 1, 0.5, 1, 0, 0]), votes[:, FUNCTIONS.index("night")] < 0)
+    post = LabelModel().fit(cast, counts, np.array([1, 1, 2, 1, 1, 0.5, 1, 0, 0]), cast[:, FUNCTIONS.index("night")] < 0)
     learned = spark.createDataFrame([(p["pattern"], float(c)) for p, c in zip(patterns, post)], "pattern string, posterior double")
     scored = cut(judged.join(F.broadcast(learned), "pattern"))
     # A release is of one performance: what speaks for several is shared out between their nights and places.
@@ -325,8 +348,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates with their confidence."""
-    return link(spark, sf_dir)
+    """All candidates of some confidence, with it."""
+    return link(spark, sf_dir).filter(F.col("confidence") >= REPORTED)
 
 
 QUERIES = {q.__name__: q for q in (p6_found, p6_scored)}
