@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 from tapeloom.functions import text
 
 # Fixed values.
-FILLER_WORDS = ("tuning", "crowd", "applause", "banter", "intro", "outro", "chatter", "talk", "silence", "noodling", "filler", "announcements")
+FILLERS = "tuning tune-up intro crowd applause banter chatter announcements encore-break set-break soundcheck outro silence filler noodling talk".split()
 PROGRAMS = ("exe", "bat", "scr", "com", "lnk", "vbs")
 RESERVED = ("sbd", "aud", "mtx", "fm", "live")
 
@@ -26,8 +26,10 @@ def reserved_prefix(name: Column) -> Column:
 
 def filler(title: Column) -> Column:
     """F-5: made of filler words only, joined by signs or "and"."""
-    parts = F.filter(F.split(F.lower(F.trim(title)), r"\s*(?:[/&+,>]|\band\b)\s*"), lambda p: p != "")
-    return (F.size(parts) > 0) & F.forall(parts, lambda p: p.isin(*FILLER_WORDS))
+    bare = F.regexp_replace(F.lower(title), r"^[ \-–—*>~]+|[ \-–—*>~]+$", "")
+    parts = F.filter(F.split(bare, r"\s*(?:[/&+,>]|\band\b)\s*"), lambda p: p != "")
+    letters = lambda p: F.regexp_replace(F.regexp_replace(p, "^the ", ""), "[^a-z0-9]", "")
+    return (F.size(parts) > 0) & F.forall(parts, lambda p: letters(p).isin(*[f.replace("-", "") for f in FILLERS]))
 
 
 def junk_title(title: Column) -> Column:

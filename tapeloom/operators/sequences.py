@@ -1,11 +1,7 @@
-"""Ordered operators: labels of gaps, chains, budgets, alignment of lists."""
+"""Ordered operators: ranks of sources, labels of gaps, chains, budgets."""
 
 from __future__ import annotations
 
-import re
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # How kinds of sources rank, best first.
@@ -51,174 +47,3 @@ def budget(df: DataFrame, key: str, order: str, size: str, limit: int) -> DataFr
 
     g = df.groupBy(key).agg(listed.alias("l")).withColumn("ok", F.aggregate("l", start, step, lambda a: a["ok"]))
     return g.select(key, F.explode(F.arrays_zip("l", "ok")).alias("e")).select(key, F.col("e.l.o").alias(order), F.col("e.l.s").alias(size), F.col("e.ok").alias("taken"))
-
-
-# Alignment ----------------------------------------------------------------------------------------
-
-#: Surplus files up to which a list is still thought complete.
-MOST_EXTRAS = 4
-SHORT_SECONDS, SHORT_SHARE = 90, 0.4
-#: How far ahead of the last song a file's label is looked for.
-AHEAD = 6
-# What a file that is no song calls itself.
-FILLERS = "tuning tune-up intro crowd applause banter chatter announcements encore-break set-break soundcheck outro silence filler noodling talk".split()
-
-PLAN = "how string, ok boolean, entries array<struct<name:string,kind:string,title:string>>"
-
-
-def _key(s: str | None) -> str:
-    return re.sub("[^a-z0-9]", "", (s or "").lower())
-
-
-def is_filler(label: str | None) -> bool:
-    """F-5: whether a label is made of filler words only, joined by signs or "and"."""
-    parts = [p for p in re.split(r"\s*(?:[/&+,>]|\band\b)\s*", (label or "").strip(" -–—*>~").lower()) if p]
-    known = {_key(f) for f in FILLERS}
-    return bool(parts) and all(_key(re.sub(r"^the ", "", p)) in known for p in parts)
-
-
-def same_title(a: str, b: str) -> bool:
-    x, y = _key(a), _key(b)
-    if not x or not y:
-        return False
-    return x == y or min(len(x), len(y)) >= 6 and (x in y or y in x) or SequenceMatcher(None, x, y).ratio() >= 0.85
-
-
-class Alignment:
-    """R-7 to R-10 for one show: which file is which song.
-
-    Files: name, seconds, label, disc. Songs: num, title, disc, set_no, segue. ``typed`` are titles by file
-    name, which win. The plan says how it was found and whether it is settled.
-    """
-
-    def __init__(self, files: list[dict], songs: list[dict], typed: dict[str, str] | None = None):
-        self.files, self.songs = files, songs
-        self.how, self.ok, self.entries = self._plan()
-        for e in self.entries:
-            title = (typed or {}).get(e["name"])
-            if title:
-                e.update(title=title, kind="song" if e["kind"] == "unmatched" else e["kind"])
-        if typed and not self.ok and self.entries and all(e["title"] for e in self.entries):
-            self.how, self.ok = "typed", True
-
-    def _plan(self):
-        files, songs = self.files, self.songs
-        if not files or not songs:
-            return "none", not songs, [dict(name=f["name"], kind="unmatched", title="") for f in files]
-        extra = len(files) - len(songs)
-        if extra == 0:
-            return "count", True, self._in_order(set())
-        if extra < 0:
-            return self._by_labels() or self._by_chains() or self._by_number()
-        if extra > MOST_EXTRAS:
-            return self._by_number()
-        return self._set_aside(extra)
-
-    def _set_aside(self, extra: int):
-        files = self.files
-        listed = {_key(s["title"]) for s in self.songs}
-        named = {i for i, f in enumerate(files) if is_filler(f["label"]) and _key(f["label"]) not in listed}
-        if len(named) >= extra:
-            return "named", len(named) == extra, self._in_order(set(sorted(named)[:extra]))
-        times = sorted(f["seconds"] for f in files if f["seconds"])
-        middle = (times[(len(times) - 1) // 2] + times[len(times) // 2]) / 2 if times else 0
-        edge = {0, len(files) - 1} | {k for i in range(1, len(files)) if files[i]["disc"] != files[i - 1]["disc"] for k in (i - 1, i)} | {k for i in named for k in (i - 1, i + 1)}
-        short = [
-            i
-            for i in sorted(edge - named)
-            if 0 <= i < len(files) and _key(files[i]["label"]) not in listed and files[i]["seconds"] is not None and middle and files[i]["seconds"] < min(SHORT_SECONDS, SHORT_SHARE * middle)
-        ]
-        need = extra - len(named)
-        if len(short) > need:
-            return "short", False, self._in_order(named | set(sorted(short, key=lambda i: files[i]["seconds"])[:need]))
-        return ("short" if len(short) == need else "none"), len(short) == need, self._in_order(named | set(short))
-
-    def _in_order(self, aside: set[int]):
-        rest, out = iter(self.songs), []
-        for i, f in enumerate(self.files):
-            song = None if i in aside else next(rest, None)
-            out.append(dict(name=f["name"], kind="extra" if i in aside else "song" if song else "unmatched", title=song["title"] if song else "", song=song))
-        self._label(out)
-        return out
-
-    def _label(self, entries: list[dict]) -> None:
-        """R-9: what stands between songs is called by where it stands, unless it says what it is."""
-        disc = [f["disc"] for f in self.files]
-        for i, e in enumerate(entries):
-            if e["kind"] != "extra":
-                continue
-            if is_filler(self.files[i]["label"]):
-                e["title"] = self.files[i]["label"].strip(" -–—*>~").capitalize()
-                continue
-            songs = [(j, x["song"]) for j, x in enumerate(entries) if x["kind"] == "song"]
-            before = next((s for j, s in reversed(songs) if j < i), None)
-            after = next((s for j, s in songs if j > i), None)
-            if not before or not after:
-                e["title"] = "Crowd" if before else "Tuning"
-            elif after.get("disc") == 99 != before.get("disc"):
-                e["title"] = "Encore Break"
-            else:
-                apart = (before.get("set_no") or 0, before.get("disc") or 1) != (after.get("set_no") or 0, after.get("disc") or 1)
-                e["title"] = "Set Break" if apart or len(set(disc[max(i - 1, 0) : i + 2])) > 1 else "Tuning"
-
-    def _by_labels(self):
-        """R-8, J-19: every file's label found in the list, in order, a few places ahead at most."""
-        at, out, hit = 0, [], False
-        for f in self.files:
-            label = (f["label"] or "").strip()
-            if is_filler(label):
-                out.append(dict(name=f["name"], kind="extra", title=label))
-                continue
-            parts, places = [p for p in re.split(r"\s*(?:-*>|→|»)\s*", label) if p.strip()], []
-            for p in parts:
-                k = next((k for k in range(at, min(len(self.songs), at + AHEAD)) if same_title(p, self.songs[k]["title"])), None)
-                if k is None:
-                    return None
-                places.append(k)
-                at = k + 1
-            if not places:
-                return None
-            hit = True
-            out.append(dict(name=f["name"], kind="song", title=" > ".join(s["title"] for s in self.songs[places[0] : places[-1] + 1])))
-        return ("labels", True, out) if hit else None
-
-    def _by_chains(self):
-        groups: list[list[str]] = [[]]
-        for s in self.songs:
-            groups[-1].append(s["title"])
-            if not s.get("segue"):
-                groups.append([])
-        groups = [g for g in groups if g]
-        if len(groups) != len(self.files):
-            return None
-        return "segues", True, [dict(name=f["name"], kind="song", title=" > ".join(g)) for f, g in zip(self.files, groups)]
-
-    def _by_number(self):
-        first: dict = {}
-        for s in self.songs:
-            first.setdefault(s["num"], s["title"])
-        out = []
-        for f in self.files:
-            m = re.search(r"(?:^|[^a-z])t(\d{1,3})(?!\d)|^(\d{1,3})(?=[\s._-])", f["name"], re.I)
-            title = first.get(int(m[1] or m[2])) if m else None
-            out.append(dict(name=f["name"], kind="song" if title else "unmatched", title=title or ""))
-        return "number", False, out
-
-
-def align(shows: DataFrame, key: str = "show_id") -> DataFrame:
-    """R-7 to R-10: ``shows`` has key, files and songs (arrays of structs in play order) and may have typed (a map). Adds plan.
-
-    The rule has a cursor and looks ahead, so it is a loop over one show's two short lists, batch by batch.
-    """
-
-    @F.pandas_udf(PLAN)
-    def plan(files: pd.Series, songs: pd.Series, typed: pd.Series) -> pd.DataFrame:
-        rows = []
-        for f, s, t in zip(files, songs, typed):
-            clean = lambda xs: [{k: None if v is None or v != v else v for k, v in dict(x).items()} for x in (xs if xs is not None else [])]
-            a = Alignment(clean(f), clean(s), dict(t) if t is not None else {})
-            rows.append((a.how, a.ok, [{k: e[k] for k in ("name", "kind", "title")} for e in a.entries]))
-        return pd.DataFrame(rows, columns=["how", "ok", "entries"])
-
-    typed = F.col("typed") if "typed" in shows.columns else F.lit(None).cast("map<string,string>")
-    return shows.withColumn("plan", plan("files", "songs", typed))

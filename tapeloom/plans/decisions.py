@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tapeloom.functions import fuzzy, parse, text
-from tapeloom.operators import merging, places, sequences, shows
+from tapeloom.operators import merging, places, predicates, sequences, shows
+from tapeloom.operators.alignment import align
+from tapeloom.plans import problems
 from tapeloom.plans.base import release_fields, show_fields, show_tracks
 from tapeloom.plans.registry import Family
 from tapeloom.tables import table
@@ -80,21 +82,63 @@ def setlist_choice(spark: SparkSession, d: str) -> DataFrame:
     return t.select("artist_norm", F.when(F.col("n") < 5, "adopt").when(F.col("good") < 0.6 * F.col("n"), "adopt").otherwise("keep").alias("choice"))
 
 
-def _files_and_songs(spark: SparkSession, d: str) -> DataFrame:
-    """Shows with their songs and a list of files made of them: some with tuning before, some run together, some cut short."""
-    t = show_tracks(spark, d).filter("part_no = 0").withColumn("n", F.count("*").over(W.partitionBy("show_id")))
-    song = F.struct("track_no", F.col("track_no").alias("num"), "title", F.coalesce("disc", F.lit(1)).alias("disc"), "set_no", F.coalesce("segue", F.lit(False)).alias("segue"))
-    file = F.struct("track_no", F.format_string("t%02d %s.flac", "track_no", "title").alias("name"), (F.lit(200.0) + F.col("track_no") * 7 % 180).alias("seconds"), F.col("title").alias("label"), F.coalesce("disc", F.lit(1)).alias("disc"))
-    g = t.groupBy("show_id").agg(F.array_sort(F.collect_list(song)).alias("songs"), F.array_sort(F.collect_list(file)).alias("files"))
-    tuning = F.array(F.struct(F.lit(0).cast("long").alias("track_no"), F.lit("t00.flac").alias("name"), F.lit(31.0).alias("seconds"), F.when(F.col("show_id") % 2 == 0, "Tuning").otherwise("").alias("label"), F.lit(1).cast("long").alias("disc")))
-    return g.withColumn("files", F.when(F.col("show_id") % 3 == 0, F.concat(tuning, "files")).when(F.col("show_id") % 3 == 1, F.slice("files", F.lit(1), F.greatest(F.lit(1), F.size("files") - 1))).otherwise(F.col("files")))
+def _files_and_songs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lists of songs, of shows and of their parts, a list of files made of each, and the titles typed for files.
+
+    A third of the lists has tuning before the songs, every second of them without saying so; of another third the last
+    file is missing. The typed titles are the metas' own overrides, by file name.
+    """
+    c = F.col
+    t = show_tracks(spark, d).withColumn("list_id", F.concat_ws("/", "show_id", "part_no")).withColumn("disc", F.coalesce("disc", F.lit(1).cast("long")))
+    songs = t.select("list_id", c("track_no").alias("pos"), "num", "title", "disc", "set_no", "segue")
+    last = F.max("track_no").over(W.partitionBy("list_id"))
+    kept = t.withColumn("last", last).filter((c("show_id") % 3 != 1) | (c("track_no") < c("last")) | (c("last") == 1))
+    files = kept.select("list_id", c("track_no").alias("pos"), F.format_string("t%02d.flac", "track_no").alias("name"), (F.lit(200.0) + c("track_no") * 7 % 180).alias("seconds"), c("title").alias("label"), "disc")
+    tuning = t.filter("show_id % 3 = 0").select("list_id", "show_id").distinct()
+    tuning = tuning.select("list_id", F.lit(0).cast("long").alias("pos"), F.lit("t00.flac").alias("name"), F.lit(31.0).alias("seconds"), F.when(c("show_id") % 2 == 0, "Tuning").otherwise("").alias("label"), F.lit(1).cast("long").alias("disc"))
+    docs = shows.documents(spark, d)
+    own = docs.select(F.concat(c("id").cast("string"), F.lit("/0")).alias("list_id"), F.explode(F.expr("try_variant_get(doc, '$.title_overrides', 'map<string,string>')")).alias("name", "title"))
+    return files.unionByName(tuning), songs, own
 
 
 @query("R-7", "R-8", "R-9", "R-10", "J-19", "A-18")
 def alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Which file is which song: by count, by names, by short files at the edges, by labels, by segues, by numbers."""
-    got = sequences.align(_files_and_songs(spark, d))
-    return got.select("show_id", "plan.how", "plan.ok", F.size("plan.entries").alias("files"), F.size(F.filter("plan.entries", lambda e: e["kind"] == "extra")).alias("extras"), F.array_join(F.transform("plan.entries", lambda e: e["title"]), "|").alias("titles"))
+    """Which file is which song: by count, by names, by short files at the edges, by labels, by segues, by numbers, or as typed."""
+    return align(*_files_and_songs(spark, d), key="list_id")
+
+
+_ALIGN_FILES = f"""t as (select show_id, part_no, track_no, show_id || '/' || part_no as list_id, title, coalesce(disc, 1) as disc, coalesce(set_no, 0) as set_no, num from ({problems.P1_TRACKS_SQL})),
+ songs as (select list_id, row_number() over (partition by list_id order by track_no) as no, title, disc, set_no from t),
+ files as (select list_id, track_no as pos, printf('t%02d.flac', track_no) as name, 200.0 + track_no * 7 % 180 as seconds, title as label, disc from (select *, max(track_no) over (partition by list_id) as last from t) where show_id % 3 <> 1 or track_no < last or last = 1
+  union all select distinct list_id, 0, 't00.flac', 31.0, case when show_id % 2 = 0 then 'Tuning' else '' end, 1 from t where show_id % 3 = 0)"""
+_KEYED = "regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]', '', 'g')"
+_FILLED = "list_transform(list_filter(string_split_regex(regexp_replace(lower(coalesce(label, '')), '^[ \-–—*>~]+|[ \-–—*>~]+$', '', 'g'), '\s*(?:[/&+,>]|\band\b)\s*'), lambda p: p <> ''), lambda p: regexp_replace(regexp_replace(p, '^the ', ''), '[^a-z0-9]', '', 'g'))"
+_WORDS = "[" + ", ".join("'" + f.replace("-", "") + "'" for f in predicates.FILLERS) + "]"
+ALIGN_SQL = f"""with {_ALIGN_FILES},
+ listed as (select list_id, count(*) as n_songs, list({_KEYED.format('title')}) as keys from songs group by 1),
+ a as (select f.*, n_songs, count(*) over (partition by f.list_id) - n_songs as surplus, list_contains(keys, {_KEYED.format('label')}) as said,
+  len({_FILLED}) > 0 and len(list_filter({_FILLED}, lambda p: not list_contains({_WORDS}, p))) = 0 as filler from files f join listed using (list_id)),
+ b as (select *, filler and not said as own from a),
+ m as (select *, coalesce(lag(disc) over w <> disc or lag(own) over w, true) or coalesce(lead(disc) over w <> disc or lead(own) over w, true) as border, median(seconds) over (partition by list_id) as middle from b window w as (partition by list_id order by pos)),
+ e as (select *, border and seconds < least(90, 0.4 * middle) and not own and not said as brief from m),
+ g as (select *, count(*) filter (where own) over (partition by list_id) as n_own, count(*) filter (where brief) over (partition by list_id) as n_brief, count(*) filter (where own) over (partition by list_id order by pos) as own_no, row_number() over (partition by list_id order by brief desc, seconds, pos) as brief_no from e),
+ h as (select *, case when surplus between 1 and 4 then case when n_own >= surplus then own and own_no <= surplus else own or (brief and brief_no <= surplus - n_own) end else false end as aside from g where surplus between 0 and 4),
+ i as (select *, count(*) filter (where not aside) over (partition by list_id order by pos) as no from h),
+ j as (select i.*, s.title as song, case when not aside then s.set_no end as s_set, case when not aside then s.disc end as s_disc from i left join songs s on s.list_id = i.list_id and s.no = i.no),
+ k as (select *, last_value(s_disc ignore nulls) over (partition by list_id order by pos rows between unbounded preceding and 1 preceding) as d_before, first_value(s_disc ignore nulls) over (partition by list_id order by pos rows between 1 following and unbounded following) as d_after,
+  last_value(s_set ignore nulls) over (partition by list_id order by pos rows between unbounded preceding and 1 preceding) as t_before, first_value(s_set ignore nulls) over (partition by list_id order by pos rows between 1 following and unbounded following) as t_after,
+  coalesce(lag(disc) over w <> disc, false) or coalesce(lead(disc) over w <> disc, false) as turn, regexp_replace(coalesce(label, ''), '^[ \-–—*>~]+|[ \-–—*>~]+$', '', 'g') as bare from j window w as (partition by list_id order by pos)),
+ r as (select list_id, pos, name, aside, case when surplus = 0 then 'count' when n_own >= surplus then 'named' when n_own + n_brief >= surplus then 'short' else 'none' end as how, case when surplus = 0 then true when n_own >= surplus then n_own = surplus else n_own + n_brief = surplus end as ok,
+  case when not aside then coalesce(song, '') when filler then upper(left(bare, 1)) || lower(substr(bare, 2)) when d_before is null then 'Tuning' when d_after is null then 'Crowd' when d_after = 99 and d_before <> 99 then 'Encore Break' when t_before <> t_after or d_before <> d_after or turn then 'Set Break' else 'Tuning' end as title from k)
+ select list_id, pos, name, case when aside then 'extra' when title <> '' then 'song' else 'unmatched' end as kind, title, how, ok from r"""
+
+
+@query("R-7", "R-9", "A-18", sql=ALIGN_SQL)
+def alignment_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The lists with as many files as songs or up to four more, before any typed title: counted, or with files set aside and called by their place."""
+    files, songs, _ = _files_and_songs(spark, d)
+    more = files.groupBy("list_id").count().join(songs.groupBy("list_id").agg(F.count("*").alias("n")), "list_id").filter("count between n and n + 4").select("list_id")
+    return align(files.join(more, "list_id", "left_semi"), songs.join(more, "list_id", "left_semi"), key="list_id")
 
 
 @query("R-7", sql="""with f as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as k, count(*) over (partition by user_id) as n from events where event_type in ('click', 'view')), s as (select user_id, event_id as song, row_number() over (partition by user_id order by ts, event_id) as k, count(*) over (partition by user_id) as n from events where event_type = 'signup')

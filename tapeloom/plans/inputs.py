@@ -45,7 +45,7 @@ def decoded_texts(spark: SparkSession, d: str) -> DataFrame:
     return b.select("doc_id", texts.decoded(F.col("content")).eqNullSafe(want).alias("same"))
 
 
-@query("SRC-10", "SRC-24", "SNK-6", sql="""with k as (select regexp_replace(strip_accents(lower(name)), '[^a-z0-9]', '', 'g') as key, * from places where not regexp_matches(lower(name), '^(saint|st)'))
+@query("SRC-10", "SRC-24", "SNK-6", sql="""with k as (select regexp_replace(regexp_replace(strip_accents(lower(name)), '^\\s*(saint|st)[\\s.-]+', 'st'), '[^a-z0-9]', '', 'g') as key, * from places)
  select key, cc, admin, pop, cast(gid as varchar) as gid from (select *, row_number() over (partition by key order by pop desc, gid) as r from k) where r = 1""")
 def gazetteer_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The most populous place of every folded name, written as a compressed table and read again."""

@@ -60,7 +60,7 @@ def title_similarity(spark: SparkSession, d: str) -> DataFrame:
     return p.select("rid", F.round(fuzzy.ratio(F.col("title"), F.col("other")), 6).alias("there"), F.round(fuzzy.ratio(F.col("other"), F.col("title")), 6).alias("back"), fuzzy.same_song(F.col("title"), F.col("other")).alias("same"))
 
 
-@query("X-11", sql="select a.norm as a, b.norm as b from artists a join artists b on left(a.norm, 6) = left(b.norm, 6) and a.norm < b.norm where least(length(a.norm), length(b.norm)) >= 4 and (contains(a.norm, b.norm) or contains(b.norm, a.norm))")
+@query("X-11", sql="select a.norm as a, b.norm as b from artists a join artists b on a.norm < b.norm where least(length(a.norm), length(b.norm)) >= 4 and (contains(a.norm, b.norm) or contains(b.norm, a.norm))")
 def contained_keys(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of keys, one inside the other at any place."""
     return matching.contained_pairs(table(spark, d, "artists"), "norm")
@@ -73,7 +73,7 @@ def common_beginnings(spark: SparkSession, d: str) -> DataFrame:
     return r.select("artist_id", text.common_prefix(F.array("a", "b")).alias("prefix"))
 
 
-@query("X-14", sql="select rid, regexp_replace(replace(replace(replace(replace(replace(title, '’', ''''), '‘', ''''), '“', '\"'), '”', '\"'), '–', '-'), '[\\x{200b}-\\x{200d}\\x{2060}\\x{feff}\\x{ad}]', '', 'g') as t from song_titles where not regexp_matches(title, '[‚„—−…]')")
+@query("X-14", sql="select rid, regexp_replace(replace(translate(title, '‘’‚“”„–—−', '''''''\"\"\"---'), '…', '...'), '[\\x{200b}-\\x{200d}\\x{2060}\\x{feff}\\x{ad}]', '', 'g') as t from song_titles")
 def plain_signs(spark: SparkSession, d: str) -> DataFrame:
     """Typographic signs to plain ones; the repair of encodings is problem 2's operator."""
     return table(spark, d, "song_titles").select("rid", text.plain_punctuation(F.col("title")).alias("t"))
@@ -94,16 +94,14 @@ def cased_names(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", text.clean_artist(F.upper(n)).alias("cleaned"), text.title_case(n).alias("titled"), text.name_case(F.lower(n)).alias("named"), text.camel_split(F.replace(n, F.lit(" "), F.lit(""))).alias("split"), text.strip_label(F.concat(F.lit("Artist: "), n)).alias("value"))
 
 
-@query("X-21", "X-53", sql="""select show_id, coalesce(nullif(regexp_replace(regexp_replace(concat_ws(', ', nullif(trim(venue), ''), nullif(trim(city), ''), nullif(trim(state), '')), '[<>:"/\\\\|?*]', '-', 'g'), '^[\\s.]+|[\\s.]+$', '', 'g'), ''), 'Unknown') as title from {SHOWS}
- where not regexp_matches(coalesce(venue, '') || coalesce(city, '') || coalesce(state, ''), '[^ -~]')""")
+@query("X-21", "X-53", sql="""select show_id, coalesce(nullif(regexp_replace(regexp_replace(concat_ws(', ', nullif(trim(venue), ''), nullif(trim(city), ''), nullif(trim(state), '')), '[<>:"/\\\\|?*]', '-', 'g'), '^[\\s.]+|[\\s.]+$', '', 'g'), ''), 'Unknown') as title from {SHOWS}""")
 def composed_titles(spark: SparkSession, d: str) -> DataFrame:
     """An album's title of what is known, as a safe file name."""
     parts = [text.blank_to_null(F.col(c)) for c in ("venue", "city", "state")]
     return show_fields(spark, d).select("show_id", text.safe_name(F.concat_ws(", ", *parts)).alias("title"))
 
 
-@query("X-25", "X-46", "Q-3", sql="""with d as (select id, date, regexp_extract(date, '^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$', 1) as m, regexp_extract(date, '^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$', 2) as dd, regexp_extract(date, '^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$', 3) as y from {RELEASES})
- select id, strftime(try_cast(date as date), '%Y-%m-%d') as day from d where m = ''""")
+@query("X-25", "X-46", "Q-3", sql="select id, case when year(try_cast(date as date)) between 1900 and 2099 then strftime(try_cast(date as date), '%Y-%m-%d') end as day from {RELEASES}")
 def iso_dates(spark: SparkSession, d: str) -> DataFrame:
     """Dates read from free text; the calendar is checked."""
     return release_fields(spark, d).select("id", parse.extract_date(F.col("date")).alias("day"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -29,50 +30,63 @@ class Damaged(ValueError):
     """Bytes that are no well-formed torrent."""
 
 
-def bdecode(data: bytes, at: int = 0, depth: int = 0):
-    """SRC-21: (value, end) of the bencoded value at ``at``. Raises Damaged for anything malformed, cut short or too deep."""
-    if depth > MOST_DEPTH or at >= len(data):
-        raise Damaged("too deep" if depth > MOST_DEPTH else "cut short")
-    kind = data[at : at + 1]
-    if kind == b"i":
-        end = data.find(b"e", at)
-        if end < 0 or not data[at + 1 : end].lstrip(b"-").isdigit():
-            raise Damaged("bad number")
-        return int(data[at + 1 : end]), end + 1
-    if kind in (b"l", b"d"):
-        items, at = [], at + 1
-        while data[at : at + 1] != b"e":
-            value, at = bdecode(data, at, depth + 1)
-            items.append(value)
-        if kind == b"l":
-            return items, at + 1
-        if len(items) % 2 or not all(isinstance(k, bytes) for k in items[::2]):
-            raise Damaged("bad dictionary")
-        return dict(zip(items[::2], items[1::2])), at + 1
-    colon = data.find(b":", at, at + 13)
-    if colon < 0 or not data[at:colon].isdigit():
-        raise Damaged("bad length")
-    end = colon + 1 + int(data[at:colon])
-    if end > len(data):
-        raise Damaged("cut short")
-    return data[colon + 1 : end], end
+_TOKEN = re.compile(rb"i(?P<int>-?\d+)e|(?P<size>\d+):|(?P<open>[ld])|(?P<close>e)")
+
+
+def bdecode(data: bytes) -> tuple[object, dict[bytes, tuple[int, int]]]:
+    """SRC-21: the bencoded value that ``data`` begins with, and where the values of its outermost dictionary stand.
+
+    One pass over the tokens with a stack of the lists and dictionaries that are open. Raises Damaged for anything
+    malformed, cut short or nested too deep; bytes behind the value are left alone.
+    """
+    opened: list[tuple[bool, list, int]] = []  # is it a dictionary, what it holds so far, where it began
+    spans: dict[bytes, tuple[int, int]] = {}
+    at = 0
+    while token := _TOKEN.match(data, at):
+        begin, at = at, token.end()
+        if token["open"]:
+            if len(opened) == MOST_DEPTH:
+                raise Damaged("too deep")
+            opened.append((token["open"] == b"d", [], begin))
+            continue
+        if token["close"]:
+            if not opened:
+                raise Damaged("nothing to close")
+            is_map, held, begin = opened.pop()
+            if is_map and len(held) % 2:
+                raise Damaged("key without value")
+            value = dict(zip(held[::2], held[1::2])) if is_map else held
+        elif token["int"]:
+            value = int(token["int"])
+        else:
+            end = at + int(token["size"])
+            if end > len(data):
+                raise Damaged("cut short")
+            value, at = data[at:end], end
+        if not opened:
+            return value, spans
+        is_map, held, _ = opened[-1]
+        if is_map and len(held) % 2 == 0 and not isinstance(value, bytes):
+            raise Damaged("key is no text")
+        if is_map and len(opened) == 1 and len(held) % 2:
+            spans[held[-1]] = begin, at
+        held.append(value)
+    raise Damaged("cut short" if at >= len(data) else f"no value at byte {at}")
 
 
 def torrent(data: bytes | None) -> tuple[str | None, str | None, str | None]:
     """(hash, name, error) of a torrent file. The hash is of the info dictionary's own bytes."""
-    if not data or data[:1] != b"d" or len(data) > MOST_BYTES:
+    if not data or len(data) > MOST_BYTES:
         return None, None, "no torrent"
-    at = 1
     try:
-        while data[at : at + 1] != b"e":
-            key, start = bdecode(data, at, 1)
-            value, at = bdecode(data, start, 1)
-            if key == b"info" and isinstance(value, dict):
-                name = value.get(b"name", b"")
-                return hashlib.sha1(data[start:at]).hexdigest(), name.decode("utf-8", "replace") if isinstance(name, bytes) else "", None  # noqa: S324
-    except (Damaged, RecursionError) as e:
+        value, spans = bdecode(data)
+    except ValueError as e:  # also a number of too many digits
         return None, None, str(e)
-    return None, None, "no info"
+    info = value.get(b"info") if isinstance(value, dict) else None
+    if not isinstance(info, dict):
+        return None, None, "no info"
+    name = info.get(b"name", b"")
+    return hashlib.sha1(data[slice(*spans[b"info"])]).hexdigest(), name.decode("utf-8", "replace") if isinstance(name, bytes) else "", None  # noqa: S324
 
 
 def torrents(df: DataFrame, content: str = "content") -> DataFrame:

@@ -44,11 +44,25 @@ CASES = [
     (parse.extract_date, "12-31-99", "1999-12-31"),
     (parse.extract_date, "2021-02-30", None),
     (parse.extract_date, "nothing", None),
+    (parse.extract_date, "sept. 3, 1999", "1999-09-03"),
+    (parse.extract_date, "2001-02-30 or 1 June 1999", "1999-06-01"),
+    (parse.extract_date, "99-02-30, 98-11-06", "1998-11-06"),
+    (parse.extract_date, "06-11-98", "1998-06-11"),
+    (parse.extract_date, "12/31/99", None),
+    (parse.extract_date, "1899-01-01 2000_01_02", "2000-01-02"),
+    (parse.extract_date, "abc2000-01-02", None),
+    (parse.extract_date, "3-21-2021x", None),
+    (parse.extract_date, "2000-01/02", None),
+    (parse.extract_date, "", None),
     (parse.extract_date, None, None),
     (parse.source_type, "DSBD master", "SBD"),
     (parse.source_type, "FM broadcast", "SBD.FM"),
     (parse.source_type, "front FOB mics", "AUD.FOB"),
     (parse.source_type, None, ""),
+    (parse.source_type, "Matrix of SBD + AUD", "MTX"),
+    (parse.source_type, "sound board", "SBD"),
+    (parse.source_type, "two omnis", "AUD"),
+    (parse.source_type, "hi-fi", ""),
     (parse.infer_source, "soundboard feed mixed with omnis", "MTX"),
     (parse.infer_source, "audience recording", "AUD"),
     (parse.shnid, "show [SBD 12345]", "012345"),
@@ -56,11 +70,23 @@ CASES = [
     (parse.track_number, "gd77-05-08d1t05.flac", 5),
     (parse.track_number, "05 - Song.flac", 5),
     (parse.track_number, "1977-05-08.flac", None),
+    (parse.track_number, "Track 07.flac", 7),
+    (parse.track_number, "Song - 12.shn", 12),
+    (parse.track_number, "05-06-77.flac", None),
+    (parse.track_number, "t1234.flac", None),
+    (parse.track_number, "", None),
+    (parse.track_number, None, None),
+    (parse.disc_number, "cd3t04", 3),
+    (parse.disc_number, "x disc 2t04", 2),
+    (parse.disc_number, None, 1),
     (parse.disc_number, "d2t01.flac", 2),
     (parse.disc_number, "song.flac", 1),
     (parse.show_part, "The Early Years 1978-03-25 late show", "late"),
     (parse.show_part, "x 1978-03-25 early late", ""),
     (parse.recorder, "a\nTaped by: Sam Orvan\n", "Orvan"),
+    (parse.recorder, "taper = Kesten", "Kesten"),
+    (parse.recorder, "Recordist:\nTaper: MK4", None),
+    (parse.recorder, None, None),
     (predicates.filler, "Crowd / Tuning", True),
     (predicates.filler, "Crowded Room", False),
 ]

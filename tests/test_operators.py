@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import changes, matching, merging, places, sequences
+from tapeloom.operators.alignment import align
 from tapeloom.plans import inputs, scalars
 from tapeloom.plans.base import release_fields
 from tapeloom.sources import sinks, texts
@@ -115,54 +116,75 @@ def test_budget(spark, sizes, limit, taken):
 
 
 def files(*labels, seconds=200.0, disc=1):
-    return [dict(name=f"t{i:02d}.flac", seconds=seconds, label=x, disc=disc) for i, x in enumerate(labels, 1)]
+    return [dict(pos=i, name=f"t{i:02d}.flac", seconds=seconds, label=x, disc=disc) for i, x in enumerate(labels, 1)]
 
 
 def songs(*titles, **more):
-    return [dict(num=i, title=t, disc=1, set_no=1, segue=False) | more for i, t in enumerate(titles, 1)]
+    return [dict(pos=i, num=i, title=t, disc=1, set_no=1, segue=False) | more for i, t in enumerate(titles, 1)]
 
 
-def plan(f, s, typed=None):
-    a = sequences.Alignment(f, s, typed)
-    return a.how, a.ok, [e["title"] for e in a.entries]
+def short(*labels, at=(), n=20.0):
+    f = files(*labels)
+    for i in at:
+        f[i]["seconds"] = n
+    return f
 
 
-def test_alignment_by_count_names_and_length():
-    assert plan(files("x", "y"), songs("A", "B")) == ("count", True, ["A", "B"])
-    assert plan(files("Tuning", "a", "b"), songs("A", "B")) == ("named", True, ["Tuning", "A", "B"])
-    f = files("", "", "")
-    f[2]["seconds"] = 20.0
-    assert plan(f, songs("A", "B")) == ("short", True, ["A", "B", "Crowd"])
-    f = files("", "", "", "")
-    f[0]["seconds"] = f[3]["seconds"] = 20.0
-    how, ok, _ = plan(f, songs("A", "B", "C"))
-    assert (how, ok) == ("short", False)
+def breaks(file_disc, song_disc):
+    f, s = short("a", "", "b", at=[1], n=10.0), songs("A", "B")
+    f[1]["disc"] = f[2]["disc"] = file_disc
+    s[1]["disc"] = song_disc
+    return f, s
 
 
-def test_alignment_breaks():
-    f = files("a", "", "b")
-    f[1]["seconds"], f[1]["disc"], f[2]["disc"] = 10.0, 2, 2
-    s = songs("A", "B")
-    s[1]["disc"] = 99
-    assert plan(f, s) == ("short", True, ["A", "Encore Break", "B"])
-    s[1]["disc"] = 2
-    assert plan(f, s)[2] == ["A", "Set Break", "B"]
-
-
-def test_alignment_of_fewer_files():
-    assert plan(files("Alpha > Beta", "Delta"), songs("Alpha", "Beta", "Gamma", "Delta")) == ("labels", True, ["Alpha > Beta", "Delta"])
+def segue():
     s = songs("Alpha", "Beta", "Gamma")
     s[0]["segue"] = True
-    assert plan(files("1", "2"), s) == ("segues", True, ["Alpha > Beta", "Gamma"])
-    assert plan(files("?", "?"), songs("Alpha", "Beta", "Gamma")) == ("number", False, ["Alpha", "Beta"])
-    assert plan(files("?", "?"), songs("Alpha", "Beta", "Gamma"), {"t01.flac": "Mine", "t02.flac": "Yours"}) == ("typed", True, ["Mine", "Yours"])
-    assert plan([], songs("A")) == ("none", False, []) and plan(files("a"), []) == ("none", True, [""])
-
-
-def test_align_frame_with_nulls(spark):
-    kind = "show_id long, files array<struct<name:string,seconds:double,label:string,disc:int>>, songs array<struct<num:int,title:string,disc:int,set_no:int,segue:boolean>>"
-    df = spark.createDataFrame([(1, [("a", None, None, None)], [(1, "A", None, None, None)]), (2, None, None), (3, [], [(1, "A", 1, 1, False)])], kind)
-    assert {r["show_id"]: (r["plan"]["how"], r["plan"]["ok"]) for r in sequences.align(df).collect()} == {1: ("count", True), 2: ("none", True), 3: ("none", False)}
+    return s
+
+
+# files, songs, typed titles: how, settled, titles
+ALIGNED = [
+    (files("x", "y"), songs("A", "B"), None, ("count", True, ["A", "B"])),
+    (files("Tuning", "a", "b"), songs("A", "B"), None, ("named", True, ["Tuning", "A", "B"])),
+    (files("- crowd & the TUNING -", "a", "b"), songs("A", "B"), None, ("named", True, ["Crowd & the tuning", "A", "B"])),
+    (files("Tuning", "a", "Crowd"), songs("A", "B"), None, ("named", False, ["Tuning", "A", "B"])),
+    (files("Intro", "Tuning", "b"), songs("Intro", "B"), None, ("named", True, ["Intro", "Tuning", "B"])),
+    (short("", "", "", at=[2]), songs("A", "B"), None, ("short", True, ["A", "B", "Crowd"])),
+    (short("", "", "", at=[0]), songs("A", "B"), None, ("short", True, ["Tuning", "A", "B"])),
+    (short("", "", "", "", at=[0, 3]), songs("A", "B", "C"), None, ("short", False, ["Tuning", "A", "B", "C"])),
+    (files("", "", ""), songs("A", "B"), None, ("none", False, ["A", "B", ""])),
+    (*breaks(2, 99), None, ("short", True, ["A", "Encore Break", "B"])),
+    (*breaks(2, 2), None, ("short", True, ["A", "Set Break", "B"])),
+    (files("Alpha > Beta", "Delta"), songs("Alpha", "Beta", "Gamma", "Delta"), None, ("labels", True, ["Alpha > Beta", "Delta"])),
+    (files("Alphaa -> Gamma", "banter", "Deltas Song"), songs("Alpha", "Beta", "Gamma", "The Deltas Song"), None, ("labels", True, ["Alpha > Beta > Gamma", "banter", "The Deltas Song"])),
+    (files("Alpha", "Nowhere"), songs("Alpha", "Beta", "Gamma"), None, ("number", False, ["Alpha", "Beta"])),
+    (files("Alpha", "Last"), songs("Alpha", *"bcdefgh", "Last"), None, ("number", False, ["Alpha", "b"])),  # eight ahead
+    (files("Beta", "Alpha"), songs("Alpha", "Beta", "Gamma"), None, ("number", False, ["Alpha", "Beta"])),  # out of order
+    (files("1", "2"), segue(), None, ("segues", True, ["Alpha > Beta", "Gamma"])),
+    (files("?", "?"), songs("Alpha", "Beta", "Gamma"), None, ("number", False, ["Alpha", "Beta"])),
+    (files("?", "?"), songs("Alpha", "Beta", "Gamma"), {"t01.flac": "Mine", "t02.flac": "Yours"}, ("typed", True, ["Mine", "Yours"])),
+    (files("x", "y"), songs("A", "B"), {"t02.flac": "Yours", "gone": "No", "t01.flac": " "}, ("count", True, ["A", "Yours"])),
+    (files(*"abcdef"), songs("Alpha"), None, ("number", False, ["Alpha", "", "", "", "", ""])),
+    (files("a"), [], None, ("none", True, [""])),
+    ([], songs("A"), None, None),
+    ([dict(pos=1, name=None, seconds=None, label=None, disc=None)], [dict(pos=1, num=None, title="A", disc=None, set_no=None, segue=None)], None, ("count", True, ["A"])),
+    (files("a"), [dict(pos=1, num=1, title=None, disc=1, set_no=1, segue=False)], None, ("count", True, [""])),
+]
+
+
+def test_alignment(spark):
+    f = [(i, *x.values()) for i, (fs, *_) in enumerate(ALIGNED) for x in fs]
+    s = [(i, *x.values()) for i, (_, ss, *_) in enumerate(ALIGNED) for x in ss]
+    t = [(i, n, x) for i, (*_, typed, _) in enumerate(ALIGNED) for n, x in (typed or {}).items()]
+    fdf = spark.createDataFrame(f, "show_id long, pos long, name string, seconds double, label string, disc long")
+    sdf = spark.createDataFrame(s, "show_id long, pos long, num long, title string, disc long, set_no long, segue boolean")
+    got = {}
+    for r in sorted(align(fdf, sdf, spark.createDataFrame(t, "show_id long, name string, title string")).collect(), key=lambda r: r["pos"]):
+        got.setdefault(r["show_id"], (r["how"], r["ok"], []))[2].append(r["title"])
+    for i, (*_, want) in enumerate(ALIGNED):
+        assert got.get(i) == want, i
+    assert align(fdf.filter("false"), sdf).count() == 0 and align(fdf, sdf.filter("false")).filter("kind <> 'unmatched'").count() == 0
 
 
 def test_places(spark):
