@@ -236,3 +236,48 @@ def info_text(c: Column) -> Column:
         infer_source(c).alias("source_type"),
         F.when(F.size(titles) > 0, titles).otherwise(sets).alias("titles"),
     )
+
+
+# Labels of an information text's fields, with the field each gives.
+FIELD_LABELS = {"artist": "artist", "band": "artist", "venue": "venue", "date": "date", "city": "city", "location": "city", "source": "source", "lineage": "source", "src": "source"}
+
+
+def info_header(c: Column) -> Column:
+    """X-34, the head: a struct of artist, date (as said), day (as read), venue, city, state, source and songs of an information text.
+
+    Only the lines up to the first blank one are read. A labelled line gives its field. Of the others the first is
+    either "act / date / city", or the act, followed by date, venue and "City, ST" on lines of their own; what
+    comes then are songs: a line each, numbered or not, or a set's list after its heading.
+    """
+    lines = F.transform(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(x))
+    blank = F.array_position(lines, "")
+    block = F.when(blank > 0, F.slice(lines, F.lit(1), (blank - 1).cast("int"))).otherwise(lines)
+    labelled = rf"(?i)^({'|'.join(FIELD_LABELS)})\s*[:=]\s*(.*)$"
+
+    def of_block(b: Column) -> Column:
+        told = lambda field: F.get(F.filter(F.transform(b, lambda x: F.when(F.lower(F.regexp_extract(x, labelled, 1)).isin(*[k for k, f in FIELD_LABELS.items() if f == field]), F.trim(F.regexp_extract(x, labelled, 2)))), lambda x: x != ""), F.lit(0))
+        plain = F.filter(b, lambda x: ~x.rlike(labelled))
+        at = lambda i: F.get(plain, F.lit(i))
+        three = F.split(at(0), " / ")
+        joined = F.coalesce(F.size(three) == 3, F.lit(False))
+        said = told("artist").isNotNull()
+        stacked = ~joined & ~said
+        place = F.when(joined, F.get(three, F.lit(2))).when(stacked, F.when(at(3).rlike("^[^,:]+, [A-Z]{2}$"), at(3)))
+        city = F.coalesce(told("city"), F.trim(F.get(F.split(place, ","), F.lit(0))))
+        head = F.when(said, 0).when(joined, 1).otherwise(F.when(place.isNotNull(), 4).otherwise(3))
+        rest = F.filter(plain, lambda x, i: i >= head)
+        one = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?i)^(?:d\d+t)?\d{1,3}[.)]?\s+", ""), r"\s+\d{1,2}:\d{2}$", ""), r"\s*>$", "")
+        several = lambda x: F.split(F.regexp_replace(x, r"(?i)^(?:set|encore)[^:]{0,12}:\s*", ""), r"\s*[,>]\s*")
+        songs = F.flatten(F.transform(rest, lambda x: F.when(x.rlike(r"(?i)^(?:set|encore)[^:]{0,12}:"), several(x)).otherwise(F.array(one(x)))))
+        date = F.coalesce(told("date"), F.when(joined, F.get(three, F.lit(1))).when(stacked, at(1)))
+        return F.struct(
+            F.coalesce(told("artist"), F.when(joined, F.get(three, F.lit(0))).otherwise(at(0))).alias("artist"),
+            date.alias("date"),
+            F.coalesce(told("venue"), F.when(stacked, at(2))).alias("venue"),
+            city.alias("city"),
+            F.nullif(F.regexp_extract(place, ", ([A-Z]{2})$", 1), F.lit("")).alias("state"),
+            told("source").alias("source"),
+            F.filter(songs, lambda x: x != "").alias("songs"),
+        )
+
+    return _once(block, of_block)

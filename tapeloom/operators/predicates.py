@@ -10,6 +10,9 @@ from tapeloom.functions import text
 
 # Fixed values.
 FILLERS = "tuning tune-up intro crowd applause banter chatter announcements encore-break set-break soundcheck outro silence filler noodling talk".split()
+#: What a line with a date holds, and words of lines that are no venue's.
+DATE_LIKE = "[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}"
+NO_VENUE = "\\b(sbd|aud|dat|flac|shn|mp3|mics?|source|lineage|taper|taped|recorded|transfer|set|encore|disc|support|opening|opener|tour)\\b"
 PROGRAMS = ("exe", "bat", "scr", "com", "lnk", "vbs")
 RESERVED = ("sbd", "aud", "mtx", "fm", "live")
 
@@ -48,6 +51,12 @@ def plausible_venue(c: Column) -> Column:
     return F.length(F.trim(c)).between(2, 90) & ~c.rlike("^[0-9 ./-]+$") & ~F.lower(c).rlike("^(sbd|aud|fm|mtx|unknown|tba|tbd)")
 
 
+def venue_line(c: Column) -> Column:
+    """F-12: a line that may name a venue: short, begins with a capital or a digit, has no date, and speaks of no source, set, support act or tour."""
+    t = F.trim(c)
+    return F.length(t).between(3, 60) & t.rlike("^[A-Z0-9]") & ~t.rlike(DATE_LIKE) & ~F.lower(t).rlike(NO_VENUE) & ~t.rlike("[:>=]")
+
+
 def plausible_city(c: Column) -> Column:
     """F-10."""
     digits = F.length(F.regexp_replace(c, "[^0-9]", ""))

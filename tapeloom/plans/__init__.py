@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("problems", "decisions", "filters", "joins", "aggregates", "windows", "scalars", "inputs", "streams", "mutations")
+MODULES = ("problems", "composites", "decisions", "filters", "joins", "aggregates", "windows", "scalars", "inputs", "streams", "mutations")
 FLAGSHIP = "merge_trust_order"
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.functions import text
-from tapeloom.operators import merging
+from tapeloom.operators import merging, shows
 from tapeloom.plans.base import release_fields, show_fields, show_tracks
-from tapeloom.plans.registry import Family
+from tapeloom.plans.problems import P1_PARTS_SQL, P1_TRACKS_SQL
+from tapeloom.plans.registry import SONG_KEY, Family
 from tapeloom.tables import table
 
 family = Family()
@@ -71,7 +72,8 @@ def title_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("A-8")
+@query("A-8", sql=f"""with c as (select distinct {SONG_KEY.format("title")} as k from song_titles), t as (select show_id, nullif({SONG_KEY.format("title")}, '') as k from ({P1_TRACKS_SQL}))
+ select show_id, count(t.k) as checked, round(coalesce(avg(case when t.k is not null then case when c.k is not null then 1 else 0 end end), 1.0), 6) as recognised from t left join c on c.k = t.k group by show_id""")
 def corpus_recognition(spark: SparkSession, d: str) -> DataFrame:
     """The share of a show's titles that the song corpus knows; 1 where there is nothing to check (Q-16)."""
     corpus = table(spark, d, "song_titles").select(text.song_norm(F.col("title")).alias("k")).filter("k <> ''").distinct()
@@ -137,7 +139,7 @@ def first_and_last_spelling(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("artist_key").agg(F.min_by("artist", "id").alias("first_spelling"), F.max_by("artist", "id").alias("last_spelling"), F.count("*").alias("n"))
 
 
-@query("A-17")
+@query("A-17", sql=f"select show_id, count(*) as tracks, count(*) filter (where trim(coalesce(title, '')) <> '') as titled, count(distinct disc) as discs, count(*) filter (where coalesce(segue, false)) as segues from ({P1_TRACKS_SQL}) group by show_id")
 def show_stats(spark: SparkSession, d: str) -> DataFrame:
     """Tracks, titled tracks, discs and segues of every show."""
     t = show_tracks(spark, d)
@@ -163,11 +165,9 @@ def clamped_totals(spark: SparkSession, d: str) -> DataFrame:
     return release_fields(spark, d).groupBy("indexer").agg(F.count("*").alias("n"), F.sum(F.greatest(F.lit(0), F.coalesce("downloads", F.lit(0)) - 100)).alias("beyond"))
 
 
-@query("A-23", "U-5")
+@query("A-23", "U-5", sql=f"with f as (select show_id, bracket, min(part_no) as n from ({P1_PARTS_SQL}) where bracket is not null group by all) select show_id, string_agg(bracket, ' & ' order by n) as bracket from f group by show_id")
 def bracket_join(spark: SparkSession, d: str) -> DataFrame:
     """A show's parts' brackets, each once in the parts' order."""
-    from tapeloom.operators import shows
-
     p = shows.part_rows(shows.documents(spark, d)).filter("bracket is not null")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("part_no", "bracket"))), lambda x: x["bracket"])
     return p.groupBy("show_id").agg(F.array_join(F.array_distinct(listed), " & ").alias("bracket"))

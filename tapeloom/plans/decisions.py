@@ -13,40 +13,13 @@ from tapeloom.operators import merging, places, predicates, sequences, shows
 from tapeloom.operators.alignment import align
 from tapeloom.plans import problems
 from tapeloom.plans.base import release_fields, show_fields, show_tracks
-from tapeloom.plans.registry import Family
+from tapeloom.plans.registry import FILLER_PARTS, STATED, TOLD, Family
 from tapeloom.tables import table
 
 family = Family()
 query = family.query
 
-#: Whom to trust first; dates have an order of their own.
-TRUST = ["meta", "release", "folder"]
-DATE_TRUST = ["folder", "meta", "release"]
 _N = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
-_FOLDER = "'[0-9][0-9][-.][0-9][0-9] ([^,\\[]+),([^,\\[]+),([^,\\[]+)'"
-
-
-def evidence(spark: SparkSession, d: str) -> DataFrame:
-    """What the sources say of a show, as a long table: show_id, source, field, value."""
-    s = show_fields(spark, d)
-    p = r"[0-9][0-9][-.][0-9][0-9] ([^,\[]+),([^,\[]+),([^,\[]+)"
-    own = s.select("show_id", F.lit("meta").alias("source"), "venue", "city", "state", "date")
-    told = [F.trim(F.regexp_extract("folder_name", p, k)) for k in (1, 2, 3)]
-    day = F.regexp_extract("folder_name", "((19|20)[0-9][0-9]-[0-9][0-9]-[0-9][0-9])", 1)
-    folder = s.select("show_id", F.lit("folder").alias("source"), told[0].alias("venue"), told[1].alias("city"), told[2].alias("state"), day.alias("date"))
-    return own.unionByName(folder).unpivot(["show_id", "source"], ["venue", "city", "state", "date"], "field", "value")
-
-
-@query("R-1", "Q-2", "Q-10", sql=f"""with e as (select show_id, 'meta' as source, unnest([{{'field': 'venue', 'value': venue}}, {{'field': 'city', 'value': city}}, {{'field': 'state', 'value': state}}, {{'field': 'date', 'value': date}}]) as f from {{SHOWS}}
-  union all select show_id, 'folder', unnest([{{'field': 'venue', 'value': trim(regexp_extract(folder_name, {_FOLDER}, 1))}}, {{'field': 'city', 'value': trim(regexp_extract(folder_name, {_FOLDER}, 2))}}, {{'field': 'state', 'value': trim(regexp_extract(folder_name, {_FOLDER}, 3))}}, {{'field': 'date', 'value': regexp_extract(folder_name, '((19|20)[0-9][0-9]-[0-9][0-9]-[0-9][0-9])', 1)}}]) from {{SHOWS}}),
- v as (select show_id, source, f.field as field, f.value as value, case when (f.field = 'date') = (source = 'folder') then 1 else 2 end as place from e where f.value is not null and trim(f.value, ' ') <> ''),
- k as (select show_id, field, left({_N.format('value')}, 24) as k, count(*) as n from v group by all), a as (select show_id, field, max(n) as agreement from k group by all)
- select v.show_id, v.field, arg_min(v.value, v.place) as value, arg_min(v.source, v.place) as source, min(a.agreement) as agreement from v join a on a.show_id = v.show_id and a.field = v.field group by v.show_id, v.field""")
-def merge_trust_order(spark: SparkSession, d: str) -> DataFrame:
-    """Every field of a show from the most trusted source that has it, with provenance and agreement."""
-    return merging.merge_by_trust(evidence(spark, d), ["show_id"], ["meta", "folder"], {"date": ["folder", "meta"]})
-
-
 @query("R-2", "Q-22", sql="select show_id, case when regexp_extract(folder_name, '((19|20)[0-9][0-9]-[0-9][0-9]-[0-9][0-9])', 1) <> '' then regexp_extract(folder_name, '((19|20)[0-9][0-9]-[0-9][0-9]-[0-9][0-9])', 1) else date end as date, coalesce(nullif(regexp_extract(folder_name, '\\[[^\\]]*?([0-9]{6})\\]', 1), ''), nullif(shnid, '')) as shnid from {SHOWS}")
 def overrides_after_merge(spark: SparkSession, d: str) -> DataFrame:
     """The folder's date and number win over the record's."""
@@ -54,17 +27,6 @@ def overrides_after_merge(spark: SparkSession, d: str) -> DataFrame:
     return show_fields(spark, d).select("show_id", F.when(day != "", day).otherwise(F.col("date")).alias("date"), F.coalesce(parse.shnid(F.col("folder_name")), F.nullif("shnid", F.lit(""))).alias("shnid"))
 
 
-@query("R-3", "A-5", sql="""select show_id, least(100, cast((case when trim(coalesce(artist, '')) <> '' then 20 else 0 end) + (case when trim(coalesce(date, '')) <> '' then 20 else 0 end) + (case when trim(coalesce(venue, '')) <> '' then 15 else 0 end)
- + (case when trim(coalesce(city, '')) <> '' then 10 else 0 end) + (case when trim(coalesce(state, '')) <> '' then 10 else 0 end) + (case when trim(coalesce(source_type, '')) <> '' then 5 else 0 end) + (case when contains(folder_name, date) and date <> '' then 5 else 0 end) as integer)) as score from {SHOWS}""")
-def weighted_score(spark: SparkSession, d: str) -> DataFrame:
-    """A sum of weights of what is there and agrees, capped at 100. The weights are a parameter."""
-    weights = {"artist": 20, "date": 20, "venue": 15, "city": 10, "state": 10, "source_type": 5}
-    there = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
-    total = sum((F.when(there(c), w).otherwise(0) for c, w in weights.items()), F.lit(0))
-    agree = F.when(F.contains("folder_name", "date") & (F.col("date") != ""), 5).otherwise(0)
-    return show_fields(spark, d).select("show_id", F.least(F.lit(100), total + agree).alias("score"))
-
-
 @query("R-5", sql=f"""with n as (select distinct artist from {{RELEASES}} where artist is not null), s as (select artist, regexp_extract(artist, '^(.{{{{3,}}}}?) (feat[.]|featuring|with|w/) ', 1) as sure, regexp_extract(artist, '^(.{{{{3,}}}}?) (&|and|[+]) ', 1) as maybe from n)
  select artist, coalesce(nullif(sure, ''), a.name) as host from s left join artists a on a.norm = {_N.format('maybe')} and maybe <> '' where coalesce(nullif(sure, ''), a.name) is not null""".replace("{{{{3,}}}}", "{3,}").replace("{{3,}}", "{3,}"))
 def split_host(spark: SparkSession, d: str) -> DataFrame:
@@ -112,9 +74,9 @@ _ALIGN_FILES = f"""t as (select show_id, part_no, track_no, show_id || '/' || pa
  files as (select list_id, track_no as pos, printf('t%02d.flac', track_no) as name, 200.0 + track_no * 7 % 180 as seconds, title as label, disc from (select *, max(track_no) over (partition by list_id) as last from t) where show_id % 3 <> 1 or track_no < last or last = 1
   union all select distinct list_id, 0, 't00.flac', 31.0, case when show_id % 2 = 0 then 'Tuning' else '' end, 1 from t where show_id % 3 = 0)"""
 _KEYED = "regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]', '', 'g')"
-_FILLED = "list_transform(list_filter(string_split_regex(regexp_replace(lower(coalesce(label, '')), '^[ \-–—*>~]+|[ \-–—*>~]+$', '', 'g'), '\s*(?:[/&+,>]|\band\b)\s*'), lambda p: p <> ''), lambda p: regexp_replace(regexp_replace(p, '^the ', ''), '[^a-z0-9]', '', 'g'))"
+_FILLED = FILLER_PARTS.format("label")
 _WORDS = "[" + ", ".join("'" + f.replace("-", "") + "'" for f in predicates.FILLERS) + "]"
-ALIGN_SQL = f"""with {_ALIGN_FILES},
+ALIGN_SQL = rf"""with {_ALIGN_FILES},
  listed as (select list_id, count(*) as n_songs, list({_KEYED.format('title')}) as keys from songs group by 1),
  a as (select f.*, n_songs, count(*) over (partition by f.list_id) - n_songs as surplus, list_contains(keys, {_KEYED.format('label')}) as said,
   len({_FILLED}) > 0 and len(list_filter({_FILLED}, lambda p: not list_contains({_WORDS}, p))) = 0 as filler from files f join listed using (list_id)),
@@ -152,7 +114,9 @@ def alignment_by_count(spark: SparkSession, d: str) -> DataFrame:
     return f.join(s, ["user_id", "k"]).select("user_id", "event_id", "song")
 
 
-@query("R-11", "R-12", "X-26")
+@query("R-11", "X-26", "X-27", sql=f"""with s as (select show_id, {STATED.format("source_type")} as stated, {STATED.format("regexp_replace(folder_name, '[._\\[\\]]', ' ', 'g')")} as named from {{SHOWS}}),
+ t as (select show_id, min({TOLD.format("text")}) as told from documents where show_id is not null group by show_id)
+ select s.show_id, coalesce(stated, named, told, '') as kind, case when stated is not null then 'stated' when named is not null then 'folder' when told is not null then 'text' else '' end as how from s left join t on t.show_id = s.show_id""")
 def source_resolution(spark: SparkSession, d: str) -> DataFrame:
     """A source's class: stated, else the folder's, else what the texts of the show suggest."""
     s = show_fields(spark, d).select("show_id", parse.source_type(F.col("source_type")).alias("stated"), parse.source_type(F.regexp_replace("folder_name", r"[._\[\]]", " ")).alias("named"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.operators import predicates
 from tapeloom.plans.base import release_fields, show_fields
-from tapeloom.plans.registry import Family
+from tapeloom.plans.registry import FILLER_PARTS, Family
 from tapeloom.tables import table
 
 family = Family()
@@ -25,11 +25,14 @@ def visible_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "shows").filter(predicates.visible(F.col("folder_name")) & ~predicates.reserved_prefix(F.col("folder_name"))).select("id").distinct()
 
 
-@query("F-5")
+_FILLERS = "[" + ", ".join("'" + f.replace("-", "") + "'" for f in predicates.FILLERS) + "]"
+_PARTS = FILLER_PARTS.format("title")
+
+
+@query("F-5", sql=f"select rid, len({_PARTS}) > 0 and len(list_filter({_PARTS}, lambda p: not list_contains({_FILLERS}, p))) = 0 as filler from song_titles")
 def filler_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Titles made of words for what is no song."""
-    t = table(spark, d, "song_titles").select("rid", "title").unionByName(spark.createDataFrame([(-1, "Tuning"), (-2, "Crowd / Banter"), (-3, "Intro and Tuning")], "rid long, title string"))
-    return t.filter(predicates.filler(F.col("title")))
+    """Whether a title is made of words for what is no song."""
+    return table(spark, d, "song_titles").select("rid", predicates.filler(F.coalesce("title", F.lit(""))).alias("filler"))
 
 
 _JUNK = "(regexp_matches(title, '(?i)^(set|disc|track|source|lineage)\\b') or ends_with(title, ':') or regexp_matches(title, '(?i)[.](flac|shn|mp3|wav)') or length(regexp_replace(title, '[^0-9]', '', 'g')) > 0.5 * greatest(length(title), 1))"
@@ -41,12 +44,12 @@ def junk_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "song_titles").filter("title is not null").select("rid", predicates.junk_title(F.col("title")).alias("junk"))
 
 
-@query("F-8", "F-9", "F-10", "F-12", sql="""select show_id, (length(artist) between 2 and 60 and length(regexp_replace(artist, '[^A-Za-z]', '', 'g')) >= 2 and not regexp_matches(artist, '[<>{}]') and not regexp_matches(artist, '(19|20)[0-9][0-9]-[0-9][0-9]')) as artist_ok,
+@query("F-8", "F-9", "F-10", sql="""select show_id, (length(artist) between 2 and 60 and length(regexp_replace(artist, '[^A-Za-z]', '', 'g')) >= 2 and not regexp_matches(artist, '[<>{}]') and not regexp_matches(artist, '(19|20)[0-9][0-9]-[0-9][0-9]')) as artist_ok,
  (length(trim(venue)) between 2 and 90 and not regexp_matches(venue, '^[0-9 ./-]+$') and not regexp_matches(lower(venue), '^(sbd|aud|fm|mtx|unknown|tba|tbd)')) as venue_ok,
- (length(trim(city)) between 2 and 40 and not regexp_matches(city, '[!?;:_/@#]') and length(regexp_replace(city, '[^0-9]', '', 'g')) <= 1 and len(string_split(trim(city), ' ')) <= 5 and regexp_matches(city, '[A-Za-z]{2}')) as city_ok from {SHOWS} where artist is not null and venue is not null and city is not null""")
+ (length(trim(city)) between 2 and 40 and not regexp_matches(city, '[!?;:_/@#]') and length(regexp_replace(city, '[^0-9]', '', 'g')) <= 1 and len(string_split(trim(city), ' ')) <= 5 and regexp_matches(city, '[A-Za-z]{2}')) as city_ok from {SHOWS}""")
 def plausible_fields(spark: SparkSession, d: str) -> DataFrame:
     """Whether artist, venue and city look like what they should be."""
-    s = show_fields(spark, d).filter("artist is not null and venue is not null and city is not null")
+    s = show_fields(spark, d)
     return s.select("show_id", predicates.plausible_artist(F.col("artist")).alias("artist_ok"), predicates.plausible_venue(F.col("venue")).alias("venue_ok"), predicates.plausible_city(F.col("city")).alias("city_ok"))
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.functions.text import html_lines
 from tapeloom.operators import places
 from tapeloom.plans.base import release_fields, show_fields, show_tracks
+from tapeloom.plans.problems import P1_TRACKS_SQL
 from tapeloom.plans.registry import Family
 from tapeloom.sources import paged, replies, sinks, texts
-from tapeloom.tables import table
+from tapeloom.tables import shared_folder, table
 
 family = Family()
 query = family.query
@@ -29,7 +32,7 @@ def library_walk(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.coalesce(lv["artist"], F.lit("")).alias("parent"), lv["show"].alias("leaf"))
 
 
-@query("SRC-6", "SRC-5")
+@query("SRC-6", "SRC-5", sql="select show_id, min(doc_id) as doc_id, arg_min(artist_norm, doc_id) as artist_norm from documents where show_id is not null and artist_norm is not null group by show_id")
 def first_text_per_show(spark: SparkSession, d: str) -> DataFrame:
     """The first text of a show that has an artist: one is read, not all."""
     t = table(spark, d, "documents").filter("show_id is not null and artist_norm is not null").groupBy("show_id").agg(F.min_by(F.struct("doc_id", "artist_norm"), "doc_id").alias("m"))
@@ -49,10 +52,6 @@ def decoded_texts(spark: SparkSession, d: str) -> DataFrame:
  select key, cc, admin, pop, cast(gid as varchar) as gid from (select *, row_number() over (partition by key order by pop desc, gid) as r from k) where r = 1""")
 def gazetteer_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The most populous place of every folded name, written as a compressed table and read again."""
-    import uuid
-
-    from tapeloom.tables import shared_folder
-
     best = places.best_per_name(table(spark, d, "places")).select("key", "cc", "admin", "pop", F.col("gid").cast("string").alias("gid"))
     path = f"{shared_folder(spark)}/gazetteer-{uuid.uuid4().hex}"
     texts.write_gazetteer(best, path)
@@ -75,21 +74,23 @@ def paged_index(spark: SparkSession, d: str) -> DataFrame:
 @query("SRC-15")
 def item_replies(spark: SparkSession, d: str) -> DataFrame:
     """Items' replies as shows."""
-    t = show_tracks(spark, d).filter("part_no = 0").groupBy("show_id").agg(F.collect_list(F.struct(F.concat("sk", F.lit(".flac")).alias("name"), F.lit("Flac").alias("format"), "title", F.col("track_no").cast("string").alias("track"))).alias("files"))
+    t = show_tracks(spark, d).groupBy("show_id").agg(F.collect_list(F.struct(F.concat("sk", F.lit(".flac")).alias("name"), F.lit("Flac").alias("format"), "title", F.col("track_no").cast("string").alias("track"))).alias("files"))
     s = show_fields(spark, d).dropDuplicates(["show_id"]).join(t, "show_id")
     reply = F.to_json(F.struct(F.struct(F.col("artist").alias("creator"), "date", F.concat_ws(", ", "venue", "city", "state").alias("coverage"), F.col("source_type").alias("source")).alias("metadata"), "files"))
     got = replies.item_show(s.select("show_id", reply.alias("reply")), "show_id", "reply")
     return got.select("show_id", "artist", "date", "venue", "city", "state", "source_type", F.size("titles").alias("titles"))
 
 
-@query("SRC-16", "SRC-17", "X-46")
+@query("SRC-16", "X-46", sql=f"""with t as (select *, dense_rank() over (partition by show_id order by part_no, coalesce(set_no, 1)) as nth from ({P1_TRACKS_SQL})), g as (select * from t where trim(title) <> '')
+ select g.show_id, s.artist, case when regexp_matches(s.date, '^[0-9]{{{{4}}}}-[0-9][0-9]-[0-9][0-9]$') then strftime(try_cast(s.date as date), '%Y-%m-%d') end as date, row_number() over (partition by g.show_id order by g.nth, g.track_no) as num, trim(g.title) as title, g.nth as set_no, coalesce(g.segue, false) as segue
+ from g join {{SHOWS}} s on s.show_id = g.show_id""".replace("{{4}}", "{4}"))
 def setlist_replies(spark: SparkSession, d: str) -> DataFrame:
     """Setlists' replies as songs."""
-    t = show_tracks(spark, d).filter("part_no = 0")
-    sets = t.groupBy("show_id", F.coalesce("set_no", F.lit(1)).alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("track_no", F.col("title").alias("name"), F.coalesce("segue", F.lit(False)).alias("segue")))), lambda x: F.struct(x["name"].alias("name"), x["segue"].alias("segue"))).alias("song"))
+    t = show_tracks(spark, d)
+    sets = t.groupBy("show_id", F.struct("part_no", F.coalesce("set_no", F.lit(1)).alias("set_no")).alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("track_no", F.col("title").alias("name"), F.coalesce("segue", F.lit(False)).alias("segue")))), lambda x: F.struct(x["name"].alias("name"), x["segue"].alias("segue"))).alias("song"))
     all_sets = sets.groupBy("show_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "song"))), lambda x: F.struct(x["song"].alias("song"))).alias("set"))
     s = show_fields(spark, d).dropDuplicates(["show_id"]).join(all_sets, "show_id")
-    reply = F.to_json(F.struct(F.struct(F.col("artist").alias("name")).alias("artist"), F.date_format(F.try_to_date("date"), "dd-MM-yyyy").alias("eventDate"), F.struct("set").alias("sets")))
+    reply = F.to_json(F.struct(F.struct(F.col("artist").alias("name")).alias("artist"), F.date_format(F.when(F.col("date").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date("date")), "dd-MM-yyyy").alias("eventDate"), F.struct("set").alias("sets")))
     return replies.setlist_songs(s.select("show_id", reply.alias("reply")), "show_id", "reply").select("show_id", "artist", "date", "num", "title", "set_no", "segue")
 
 
@@ -115,7 +116,7 @@ def refused_archives(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("show_id is not null").groupBy("show_id").agg(F.count("*").alias("files"), F.sum("n_chars").alias("size")).select("show_id", "files", "size", (F.col("size") > 8000).alias("too_large"), (F.col("files") > 4).alias("too_many"))
 
 
-@query("SRC-22", "A-19")
+@query("SRC-22", "A-19", sql="select user_id, event_type, round(avg(value), 6) as level, min(value) as least from events group by all")
 def probed_levels(spark: SparkSession, d: str) -> DataFrame:
     """Measurements of files, taken beforehand, as a table by user and kind."""
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("level"), F.min("value").alias("least"))
@@ -135,13 +136,9 @@ def tag_numbers(spark: SparkSession, d: str) -> DataFrame:
     return sinks.tag_rows(p, "artist_norm", "disc", "rid")
 
 
-@query("SNK-5", "SNK-7")
+@query("SNK-5", "SNK-7", sql="select show_id, artist, date from {SHOWS}")
 def audit_export(spark: SparkSession, d: str) -> DataFrame:
     """Shows exported as JSON and read again."""
-    import uuid
-
-    from tapeloom.tables import shared_folder
-
     path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
     sinks.export_json(show_fields(spark, d).select("show_id", "artist", "date"), path)
     return spark.read.schema("show_id long, artist string, date string").json(path)
@@ -150,10 +147,6 @@ def audit_export(spark: SparkSession, d: str) -> DataFrame:
 @query("SNK-9", "T-7", sql="select distinct artist from {RELEASES} where artist is not null")
 def import_ledger(spark: SparkSession, d: str) -> DataFrame:
     """A ledger to which a batch is given twice: every key stands in it once."""
-    import uuid
-
-    from tapeloom.tables import shared_folder
-
     path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
     keys = release_fields(spark, d).filter("artist is not null").select("artist")
     for _ in range(2):

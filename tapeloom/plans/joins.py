@@ -84,11 +84,11 @@ def fuzzy_cascade(spark: SparkSession, d: str) -> DataFrame:
     return matching.best_fuzzy(missed, known, "artist", "name", cutoff=0.88)
 
 
-@query("J-8", sql=f"""select distinct s.show_id, r.id as rel_id from {{SHOWS}} s join {{RELEASES}} r on r.date = s.date
+@query("J-8", sql=f"""select distinct s.show_id, r.id as rel_id from {{SHOWS}} s join {{RELEASES}} r on r.date = s.date and r.date <> ''
  where length({_N.format('r.artist')}) > 0 and contains({_N.format('s.folder_name')} || {_N.format('s.artist')}, left({_N.format('r.artist')}, 12))""")
 def owned_containment(spark: SparkSession, d: str) -> DataFrame:
     """Releases that a show's text contains by the first twelve letters of the artist's key, on the same date: the date is the equi key, so nothing is crossed."""
-    s = show_fields(spark, d).select("show_id", "date", F.concat(text.norm_key(F.col("folder_name")), text.norm_key(F.col("artist"))).alias("hay"))
+    s = show_fields(spark, d).select("show_id", "date", F.concat(text.norm_key(F.col("folder_name")), text.norm_key(F.col("artist"))).alias("hay")).filter("date <> ''")
     r = release_fields(spark, d).select(F.col("id").alias("rel_id"), "date", F.left(text.norm_key(F.col("artist")), F.lit(12)).alias("needle")).filter("needle <> ''")
     return s.join(r, "date").filter(F.contains("hay", "needle")).select("show_id", "rel_id").distinct()
 
@@ -137,7 +137,9 @@ def ambiguity_guarded_match(spark: SparkSession, d: str) -> DataFrame:
     return matching.only_best(n, ["artist_norm"], "shared").filter("shared >= 2").select("artist_norm", "other", "shared")
 
 
-@query("J-13", "O-11")
+@query("J-13", "O-11", sql="""with rules(remote, local) as (values ('/data', '/mnt/a'), ('/data/live', '/mnt/b'), ('/data/live/aud', '/mnt/c')),
+ p as (select show_id, '/data/' || case source_type when 'AUD' then 'live/aud/' when 'SBD' then 'live/' else 'livestock/' end || coalesce(date, 'x') as path from {SHOWS}),
+ h as (select *, row_number() over (partition by show_id order by length(remote) desc) as k from p join rules on path = remote or starts_with(path, remote || '/')) select show_id, path, local || substr(path, length(remote) + 1) as mapped from h where k = 1""")
 def longest_prefix_map(spark: SparkSession, d: str) -> DataFrame:
     """Paths moved by the longest mapped prefix that ends at a segment's border."""
     rules = spark.createDataFrame([("/data", "/mnt/a"), ("/data/live", "/mnt/b"), ("/data/live/aud", "/mnt/c")], "remote string, local string")
@@ -145,7 +147,8 @@ def longest_prefix_map(spark: SparkSession, d: str) -> DataFrame:
     return matching.longest_prefix(paths, rules, "show_id", "path")
 
 
-@query("J-14")
+@query("J-14", sql="""with p as (select show_id, list_reverse(string_split(concat_ws('/', 'a', state, city, venue), '/')) as x, list_reverse(string_split(concat_ws('/', 'b', upper(state), city, venue), '/')) as y from {SHOWS})
+ select show_id, list_max(list_filter(range(0, least(len(x), len(y)) + 1), lambda k: list_slice(x, 1, k) = list_slice(y, 1, k))) as segments from p""")
 def tail_path_match(spark: SparkSession, d: str) -> DataFrame:
     """For each path, how many of its last segments stand at the end of the other, from the end on."""
     s = show_fields(spark, d).select("show_id", F.concat_ws("/", F.lit("a"), "state", "city", "venue").alias("x"), F.concat_ws("/", F.lit("b"), F.upper("state"), "city", "venue").alias("y"))

@@ -79,7 +79,7 @@ def bulk_transition(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("status", F.when(F.col("status").isin("planned", "error"), "pending").otherwise(F.col("status")).alias("next")).agg(F.count("*").alias("n"))
 
 
-@query("M-11", "A-3")
+@query("M-11", "A-3", sql="select norm, name, length(name) as n, 3 as schema_version from artists")
 def migrated(spark: SparkSession, d: str) -> DataFrame:
     """A table taken through versioned steps, each only if its version is newer."""
     steps = [(1, lambda t: t.withColumn("k", F.lower("name"))), (2, lambda t: t.withColumn("n", F.length("name"))), (3, lambda t: t.drop("k"))]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tapeloom.functions import fuzzy, parse, text
-from tapeloom.operators import matching
+from tapeloom.operators import matching, places
 from tapeloom.plans.base import release_fields, show_fields
 from tapeloom.plans.registry import Family
 from tapeloom.tables import table
@@ -43,7 +43,11 @@ def word_sets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "artists").select("norm", F.array_join(F.array_sort(text.norm_words(n)), " ").alias("words"), F.array_join(F.array_sort(text.words(n)), " ").alias("small"), text.initials(n).alias("initials"))
 
 
-@query("X-8")
+_FORMS = "list_transform(range(1, len({0}) + 1), lambda k: array_to_string(list_transform({0}[1:k], lambda w: left(w, 1)), '') || array_to_string({0}[k + 1:], ''))"
+
+
+@query("X-8", sql=f"""with t as (select norm, {_TOK} as every, list_filter({_TOK}, lambda w: w not in ('the', 'a', 'an', 'and', 'of', 'in', 'at', 'on', 'for', 'to')) as few from artists)
+ select norm, array_to_string(list_sort(list_distinct(list_concat({_FORMS.format('every')}, {_FORMS.format("few")}))), ' ') as forms from t""")
 def initial_form_sets(spark: SparkSession, d: str) -> DataFrame:
     """All forms of a name as initials and the rest."""
     return table(spark, d, "artists").select("norm", F.array_join(F.array_sort(text.initial_forms(F.col("name"))), " ").alias("forms"))
@@ -52,8 +56,6 @@ def initial_form_sets(spark: SparkSession, d: str) -> DataFrame:
 @query("X-9", "X-12")
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
     """The similarity of each song's title to its act's next one, both ways: it is not symmetric."""
-    from pyspark.sql import Window as W
-
     t = table(spark, d, "song_titles").select("rid", "artist_norm", "title")
     nxt = F.lead("title").over(W.partitionBy("artist_norm").orderBy("rid"))
     p = t.withColumn("other", nxt).filter("other is not null")
@@ -66,7 +68,7 @@ def contained_keys(spark: SparkSession, d: str) -> DataFrame:
     return matching.contained_pairs(table(spark, d, "artists"), "norm")
 
 
-@query("X-13")
+@query("X-13", sql="with m as (select artist_id, min(release_id) as a, max(release_id) as b from {RELEASES} where artist_id is not null group by 1) select artist_id, left(a, list_max(list_filter(range(0, length(a) + 1), lambda k: left(a, k) = left(b, k)))) as prefix from m")
 def common_beginnings(spark: SparkSession, d: str) -> DataFrame:
     """The beginning that all of an act's release ids share."""
     r = release_fields(spark, d).filter("artist_id is not null").groupBy("artist_id").agg(F.min("release_id").alias("a"), F.max("release_id").alias("b"))
@@ -107,13 +109,23 @@ def iso_dates(spark: SparkSession, d: str) -> DataFrame:
     return release_fields(spark, d).select("id", parse.extract_date(F.col("date")).alias("day"))
 
 
-@query("X-26", "X-27", "X-28", "X-29", "X-30", sql="""select show_id, case when regexp_matches(upper(source_type), '\\b(FM|BROADCAST|SIMULCAST)\\b') then 'SBD.FM' when regexp_matches(upper(source_type), '\\b(MATRIX|MTX)\\b') then 'MTX' when regexp_matches(upper(source_type), '\\b(SBD|DSBD|SDB)\\b') then 'SBD' when regexp_matches(upper(source_type), '\\bFOB\\b') then 'AUD.FOB' when regexp_matches(upper(source_type), '\\bAUD\\b') then 'AUD' else '' end as kind,
+@query("X-26", "X-29", sql="""select show_id, case when regexp_matches(upper(source_type), '\\b(FM|BROADCAST|SIMULCAST)\\b') then 'SBD.FM' when regexp_matches(upper(source_type), '\\b(MATRIX|MTX)\\b') then 'MTX' when regexp_matches(upper(source_type), '\\b(SBD|DSBD|SDB)\\b') then 'SBD' when regexp_matches(upper(source_type), '\\bFOB\\b') then 'AUD.FOB' when regexp_matches(upper(source_type), '\\bAUD\\b') then 'AUD' else '' end as kind,
  nullif(regexp_extract(folder_name, '\\[[^\\]]*?([0-9]{6})\\]', 1), '') as number from {SHOWS} where source_type is not null""")
 def source_classes(spark: SparkSession, d: str) -> DataFrame:
     """A source's class from its label, and the circulation number of the folder's name."""
     return show_fields(spark, d).filter("source_type is not null").select("show_id", parse.source_type(F.col("source_type")).alias("kind"), parse.shnid(F.col("folder_name")).alias("number"))
 
 
+@query("X-28", "X-30", sql=r"""with t as (select doc_id, coalesce(text, '') as t from documents), l as (select doc_id, unnest(string_split_regex(t, '\r?\n')) as line, generate_subscripts(string_split_regex(t, '\r?\n'), 1) as n from t),
+ r as (select doc_id, arg_min(regexp_replace(regexp_replace(trim(line), '(?i)^(taped by|recorded by|recordist|taper)', ''), '^[\s:=]+', ''), n) as said from l where regexp_matches(trim(line), '(?i)^(taped by|recorded by|recordist|taper)') and regexp_replace(regexp_replace(trim(line), '(?i)^(taped by|recorded by|recordist|taper)', ''), '^[\s:=]+', '') <> '' group by doc_id),
+ w as (select doc_id, string_split_regex(said, '\s+')[-1] as last from r)
+ select t.doc_id, regexp_extract(t.t, '(?i)[\[(]\s*(official|archive series|label release)\b[^\])]*[\])]', 1) as official, case when not regexp_matches(w.last, '[0-9]') and length(w.last) > 1 then w.last end as recorder from t left join w on w.doc_id = t.doc_id""")
+def labels_and_tapers(spark: SparkSession, d: str) -> DataFrame:
+    """What a text says of an official release, and who recorded it."""
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", parse.official_label(t).alias("official"), parse.recorder(t).alias("recorder"))
+
+
 @query("X-27", "X-42", "SRC-7")
 def text_sources(spark: SparkSession, d: str) -> DataFrame:
     """A source's class from the evidence in whole texts, their HTML read as lines."""
@@ -128,7 +140,9 @@ def parsed_folders(spark: SparkSession, d: str) -> DataFrame:
     return f.select("show_id", "f.artist", "f.date", "f.rest", F.col("a.venue").alias("venue"), F.col("a.city").alias("city"), F.col("a.state").alias("state"), F.col("a.source_type").alias("source_type"), F.col("a.complete").alias("complete"), "part", F.col("l.venue").alias("located"))
 
 
-@query("X-33", "X-13")
+@query("X-33", "X-13", sql="""with f as (select artist_norm, list_sort(list(artist_norm || ' - ' || title)) as files from song_titles where title is not null and artist_norm is not null group by 1),
+ p as (select *, left(files[1], list_max(list_filter(range(0, length(files[1]) + 1), lambda k: left(files[1], k) = left(files[-1], k)))) as prefix from f), t as (select *, list_transform(files, lambda x: trim(substr(x, length(prefix) + 1))) as titles from p)
+ select artist_norm, prefix, case when len(list_filter(titles, lambda x: x = '')) = 0 and len(list_distinct(titles)) > 1 then array_to_string(titles, '|') end as titles from t""")
 def titles_from_files(spark: SparkSession, d: str) -> DataFrame:
     """Titles from an act's file names: the common beginning goes; only if every file yields one and not all are the same."""
     f = table(spark, d, "song_titles").groupBy("artist_norm").agg(F.array_sort(F.collect_list(F.concat("artist_norm", F.lit(" - "), "title"))).alias("files"))
@@ -206,8 +220,6 @@ def umbrella_names(spark: SparkSession, d: str) -> DataFrame:
 @query("X-23", "R-14", "R-15")
 def tidied_locations(spark: SparkSession, d: str) -> DataFrame:
     """Venue, city and state put right step by step: the order of the steps matters."""
-    from tapeloom.operators import places
-
     return places.tidy(show_fields(spark, d).select("show_id", "venue", "city", "state"))
 
 

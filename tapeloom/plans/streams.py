@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tapeloom.plans.base import release_fields
 from tapeloom.plans.registry import Family
 from tapeloom.streaming import loops
-from tapeloom.tables import table
+from tapeloom.tables import shared_folder, table
 
 family = Family()
 query = family.query
@@ -30,7 +32,8 @@ def settle_sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("first_seen"), "n")
 
 
-@query("T-2", "T-1")
+@query("T-2", "T-1", sql=f"""with e as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as prev from events), g as (select user_id, ts, sum(case when prev is null or ts - prev >= {_GAP} then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as s from e)
+ select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_seen, count(*) as n from g group by user_id, s having max(ts) + {_GAP} <= (select max(ts) - interval 10 minute from events)""")
 def settle_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same as a stream: all sessions that the watermark has closed."""
     got = loops.drain(loops.settled(_events(spark, d).select("user_id", "ts"), "user_id", "ts", "6 hours"))
@@ -48,7 +51,8 @@ def pair_wait(spark: SparkSession, d: str) -> DataFrame:
     return e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("early_id")).join(hit, "early_id", "left").select("user_id", "early_id", "late_id")
 
 
-@query("T-3")
+@query("T-3", sql="""with m as (select least(max(ts) filter (where event_type = 'click'), max(ts) filter (where event_type = 'purchase')) - interval 10 minute as mark from events)
+ select a.user_id, a.event_id as early_id, b.event_id as late_id from events a left join events b on b.user_id = a.user_id and b.event_type = 'purchase' and b.ts >= a.ts and b.ts <= a.ts + interval 120 minute cross join m where a.event_type = 'click' and (b.event_id is not null or a.ts + interval 120 minute < m.mark)""")
 def pair_wait_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same as a join of two streams."""
     side = lambda k: _events(spark, d).filter(F.col("event_type") == k).select("user_id", F.col("event_id").alias("id"), "ts")
@@ -76,13 +80,9 @@ def judged_once(spark: SparkSession, d: str) -> DataFrame:
     return loops.drain(loops.first_sight(s, ["indexer", "release_id"]))
 
 
-@query("T-6", "M-4", "SNK-1")
+@query("T-6", "M-4", "SNK-1", sql="with r as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id desc) as k from events) select user_id, event_id, value from r where k = 1")
 def upsert_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events upserted batch by batch into a keyed table: the last value of every user, each snapshot complete."""
-    import uuid
-
-    from tapeloom.tables import shared_folder
-
     home = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     base = "user_id long, event_id long, value double"
     spark.createDataFrame([], base).write.parquet(f"{home}/0")
@@ -100,7 +100,7 @@ def upsert_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(base).parquet(f"{home}/{at['version']}")
 
 
-@query("T-12", "W-13")
+@query("T-12", "W-13", sql="with e as (select user_id, least(3, count(*) over (partition by user_id order by ts range between interval 6 day preceding and current row)) as recent from events where event_type = 'error') select user_id, recent, recent >= 3 as locked from e")
 def failure_lock_stream(spark: SparkSession, d: str) -> DataFrame:
     """Failures and locks with a bounded state per user."""
     got = loops.drain(loops.locked_out(_events(spark, d).filter("event_type = 'error'"), "user_id", "ts", most=3, seconds=6 * 86400, lock=3600))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tapeloom.functions import text
-from tapeloom.operators import sequences
+from tapeloom.operators import nested, sequences, shows
 from tapeloom.plans.base import release_fields, show_fields, show_tracks
+from tapeloom.plans.problems import P1_TRACKS_SQL
 from tapeloom.plans.registry import Family
 from tapeloom.tables import table
 
@@ -47,7 +48,9 @@ def gap_labels(spark: SparkSession, d: str) -> DataFrame:
     return sequences.gap_labels(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase", "event_id").filter("event_type = 'error'").select("user_id", "event_id", "place")
 
 
-@query("W-6", "X-49")
+@query("W-6", "X-49", sql=f"""with t as (select *, lag(coalesce(segue, false)) over (partition by show_id, part_no order by track_no) as prev from ({P1_TRACKS_SQL})),
+ g as (select *, sum(case when prev then 0 else 1 end) over (partition by show_id, part_no order by track_no) as chain from t)
+ select show_id, part_no, cast(chain as bigint) as chain, coalesce(string_agg(title, ' > ' order by track_no), '') as title, count(*) as tracks from g group by show_id, part_no, chain""")
 def segue_groups(spark: SparkSession, d: str) -> DataFrame:
     """Tracks chained by segues, numbered as groups: a new one begins where the track before does not run on."""
     t = show_tracks(spark, d).select("show_id", "part_no", "track_no", "title", F.coalesce("segue", F.lit(False)).alias("segue"))
@@ -93,7 +96,10 @@ def keep_newest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 10").select("o_custkey", "o_orderkey", "place")
 
 
-@query("W-10", "R-25", "Q-12")
+@query("W-10", "R-25", "Q-12", sql="""with recursive d as (select show_id, doc_id, coalesce(n_chars, 0) as n_chars, row_number() over (partition by show_id order by doc_id) as k from documents where show_id is not null),
+ r as (select show_id, doc_id, n_chars, k, n_chars <= 4000 as taken, case when n_chars <= 4000 then 4000 - n_chars else 4000 end as room from d where k = 1
+  union all select d.show_id, d.doc_id, d.n_chars, d.k, d.n_chars <= r.room, case when d.n_chars <= r.room then r.room - d.n_chars else r.room end from r join d on d.show_id = r.show_id and d.k = r.k + 1)
+ select show_id, doc_id, n_chars, taken from r""")
 def budget_fold(spark: SparkSession, d: str) -> DataFrame:
     """Documents of a source taken in order while a budget lasts; what would exceed it is refused and takes nothing."""
     docs = table(spark, d, "documents").filter("show_id is not null").select("show_id", "doc_id", "n_chars")
@@ -187,7 +193,7 @@ def names_never_released(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "artists").select("name").subtract(release_fields(spark, d).select(F.col("artist").alias("name")))
 
 
-@query("U-6", "R-26")
+@query("U-6", sql=f"select show_id, list(concat_ws('|', part_no, title) order by part_no, track_no) as tracks from ({P1_TRACKS_SQL}) where part_no > 0 group by show_id")
 def joined_track_lists(spark: SparkSession, d: str) -> DataFrame:
     """The tracks of a show's parts as one list, the part as the disc."""
     t = show_tracks(spark, d).filter("part_no > 0")
@@ -195,14 +201,14 @@ def joined_track_lists(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("show_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat_ws("|", x["part_no"], x["title"])).alias("tracks"))
 
 
-@query("U-7")
-def unknown_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Fields in the records' merged schema that the model does not know, from schemas alone."""
-    known = {f.name for f in table(spark, d, "releases").select("data.*").schema} | {"bracket_override", "extras", "title_overrides", "tracks", "parts"}
-    from tapeloom.operators import shows
+_MODEL = (*shows.SHOW_FIELDS, "tracks", "parts")
+
 
-    got = {*shows.SHOW_FIELDS}
-    return spark.createDataFrame([(f, f in known) for f in sorted(got)], "field string, in_releases boolean")
+@query("U-7", sql=f"with k as (select distinct unnest(json_keys(meta)) as field from shows where json_valid(meta) and json_type(meta) = 'OBJECT') select field, field in {_MODEL} as known from k")
+def unknown_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The fields that the records have, from their merged schema, and whether the model knows them."""
+    docs = nested.parse_documents(table(spark, d, "shows").select("meta"), "meta").filter(F.schema_of_variant("doc").startswith("OBJECT"))
+    return spark.createDataFrame([(name, name in _MODEL) for name, _ in nested.schema_fields(nested.merged_schema(docs))], "field string, known boolean")
 
 
 QUERIES, ORACLE, COVERS = family.queries, family.oracle, family.covers
