@@ -150,9 +150,18 @@ class _Node:
     lists: bool
     known: tuple[Level, ...]
 
-    def candidates(self) -> list[tuple[str, ...]]:
-        own = [()] if self.lists else []
-        return own + [(*self.path, name) for name, kind in schema_fields(self.schema) if kind.startswith(("ARRAY", "OBJECT", "VARIANT", "STRING"))]
+    def candidates(self) -> list[tuple[tuple[str, ...], Column]]:
+        """The fields that may hold a list, by path, with what they hold where it may be one."""
+        out = [((), F.col("doc"))] if self.lists else []
+        for name, kind in schema_fields(self.schema):
+            path = (*self.path, name)
+            v = inside(F.col("doc"), path)
+            if kind.startswith(("ARRAY", "OBJECT", "VARIANT")):
+                out.append((path, v))
+            elif kind == "STRING":
+                # Mere text is dropped here, before anything is made of it.
+                out.append((path, F.when(F.try_variant_get(v, "$", "string").rlike(r"^\s*[\[{]"), v)))
+        return out
 
 
 def infer_levels(df: DataFrame, doc: str = "doc", known: tuple[Level, ...] = ()) -> tuple[Level, ...]:
@@ -170,12 +179,12 @@ def infer_levels(df: DataFrame, doc: str = "doc", known: tuple[Level, ...] = ())
         asked, signs = [], None
         for node in nodes:
             found = []
-            for path in node.candidates():
-                found.append(F.struct(F.lit(len(asked)).alias("n"), inside(F.col("doc"), path).alias("v")))
+            for path, v in node.candidates():
+                found.append(F.struct(F.lit(len(asked)).alias("n"), v.alias("v")))
                 asked.append((node, path))
             if found:
-                rows = node.rows.select(F.explode(F.array(*found)).alias("e")).select("e.*").filter(F.schema_of_variant("v").rlike("^(ARRAY|OBJECT|STRING$)"))
-                rows = rows.select("n", F.explode(_signs(F.col("v"))).alias("e")).select("n", "e.*")
+                rows = node.rows.select(F.explode(F.filter(F.array(*found), lambda e: e["v"].isNotNull())).alias("e")).select("e.*")
+                rows = rows.filter(F.schema_of_variant("v").rlike("^(ARRAY|OBJECT|STRING$)")).select("n", F.explode(_signs(F.col("v"))).alias("e")).select("n", "e.*")
                 signs = rows if signs is None else signs.unionByName(rows)
         if signs is None:
             break
