@@ -280,7 +280,7 @@ def shard_keys(form: str, distance: int = DISTANCE) -> list[str]:
         for k in range(d + 1):
             start = k * (size + 1)
             end = start + size if k < d else m
-            out += [f"{m}/{k}/{form[start + s : end + s]}" for s in range(-k, k + 1) if abs(n - m - s) <= d - k and start + s >= 0 and end + s <= n]
+            out += [f"{k}/{form[start + s : end + s]}" for s in range(-k, k + 1) if abs(n - m - s) <= d - k and start + s >= 0 and end + s <= n]
     return list(dict.fromkeys(out))
 
 
