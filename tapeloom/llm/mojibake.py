@@ -150,8 +150,9 @@ def step(text: str) -> str | None:
                 best, kept = c, got
     if kept is not None:
         return kept
-    # Single bytes prove nothing: here a word must be longer ("été" and "Äöü" are words) and the result flawless.
-    now = cost(text)
+    # Single bytes prove nothing: here a word must be longer ("été" and "Äöü" are words), a hard blank is no sign of
+    # anything, and the result flawless.
+    now = cost(text.replace("\xa0", " "))
     if now < 2:
         return None
     kinds = "".join(map(_kind, text))
