@@ -4,32 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tapeloom.functions.text import blank_to_null, city_key, fold
+from tapeloom.functions.text import blank_to_null, city_key, fold, title_case
 from tapeloom.operators import merging
 
 
+# How a city is called for short behind a venue's name.
+CITY_SHORT = {"nyc": "new york", "ny": "new york", "la": "los angeles", "sf": "san francisco", "philly": "philadelphia", "dc": "washington"}
+# Words that are no place by themselves.
+_NOTHING = r"^(unknown( venue)?|n/a|tb[ad]|various|\?+|-+)$"
+_SOURCE = r"^(sbd|d?sbd|aud|fm|mtx|matrix source|fob|soundboard|audience)$"
+_DATE = r"(?:\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{2,4})"
+
+
 def tidy(df: DataFrame) -> DataFrame:
-    """X-23: repairs venue, city and state in named steps, each working on what the one before left.
+    """X-23: repairs venue, city and state in steps, each working on what the one before left.
 
-    1. blanks to null, runs of blanks to one. 2. "at the", "live at", "@" and a trailing ", The" off the venue.
-    3. remarks in brackets off venue and city. 4. a city repeated at the venue's end goes. 5. "City, ST" typed into
-    the city fills a missing state. 6. words for nothing ("unknown", "n/a") to null. 7. codes in capitals, without dots.
+    1. Blanks to null, runs of blanks to one. 2. A number and a dot, or a date and a weekday in brackets, off the
+    venue's head; a venue that is a date or a source's name is none. 3. "At the", "live at", "@" and a trailing
+    ", The" off the venue. 4. Remarks in brackets off venue and city. 5. The city behind the venue goes, with what
+    follows it, after a dash or comma, written out or for short. 6. "City, ST" typed into the city fills a missing
+    state. 7. Words for nothing to null. 8. Of a state its code alone, in capitals and without dots; a state that is
+    the city again is none. 9. Venues and cities in capitals only, without digits, as titles.
     """
     one = lambda c: blank_to_null(F.regexp_replace(c, r"(?U)\s+", " "))
+    off = lambda c, pattern: one(F.regexp_replace(c, pattern, ""))
     for c in ("venue", "city", "state"):
         df = df.withColumn(c, one(F.col(c)))
-    df = df.withColumn("venue", F.regexp_replace("venue", r"(?i)^(?:live\s+at\s+(?:the\s+)?|at\s+the\s+|@\s*)|,\s*the$", ""))
+    v = off(off(F.col("venue"), r"^\d{4,7}\.\s*"), rf"^{_DATE}\s*(?:\([A-Za-z]{{2,9}}\))?\s*")
+    df = df.withColumn("venue", F.when(~F.lower(v).rlike(_SOURCE), v))
+    df = df.withColumn("venue", off(F.col("venue"), r"(?i)^(?:live\s+at\s+(?:the\s+)?|at\s+the\s+|@\s*)|,\s*the$"))
     for c in ("venue", "city"):
-        df = df.withColumn(c, one(F.regexp_replace(F.col(c), r"\s*\([^)]*\)\s*$", "")))
-    ends = F.endswith(F.lower("venue"), F.concat(F.lit(" - "), F.lower("city"))) | F.endswith(F.lower("venue"), F.concat(F.lit(", "), F.lower("city")))
-    df = df.withColumn("venue", F.when(ends, one(F.substring("venue", F.lit(1), F.length("venue") - F.length("city") - 2))).otherwise(F.col("venue")))
-    df = df.withColumn("venue", F.regexp_replace("venue", r"\s*[-,]\s*$", ""))
+        df = df.withColumn(c, off(F.col(c), r"\s*\([^)]*\)\s*$"))
+    # The venue cut into what stands between dashes and commas: it ends before the first part that is the city.
+    pieces = F.split("venue", r"(?<=\S)(?: - |, )(?=\S)")
+    short = F.create_map(*[F.lit(x) for pair in CITY_SHORT.items() for x in pair])
+    known = F.transform(pieces, lambda p: F.coalesce(F.nullif(F.lower(p), F.lit("")) == F.lower("city"), F.lit(False)) | F.coalesce(short[F.lower(p)] == F.lower("city"), F.lit(False)))
+    at = F.array_position(known, True).cast("int")
+    # A part and the separator before it are as long as they were typed.
+    typed = F.transform(F.slice(pieces, F.lit(1), at - 1), lambda p: F.length(p))
+    gaps = F.slice(F.transform(F.regexp_extract_all("venue", F.lit(r"(?<=\S)( - |, )(?=\S)"), F.lit(1)), lambda g: F.length(g)), F.lit(1), at - 2)
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+    df = df.withColumn("venue", F.when(at > 1, F.left("venue", total(typed) + F.when(at > 2, total(gaps)).otherwise(0))).otherwise(F.col("venue")))
+    df = df.withColumn("venue", one(F.regexp_replace("venue", r"\s*[-,]\s*$", "")))
     code = F.nullif(F.regexp_extract("city", r",\s*([A-Z]{2})$", 1), F.lit(""))
     df = df.withColumn("state", F.coalesce("state", code)).withColumn("city", F.when(code.isNotNull(), F.regexp_replace("city", r",\s*[A-Z]{2}$", "")).otherwise(F.col("city")))
     for c in ("venue", "city", "state"):
-        df = df.withColumn(c, F.when(~F.lower(F.col(c)).rlike(r"^(unknown( venue)?|n/a|tb[ad]|various|\?+|-+)$"), F.col(c)))
+        df = df.withColumn(c, F.when(~F.lower(F.col(c)).rlike(_NOTHING), F.col(c)))
     dotted = F.replace("state", F.lit("."), F.lit(""))
-    return df.withColumn("state", F.when(F.length(dotted) == 2, F.upper(dotted)).otherwise(F.col("state")))
+    alone = F.nullif(F.regexp_extract("state", r"^([A-Z]{2}) [a-z]+$", 1), F.lit(""))
+    df = df.withColumn("state", F.coalesce(alone, F.when(F.length(dotted) == 2, F.upper(dotted)).otherwise(F.col("state"))))
+    df = df.withColumn("state", F.when((F.length("state") == 2) | (F.lower("state") != F.lower(F.coalesce("city", F.lit("")))), F.col("state")))
+    for c in ("venue", "city"):
+        shouted = F.col(c).rlike("[A-Z]{2}") & (F.upper(F.col(c)) == F.col(c)) & ~F.col(c).rlike("[0-9]")
+        df = df.withColumn(c, F.when(shouted, title_case(F.col(c))).otherwise(F.col(c)))
+    return df
 
 
 def resolve(df: DataFrame, places: DataFrame, states: DataFrame, countries: DataFrame, votes: DataFrame, ratio: float = 15.0) -> DataFrame:

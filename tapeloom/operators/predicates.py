@@ -13,6 +13,14 @@ FILLERS = "tuning tune-up intro crowd applause banter chatter announcements enco
 #: What a line with a date holds, and words of lines that are no venue's.
 DATE_LIKE = "[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}"
 NO_VENUE = "\\b(sbd|aud|dat|flac|shn|mp3|mics?|source|lineage|taper|taped|recorded|transfer|set|encore|disc|support|opening|opener|tour)\\b"
+NO_CITY = "\\b(sbd|aud|dat|flac|shn|mics?|guitars?|bass|drums|vocals|keyboards?|piano|sax|fiddle|banjo)\\b"
+CREDIT = "^(shared|recorded|taped|transferred|uploaded|seeded|mastered) by\\b"
+SMALL = ("the", "and", "with", "for", "from")
+DATED = "(19|20)[0-9][0-9]-[0-9][0-9]|(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*[.,]? [0-9]"
+STATES = (
+    "alabama alaska arizona arkansas california colorado connecticut delaware florida georgia hawaii idaho illinois indiana iowa kansas kentucky louisiana maine maryland massachusetts michigan minnesota mississippi missouri montana"
+    " nebraska nevada ohio oklahoma oregon pennsylvania tennessee texas utah vermont virginia washington wisconsin wyoming"
+).split() + ["new hampshire", "new jersey", "new mexico", "new york", "north carolina", "north dakota", "rhode island", "south carolina", "south dakota", "west virginia"]
 PROGRAMS = ("exe", "bat", "scr", "com", "lnk", "vbs")
 RESERVED = ("sbd", "aud", "mtx", "fm", "live")
 
@@ -40,15 +48,28 @@ def junk_title(title: Column) -> Column:
     return title.rlike(r"(?i)^(set|disc|track|source|lineage)\b") | F.endswith(title, F.lit(":")) | title.rlike("(?i)[.](flac|shn|mp3|wav)") | (text.digit_share(title) > 0.5)
 
 
+def _words(c: Column) -> Column:
+    return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+
+
+def _told(c: Column) -> Column:
+    """How many of a text's words are lower case and no small ones: sentences have several, names hardly any."""
+    return F.size(F.filter(_words(c), lambda w: w.rlike("^[a-z]{3,}[^A-Za-z]*$") & ~F.regexp_replace(w, "[^a-z]", "").isin(*SMALL)))
+
+
 def plausible_artist(c: Column) -> Column:
-    """F-8."""
+    """F-8: of a name's length and letters; no markup, label, file or address, no sentence, no "City, ST" or "City, State", and without a date."""
     letters = F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
-    return F.length(c).between(2, 60) & (letters >= 2) & ~c.rlike("[<>{}]") & ~c.rlike("(19|20)[0-9][0-9]-[0-9][0-9]")
+    sentence = (F.endswith(c, F.lit(".")) & (F.size(_words(c)) > 1) & ~c.rlike(r"\b[A-Z]\.$")) | F.contains(c, F.lit("...")) | c.rlike("[!?]$") | c.rlike(r"([a-z]['\"]|[a-z]{3,})\. [A-Z]") | (_told(c) > 2)
+    return (
+        F.length(c).between(2, 60) & (letters >= 2) & ~c.rlike("[<>{}@]") & ~c.rlike(r"^[;'\"*#-]") & ~c.rlike(r"^[A-Za-z ]{2,15}:") & ~F.lower(c).rlike(CREDIT)
+        & ~sentence & ~c.rlike(", [A-Z]{2}$") & ~F.lower(c).rlike(f", ({'|'.join(STATES)})[.]?$") & ~c.rlike(DATED)
+    )
 
 
 def plausible_venue(c: Column) -> Column:
-    """F-9."""
-    return F.length(F.trim(c)).between(2, 90) & ~c.rlike("^[0-9 ./-]+$") & ~F.lower(c).rlike("^(sbd|aud|fm|mtx|unknown|tba|tbd)")
+    """F-9: of a venue's length; no date, no source word or word for nothing at its head, and no sentence."""
+    return F.length(F.trim(c)).between(2, 90) & ~c.rlike("^[0-9 ./-]+$") & ~F.lower(c).rlike("^(sbd|aud|fm|mtx|unknown|tba|tbd)") & ~((F.size(_words(c)) > 5) & (_told(c) > 2))
 
 
 def venue_line(c: Column) -> Column:
@@ -60,7 +81,7 @@ def venue_line(c: Column) -> Column:
 def plausible_city(c: Column) -> Column:
     """F-10."""
     digits = F.length(F.regexp_replace(c, "[^0-9]", ""))
-    return F.length(F.trim(c)).between(2, 40) & ~c.rlike("[!?;:_/@#]") & (digits <= 1) & (F.size(F.split(F.trim(c), " ")) <= 5) & c.rlike("[A-Za-z]{2}")
+    return F.length(F.trim(c)).between(2, 40) & ~F.lower(c).rlike(NO_CITY) & ~c.rlike("[!?;:_/@#]") & (digits <= 1) & (F.size(F.split(F.trim(c), " ")) <= 5) & c.rlike("[A-Za-z]{2}")
 
 
 def archive_id(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tapeloom.functions import parse, text
 from tapeloom.operators import matching, merging, predicates, shows
 from tapeloom.plans.base import release_fields, show_fields, show_tracks
+from tapeloom.plans.filters import CITY_OK, VENUE_OK
 from tapeloom.plans.problems import P1_TRACKS_SQL
 from tapeloom.plans.registry import Family
 from tapeloom.tables import table
@@ -153,12 +154,8 @@ def combined_pairs(spark: SparkSession, d: str) -> DataFrame:
     return x.select("first", "second", *fields, F.least("x.sure", "y.sure").cast("long").alias("sure"), (F.col("x.official") & F.col("y.official")).alias("official"), F.concat(F.lit("first: "), "first", F.lit(", second: "), "second").alias("provenance"))
 
 
-_VENUE_OK = "length(trim(venue)) between 2 and 90 and not regexp_matches(venue, '^[0-9 ./-]+$') and not regexp_matches(lower(venue), '^(sbd|aud|fm|mtx|unknown|tba|tbd)')"
-_CITY_OK = "length(trim(city)) between 2 and 40 and not regexp_matches(city, '[!?;:_/@#]') and length(regexp_replace(city, '[^0-9]', '', 'g')) <= 1 and len(string_split(trim(city), ' ')) <= 5 and regexp_matches(city, '[A-Za-z]{{2}}')"
-
-
 @query("R-15", "F-9", "F-10", "F-11", sql=f"""with c as (select code as k, code from ref_states union select lower(name), min(code) from ref_states group by 1), u as (select k, min(code) as code from c group by k)
- select s.show_id, case when {_VENUE_OK} then venue end as venue, case when {_CITY_OK} then city end as city, coalesce(a.code, b.code) as state, a.code is null and b.code is not null as retried
+ select s.show_id, case when {VENUE_OK} then venue end as venue, case when {CITY_OK} then city end as city, coalesce(a.code, b.code) as state, a.code is null and b.code is not null as retried
  from {{SHOWS}} s left join u a on a.k = case when length(trim(state, ' ')) = 2 then upper(trim(state, ' ')) else lower(trim(state, ' ')) end left join u b on b.k = nullif(regexp_extract(city, ',\\s*([A-Z]{{2}})$', 1), '')""".replace("{{2}}", "{2}"))
 def sane_places(spark: SparkSession, d: str) -> DataFrame:
     """Venue, city and state blanked where they can be none; a state that is none is looked for behind the city."""

@@ -44,9 +44,16 @@ def junk_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "song_titles").filter("title is not null").select("rid", predicates.junk_title(F.col("title")).alias("junk"))
 
 
-@query("F-8", "F-9", "F-10", sql="""select show_id, (length(artist) between 2 and 60 and length(regexp_replace(artist, '[^A-Za-z]', '', 'g')) >= 2 and not regexp_matches(artist, '[<>{}]') and not regexp_matches(artist, '(19|20)[0-9][0-9]-[0-9][0-9]')) as artist_ok,
- (length(trim(venue)) between 2 and 90 and not regexp_matches(venue, '^[0-9 ./-]+$') and not regexp_matches(lower(venue), '^(sbd|aud|fm|mtx|unknown|tba|tbd)')) as venue_ok,
- (length(trim(city)) between 2 and 40 and not regexp_matches(city, '[!?;:_/@#]') and length(regexp_replace(city, '[^0-9]', '', 'g')) <= 1 and len(string_split(trim(city), ' ')) <= 5 and regexp_matches(city, '[A-Za-z]{2}')) as city_ok from {SHOWS}""")
+_WORDS = "list_filter(string_split_regex(trim({0}, ' '), '\\s+'), lambda w: w <> '')"
+_TOLD = "len(list_filter(" + _WORDS + ", lambda w: regexp_matches(w, '^[a-z]{{3,}}[^A-Za-z]*$') and regexp_replace(w, '[^a-z]', '', 'g') not in " + str(predicates.SMALL) + "))"
+ARTIST_OK = f"""(length(artist) between 2 and 60 and length(regexp_replace(artist, '[^A-Za-z]', '', 'g')) >= 2 and not regexp_matches(artist, '[<>{{}}@]') and not regexp_matches(artist, '^[;''"*#-]') and not regexp_matches(artist, '^[A-Za-z ]{{2,15}}:')
+ and not regexp_matches(lower(artist), '{predicates.CREDIT}') and not ((ends_with(artist, '.') and len({_WORDS.format("artist")}) > 1 and not regexp_matches(artist, '\\b[A-Z]\\.$')) or contains(artist, '...') or regexp_matches(artist, '[!?]$') or regexp_matches(artist, '([a-z][''"]|[a-z]{{3,}})\\. [A-Z]') or {_TOLD.format("artist")} > 2)
+ and not regexp_matches(artist, ', [A-Z]{{2}}$') and not regexp_matches(lower(artist), ', ({"|".join(predicates.STATES)})[.]?$') and not regexp_matches(artist, '{predicates.DATED}'))"""
+VENUE_OK = f"(length(trim(venue)) between 2 and 90 and not regexp_matches(venue, '^[0-9 ./-]+$') and not regexp_matches(lower(venue), '^(sbd|aud|fm|mtx|unknown|tba|tbd)') and not (len({_WORDS.format('venue')}) > 5 and {_TOLD.format('venue')} > 2))"
+CITY_OK = f"(length(trim(city)) between 2 and 40 and not regexp_matches(lower(city), '{predicates.NO_CITY}') and not regexp_matches(city, '[!?;:_/@#]') and length(regexp_replace(city, '[^0-9]', '', 'g')) <= 1 and len(string_split(trim(city), ' ')) <= 5 and regexp_matches(city, '[A-Za-z]{{2}}'))"
+
+
+@query("F-8", "F-9", "F-10", sql=f"select show_id, {ARTIST_OK} as artist_ok, {VENUE_OK} as venue_ok, {CITY_OK} as city_ok from {{SHOWS}}")
 def plausible_fields(spark: SparkSession, d: str) -> DataFrame:
     """Whether artist, venue and city look like what they should be."""
     s = show_fields(spark, d)

@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import changes, matching, merging, places, sequences
+from tapeloom.operators import changes, matching, merging, places, predicates, sequences
 from tapeloom.operators.alignment import align
 from tapeloom.plans import inputs, scalars
 from tapeloom.plans.base import release_fields
@@ -199,6 +199,46 @@ def test_places(spark):
     assert {r["id"]: (r["venue"], r["city"], r["state"]) for r in places.tidy(t).collect()} == {1: ("Orvan Hall", "Kesten", "AA"), 2: ("Orvan Hall", "Kesten", None), 3: ("Orvan", "Kesten", "ST"), 4: (None, None, None)}
 
 
+# venue, city, state as typed, and as tidied
+TIDIED = [
+    ("House Of Orvan - Kesten", "Kesten", "IL", "House Of Orvan", "Kesten", "IL"),
+    ("Orvan County Coliseum, Kesten, Wisconsin", "Kesten", "WI", "Orvan County Coliseum", "Kesten", "WI"),
+    ("Orvan - Delmar Hall, Kesten", "Kesten", "WI", "Orvan - Delmar Hall", "Kesten", "WI"),
+    ("75-06-06", "San Kesten", "CA", None, "San Kesten", "CA"),
+    ("06/14/08 (Sat)  Orvan Center For The Arts", "Bay Kesten", "NY", "Orvan Center For The Arts", "Bay Kesten", "NY"),
+    ("175488.Sam Orvan's Home Studio", "Kesten", "CA", "Sam Orvan's Home Studio", "Kesten", "CA"),
+    ("SBD", "Kesten", "CA", None, "Kesten", "CA"),
+    ("THE ORVAN THEATRE", "ST. KESTEN", "MO", "The Orvan Theatre", "St. Kesten", "MO"),
+    ("WXYZ 93.1 FM", "KESTEN", "IL", "WXYZ 93.1 FM", "Kesten", "IL"),
+    ("Orvan East, NYC", "New York", "NY", "Orvan East", "New York", "NY"),
+    ("Orvan Pub", "Kesten", "Kesten", "Orvan Pub", "Kesten", None),
+    ("Orvan Memorial Field", "Ann Kesten", "MI rm", "Orvan Memorial Field", "Ann Kesten", "MI"),
+    ("Music Hall Kesten City", "Kesten City", "MO", "Music Hall Kesten City", "Kesten City", "MO"),
+    ("The Orvan Matrix", "Kesten", "CA", "The Orvan Matrix", "Kesten", "CA"),
+    ("Kesten", "Kesten", "", "Kesten", "Kesten", None),
+    (None, "Kesten, ST", None, None, "Kesten", "ST"),
+    (" ", None, "?", None, None, None),
+]
+
+
+def test_tidied_places(spark):
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(TIDIED)], "id long, venue string, city string, state string")
+    got = {r["id"]: (r["venue"], r["city"], r["state"]) for r in places.tidy(df).collect()}
+    assert got == {i: r[3:] for i, r in enumerate(TIDIED)}
+
+
+NO_ACTS = """faults: none|Santa Kesten, California.|Banned tracks removed.|; generated on November 14, 2009, at 19:17:00|Shared by Orvan(a.k.a. Kesten), Friesland|reward for all the work involved in this project.
+'Orvan Man'. But hey, it's better than nothing!|Here's the club's tribute to Sam Orvan ...|Bean Kesten, Indiana|Gathering Of Orvans - Bridgeport, CT|The Kesten Pop Festival was held June 16|April, 26th, 1977, Kesten, Georgia, The Omni
+Sam Orvan1986-04-15.nak300.Kesten,CT info|x|12|<b>Orvan</b>"""
+ACTS = "O.R.V.|orv.|Orvan, Kesten, Nash & Young|Doc Orvan, Jack Kesten & T. Michael Colm|Earth, Wind & Orvan|Dr. Orvan|The 1975|Enjoy|Sam Orvan/ Dick Kesten Band"
+
+
+def test_plausible_acts(spark):
+    rows = [(t, False) for t in NO_ACTS.replace("\n", "|").split("|")] + [(t, True) for t in ACTS.split("|")]
+    got = spark.createDataFrame(rows, "t string, want boolean").select("t", "want", predicates.plausible_artist(F.col("t")).alias("ok")).collect()
+    assert [r["t"] for r in got if r["ok"] != r["want"]] == []
+
+
 def test_changes(spark):
     base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, v string, keep string")
     new = spark.createDataFrame([(2, None, "no"), (3, "c", "no")], base.schema)
