@@ -25,10 +25,26 @@ def compare_and_set(rows: DataFrame, edits: DataFrame, key: str, rev: str, colum
     return j.select(key, F.when(hit, F.col(rev) + 1).otherwise(F.col(rev)).alias(rev), *[F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in columns], (F.col("__rev").isNotNull() & ~hit).alias("conflict"))
 
 
-def undo(ops: DataFrame, batch: str, seq: str) -> DataFrame:
-    """M-7: the operations that undo each batch: last first, source and destination exchanged."""
+def undo(ops: DataFrame, batch: str, seq: str, present: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
+    """M-7: the operations that undo each batch: last first, source and destination exchanged, other columns kept (a row's snapshot).
+
+    ``present`` has the paths that are there (path): an operation whose file is gone, or whose place is taken by a
+    file that the batch itself does not move away, is listed with its conflict. ``done`` has batches that were
+    undone before: they are not undone again.
+    """
+    if done is not None:
+        ops = ops.join(done.select(batch).distinct(), batch, "left_anti")
     step = F.row_number().over(W.partitionBy(batch).orderBy(F.desc(seq))).cast("long")
-    return ops.select(batch, seq, step.alias("step"), F.col("dst").alias("src"), F.col("src").alias("dst"))
+    kept = [c for c in ops.columns if c not in (batch, seq, "src", "dst")]
+    back = ops.select(batch, seq, step.alias("step"), F.col("dst").alias("src"), F.col("src").alias("dst"), *kept)
+    if present is None:
+        return back
+    there = present.select("path").distinct()
+    moved = ops.select(batch, F.col("dst").alias("path"), F.lit(True).alias("moved")).distinct()
+    x = back.join(there.select(F.col("path").alias("src"), F.lit(True).alias("has_src")), "src", "left").join(there.select(F.col("path").alias("dst"), F.lit(True).alias("has_dst")), "dst", "left")
+    x = x.join(moved.withColumnRenamed("path", "dst"), [batch, "dst"], "left")
+    conflict = F.when(F.col("has_src").isNull(), "gone").when(F.col("has_dst") & F.col("moved").isNull(), "taken")
+    return x.select(batch, seq, "step", "src", "dst", *kept, conflict.alias("conflict"))
 
 
 def migrate(df: DataFrame, steps: list[tuple[int, Callable[[DataFrame], DataFrame]]], version: int) -> DataFrame:

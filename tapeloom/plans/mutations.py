@@ -57,6 +57,19 @@ def undo_plan(spark: SparkSession, d: str) -> DataFrame:
     return changes.undo(ops, "batch", "seq")
 
 
+@query("M-7", sql="""with s as (select distinct id, status, current_path, filed_path, source_hint, strftime(created_at, '%Y-%m') as batch from shows where filed_path <> ''), o as (select batch, id as seq, current_path as src, filed_path as dst, source_hint as before from s where status <> 'rejected' and right(batch, 2) <> '01'),
+ p as (select filed_path as path from s where status = 'filed' union select current_path from (select distinct id, current_path, filed_path from shows) where id % 5 = 0 and current_path <> ''), m as (select distinct batch, dst from o)
+ select o.batch, o.seq, row_number() over (partition by o.batch order by o.seq desc) as step, o.dst as src, o.src as dst, o.before, case when a.path is null then 'gone' when b.path is not null and m.dst is null then 'taken' end as conflict
+ from o left join p a on a.path = o.dst left join p b on b.path = o.src left join m on m.batch = o.batch and m.dst = o.src""")
+def undo_with_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """The filings of each month undone: what is gone or whose place is taken is listed, months undone before (January) stay as they are."""
+    s = table(spark, d, "shows").select("id", "status", "current_path", "filed_path", F.col("source_hint").alias("before"), F.date_format("created_at", "yyyy-MM").alias("batch")).distinct()
+    filed = s.filter("filed_path <> ''")
+    ops = filed.filter("status <> 'rejected'").select("batch", F.col("id").alias("seq"), F.col("current_path").alias("src"), F.col("filed_path").alias("dst"), "before")
+    present = filed.filter("status = 'filed'").select(F.col("filed_path").alias("path")).unionByName(s.filter("id % 5 = 0 and current_path <> ''").select(F.col("current_path").alias("path")))
+    return changes.undo(ops, "batch", "seq", present, ops.filter("batch like '%-01'").select("batch"))
+
+
 @query("M-8", sql="select status, folder_name as src, min(id) as id from (select distinct id, status, folder_name from shows) group by status, folder_name")
 def dry_run_plan(spark: SparkSession, d: str) -> DataFrame:
     """Operations recorded and not done, each once per kind and source."""

@@ -84,20 +84,9 @@ def judged_once(spark: SparkSession, d: str) -> DataFrame:
 def upsert_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events upserted batch by batch into a keyed table: the last value of every user, each snapshot complete."""
     home = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    base = "user_id long, event_id long, value double"
-    spark.createDataFrame([], base).write.parquet(f"{home}/0")
-    at = {"version": "0"}
-
-    def apply(batch: DataFrame, number: int) -> None:
-        # A batch given again reads the same snapshot before it and writes the same one.
-        old = batch.sparkSession.read.schema(base).parquet(f"{home}/b{number - 1}" if number else f"{home}/0")
-        new = old.unionByName(batch.select("user_id", "event_id", "value")).groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
-        target = f"b{number}"
-        new.write.mode("overwrite").parquet(f"{home}/{target}")
-        at["version"] = target
-
-    loops.drain(_events(spark, d), each=apply)
-    return spark.read.schema(base).parquet(f"{home}/{at['version']}")
+    merge = lambda rows: rows.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
+    loops.drain(_events(spark, d).select("user_id", "event_id", "value"), each=loops.keyed_table(home, "user_id", "user_id long, event_id long, value double", merge))
+    return loops.read_keyed(spark, home, "user_id long, event_id long, value double")
 
 
 @query("T-12", "W-13", sql="with e as (select user_id, least(3, count(*) over (partition by user_id order by ts range between interval 6 day preceding and current row)) as recent from events where event_type = 'error') select user_id, recent, recent >= 3 as locked from e")

@@ -1,70 +1,107 @@
-"""A paged catalogue as a Spark data source, in batches and as a stream.
+"""A catalogue read request by request as a Spark data source, in batches and as a stream.
 
-``spark.read.format("paged_index").option("path", …)`` reads what a search service would give page by page:
-documents of one artist added since a day, the newest first. Every page is a partition, so pages are fetched
-in parallel by the executors; the day bound is part of the request, not a filter afterwards. The service here
-is a folder of Parquet files; a real one replaces :func:`fetch`.
+``spark.read.format("paged_index").option("path", …)`` reads what a search service would give: documents of one
+artist added since a day. The service here is a folder of Parquet files, and a request is one row group of one of
+them; a real one replaces :func:`requests` and :func:`fetch`. Only the files' footers are read to plan the requests,
+a group whose newest day lies before the bound is not requested, and every group is read once, by the executor whose
+task it is, a page of documents at a time. Nothing is sorted and nothing but the list of groups is held by the driver.
 
-As a stream, an offset is the number of documents up to which the catalogue was read, in the order they were
-added. It advances only over what was read in full, so nothing is skipped however much is new (the reference's
-mark could pass over unread documents). The day bound is inclusive; replays are dropped by key downstream.
+As a stream, an offset is the number of requests that were read in full, in the order in which the files came.
+Nothing is skipped however much is new (the reference's mark could pass over unread documents); a file that comes
+later is read later. The day bound is inclusive; replays are dropped by key downstream.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "id long, indexer string, release_id string, artist string, added string"
+_ADDED = "data.added"
 
 
-def fetch(path: str, artist: str | None, since: str, first: int, rows: int, newest_first: bool = True) -> tuple[list[tuple], int]:
-    """One request: (documents from ``first`` on, ``rows`` at most; how many there are)."""
-    import pyarrow.compute as pc
-    import pyarrow.dataset as ds
+class Request(InputPartition):
+    """One row group of one file."""
 
-    keep = pc.field("added") >= since
-    if artist:
-        keep &= pc.field("artist") == artist
-    t = ds.dataset(path).scanner(columns={"id": pc.field("id"), "indexer": pc.field("indexer"), "release_id": pc.field("release_id"), "artist": pc.field("data", "artist"), "added": pc.field("data", "added")}).to_table().filter(keep)
-    t = t.sort_by([("added", "descending" if newest_first else "ascending"), ("id", "ascending")])
-    return [tuple(r.values()) for r in t.slice(first, rows).to_pylist()], t.num_rows
+    def __init__(self, path: str, group: int):
+        self.path, self.group = path, group
 
 
-class Page(InputPartition):
-    """One page of a search."""
+def requests(path: str, since: str = "") -> list[Request]:
+    """All requests that may have documents since a day, by the time their files came; from the files' footers alone."""
+    import pyarrow.parquet as pq
 
-    def __init__(self, first: int):
-        self.first = first
+    files = [os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet")] if os.path.isdir(path) else [path]
+    out = []
+    for file in sorted(files, key=lambda f: (os.path.getmtime(f), f)):
+        footer = pq.read_metadata(file)
+        for group in range(footer.num_row_groups):
+            columns = (footer.row_group(group).column(k) for k in range(footer.num_columns))
+            stats = next((c.statistics for c in columns if c.path_in_schema == _ADDED), None)
+            if not since or stats is None or not stats.has_min_max or stats.max >= since:
+                out.append(Request(file, group))
+    return out
 
 
-class PagedReader(DataSourceReader):
+def fetch(request: Request, artist: str | None, since: str, rows: int) -> Iterator:
+    """The documents of one request, as record batches of ``rows`` at most. Documents without a day are none."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    want = ["id", "indexer", "release_id", "data.artist", _ADDED]
+    for batch in pq.ParquetFile(request.path).iter_batches(rows, row_groups=[request.group], columns=want):
+        data = batch.column("data")
+        names, added = pc.struct_field(data, "artist"), pc.struct_field(data, "added")
+        keep = pc.fill_null(pc.greater_equal(added, since), False)
+        if artist:
+            keep = pc.and_(keep, pc.fill_null(pc.equal(names, artist), False))
+        page = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("indexer"), batch.column("release_id"), names, added], names=["id", "indexer", "release_id", "artist", "added"])
+        yield page.filter(keep)
+
+
+class _Options:
     def __init__(self, options: dict):
         self.path, self.artist, self.since = options["path"], options.get("artist"), options.get("since", "")
         self.rows = int(options.get("rows", 100))
 
-    def partitions(self):
-        _, total = fetch(self.path, self.artist, self.since, 0, 0)
-        return [Page(k) for k in range(0, max(total, 1), self.rows)]
 
-    def read(self, partition: Page):
-        yield from fetch(self.path, self.artist, self.since, partition.first, self.rows)[0]
+class PagedReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = _Options(options)
+
+    def partitions(self) -> list[Request]:
+        return requests(self.options.path, self.options.since) or [Request("", -1)]
+
+    def read(self, partition: Request) -> Iterator:
+        o = self.options
+        if partition.path:
+            yield from fetch(partition, o.artist, o.since, o.rows)
 
 
 class PagedStream(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
-        self.options = options
+        self.options = _Options(options)
+
+    def _between(self, start: int, end: int) -> Iterator[tuple]:
+        # Spark keeps and copies what a request gave, so it must be whole: one row group.
+        o, out = self.options, []
+        for request in requests(o.path)[start:end]:
+            for page in fetch(request, o.artist, o.since, o.rows):
+                out += zip(*(page.column(k).to_pylist() for k in range(page.num_columns)))
+        return iter(out)
 
     def initialOffset(self) -> dict:
         return {"read": 0}
 
     def read(self, start: dict):
-        o = self.options
-        rows, _ = fetch(o["path"], o.get("artist"), o.get("since", ""), start["read"], int(o.get("rows", 100)), newest_first=False)
-        return iter(rows), {"read": start["read"] + len(rows)}
+        end = min(start["read"] + 1, len(requests(self.options.path)))
+        return self._between(start["read"], end), {"read": max(end, start["read"])}
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        o = self.options
-        return iter(fetch(o["path"], o.get("artist"), o.get("since", ""), start["read"], end["read"] - start["read"], newest_first=False)[0])
+        return self._between(start["read"], end["read"])
 
 
 class PagedIndex(DataSource):

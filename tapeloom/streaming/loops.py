@@ -40,6 +40,45 @@ def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, in
     return spark.read.schema(stream.schema).parquet(f"{home}/out")
 
 
+def keyed_table(home: str, key: str, schema: str, merge: Callable[[DataFrame], DataFrame], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """M-4, SNK-1: a function for :func:`drain` that upserts every batch into a table kept in ``home``, by buckets of the key.
+
+    A batch rewrites the buckets that its keys fall in, and no others: each gets a new folder for the batch, and the
+    batch's small list of folders, written last, is the next snapshot. ``merge`` reduces old and new rows to one for
+    each key and must not mind rows given twice, so a batch that is given again writes the same snapshot again.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in bucketed.select("bucket").distinct().collect()]  # at most ``buckets``
+        before = _snapshot(spark, home, number - 1)
+        old = [before[b] for b in touched if b in before]
+        rows = batch.unionByName(spark.read.schema(schema).parquet(*old)) if old else batch
+        merged = merge(rows).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{home}/data-{number}")
+        after = before | {b: f"{home}/data-{number}/bucket={b}" for b in touched}
+        spark.createDataFrame(list(after.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").parquet(f"{home}/snapshot-{number}")
+
+    return apply
+
+
+def _snapshot(spark: SparkSession, home: str, number: int) -> dict[int, str]:
+    if number < 0:
+        return {}
+    return {r["bucket"]: r["path"] for r in spark.read.schema("bucket int, path string").parquet(f"{home}/snapshot-{number}").collect()}
+
+
+def read_keyed(spark: SparkSession, home: str, schema: str) -> DataFrame:
+    """The newest snapshot of a table kept by :func:`keyed_table`; empty if no batch came."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(home)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    numbers = [int(n.rpartition("-")[2]) for n in names if n.startswith("snapshot-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{home}/{n}/_SUCCESS"))]
+    paths = list(_snapshot(spark, home, max(numbers, default=-1)).values())
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def settled(events: DataFrame, key: str, time: str, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """T-2: a key's sessions, each closed once nothing came for ``gap``: start, end, n.
 
@@ -85,9 +124,13 @@ def locked_out(failures: DataFrame, key: str, time: str, most: int = 5, seconds:
     return src.groupBy(key).applyInPandasWithState(update, f"key {kind}, t double, recent long, locked_until double", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def first_sight(releases: DataFrame, keys: list[str]) -> DataFrame:
-    """T-4, T-6: every key once, whatever is replayed. The state is the ledger of keys and is kept for good."""
-    return releases.dropDuplicates(keys)
+def first_sight(releases: DataFrame, keys: list[str], time: str | None = None, within: str = "30 days") -> DataFrame:
+    """T-4, T-6: every key once, whatever is replayed.
+
+    Without ``time`` the state is the ledger of all keys and is kept for good; with it, a key is forgotten once the
+    watermark is ``within`` past its sighting, which is enough where replays come no later.
+    """
+    return releases.withWatermark(time, within).dropDuplicatesWithinWatermark(keys) if time else releases.dropDuplicates(keys)
 
 
 def marks(rows: DataFrame, key: str, added: str) -> DataFrame:

@@ -25,6 +25,33 @@ def test_judged_once_and_upserts(spark, small):
     assert rows(streams.upsert_stream(spark, small)) == rows(want)
 
 
+def test_keyed_table_rewrites_touched_buckets_only(spark, tmp_path):
+    schema, home = "k long, v long", f"file://{tmp_path}/t"
+    apply = loops.keyed_table(home, "k", schema, lambda df: df.groupBy("k").agg(F.max("v").alias("v")), buckets=4)
+    assert loops.read_keyed(spark, home, schema).count() == 0
+    first = spark.createDataFrame([(i, 1) for i in range(20)], schema)
+    apply(first, 0)
+    apply(spark.createDataFrame([(3, 2)], schema), 1)
+    apply(spark.createDataFrame([(3, 2)], schema), 1)  # given again
+    assert rows(loops.read_keyed(spark, home, schema)) == {(i, 2 if i == 3 else 1) for i in range(20)}
+    assert sum("data-1" in r["path"] for r in spark.read.parquet(f"{home}/snapshot-1").collect()) == 1
+
+
+def test_first_sight_within_a_time(spark, small):
+    s = loops.file_stream(spark, small, "releases", spark.read.parquet(f"{small}/releases.parquet").schema).select("indexer", "release_id", F.col("first_seen").cast("timestamp").alias("t"))
+    got = loops.drain(loops.first_sight(s, ["indexer", "release_id"], "t", "3650 days"))
+    assert got.count() == spark.read.parquet(f"{small}/releases.parquet").select("indexer", "release_id").distinct().count()
+
+
+def test_requests_and_pages(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x", f"r{i}", ("a" if i % 2 else "b", f"20{i:02d}-01-01" if i else None)) for i in range(40)], "id long, indexer string, release_id string, data struct<artist:string,added:string>")
+    df.orderBy("id").coalesce(1).write.option("parquet.block.row.count.limit", 8).option("parquet.block.size", 1).parquet(f"{tmp_path}/r")
+    spark.dataSource.register(paged.PagedIndex)
+    read = lambda **o: {r["id"] for r in spark.read.format("paged_index").options(path=f"{tmp_path}/r", **o).load().collect()}
+    assert read() == set(range(1, 40)) and read(since="2035-01-01", rows=2) == {35, 36, 37, 38, 39} and read(artist="a", since="2036-01-01") == {37, 39} and read(since="2100") == set()
+    assert len(paged.requests(f"{tmp_path}/r", "2100")) == 0
+
+
 def test_failures_lock(spark, small):
     got = streams.failure_lock_stream(spark, small)
     assert got.count() == spark.read.parquet(f"{small}/events.parquet").filter("event_type = 'error'").count()
