@@ -71,11 +71,12 @@ def resolve(df: DataFrame, places: DataFrame, states: DataFrame, countries: Data
     any_hit = hits.groupBy("ck").agg(F.collect_set("admin").alias("admins"))  # as many as places share a name
     lone = merging.dominant(hits, ["ck"], "admin", "pop", ratio).select("ck", F.col("admin").alias("dominant"))
     inside = merging.dominant(hits, ["ck", "cc"], "admin", "pop", ratio).select("ck", "cc", F.col("admin").alias("in_country"))
-    names = states.select(fold(F.col("name")).alias("sk"), F.col("code").alias("named"))
+    names = states.groupBy(fold(F.col("name")).alias("sk")).agg(F.min("code").alias("named"))
     lands = countries.select("code", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("alias")).select(fold(F.col("alias")).alias("sk"), F.col("code").alias("land")).distinct()
     lands = lands.groupBy("sk").agg(F.min("land").alias("land"))
     codes = states.select(F.col("code").alias("up"), F.lit(True).alias("is_code"))
-    voted = votes.select(fold(F.col("city_key")).alias("ck"), F.col("state").alias("vote"))
+    # Several spellings of a city may have one key: their votes must agree.
+    voted = votes.groupBy(fold(F.col("city_key")).alias("ck")).agg(F.min("state").alias("vote"), F.max("state").alias("other")).filter("vote = other").drop("other")
     own = df.columns
     x = df.withColumn("ck", city_key(F.coalesce("city", F.lit("")))).withColumn("sk", fold(F.coalesce("state", F.lit("")))).withColumn("up", F.upper(F.trim(F.coalesce("state", F.lit("")))))
     x = x.join(any_hit, "ck", "left").join(lone, "ck", "left").join(names, "sk", "left").join(lands, "sk", "left").join(codes, "up", "left").join(voted, "ck", "left")

@@ -48,6 +48,12 @@ def junk_title(title: Column) -> Column:
     return title.rlike(r"(?i)^(set|disc|track|source|lineage)\b") | F.endswith(title, F.lit(":")) | title.rlike("(?i)[.](flac|shn|mp3|wav)") | (text.digit_share(title) > 0.5)
 
 
+def junk_on_recheck(title: Column) -> Column:
+    """F-7: junk, and also nothing, a placeholder, a leading time or a disc's and track's number."""
+    t = F.coalesce(title, F.lit(""))
+    return junk_title(t) | (F.trim(t) == "") | F.lower(F.trim(t)).rlike("^(track|untitled|unknown|title|song)[ _-]?[0-9]*$") | t.rlike("^[0-9]{1,2}:[0-9]{2}") | F.lower(t).rlike("^d[0-9]+t[0-9]+")
+
+
 def _words(c: Column) -> Column:
     return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
 
@@ -100,7 +106,7 @@ def holds_all(hay: Column, search: str) -> Column:
 
 
 def suspect_flags() -> Column:
-    """F-16: over the columns state, city, folder_name, venue, date."""
+    """F-16: over the columns state, city, folder_name, venue, date, artist."""
     some = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     return F.array_compact(
         F.array(
@@ -109,5 +115,7 @@ def suspect_flags() -> Column:
             F.when(~F.col("folder_name").rlike(r"\["), "no bracket"),
             F.when(F.lower("venue").rlike("(unknown|private|house|radio)"), "suspect venue"),
             F.when(F.coalesce("date", F.lit("")) == "", "no date"),
+            F.when(F.lower("venue") == F.lower("city"), "repeated part"),
+            F.when(~plausible_artist(F.col("artist")), "odd artist"),
         )
     )

@@ -133,7 +133,22 @@ def level_rule(spark: SparkSession, d: str) -> DataFrame:
     return g.select("user_id", kind.alias("kind"))
 
 
-@query("R-13", "J-16", "A-10", "A-11")
+_PLAIN = "strip_accents(lower({}))"
+for _from, _to in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("ł", "l"), ("đ", "d"), ("ð", "d"), ("þ", "th")):
+    _PLAIN = f"replace({_PLAIN}, '{_from}', '{_to}')"
+_FOLD = "regexp_replace(regexp_replace(" + _PLAIN + ", '^\\s*(saint|st)[\\s.-]+', 'st'), '[^a-z0-9]', '', 'g')"
+_CITY = _FOLD.replace("{}", "regexp_replace({}, '\\s*\\([^)]*\\)\\s*', ' ', 'g')")
+_TOP = "(select {k}, admin, pop from (select *, row_number() over (partition by {k} order by pop desc, admin) as r, lead(pop) over (partition by {k} order by pop desc, admin) as next from (select {k}, admin, max(pop) as pop from h group by all)) where r = 1 and (next is null or pop >= 15 * greatest(next, 1)))"
+
+
+@query("R-13", "J-16", "A-10", "A-11", sql=f"""with h as (select {_CITY.format('name')} as ck, admin, cc, pop from places), any_hit as (select ck, list(distinct admin) as admins from h group by 1), lone as (select * from {_TOP.format(k='ck')}), ins as (select * from {_TOP.format(k='ck, cc')}),
+ n as (select {_FOLD.format('name')} as sk, min(code) as named from ref_states group by 1), l as (select {_FOLD.format('alias')} as sk, min(code) as land from (select code, unnest(list_concat([name], coalesce(aliases, []))) as alias from countries) where alias is not null group by 1),
+ vs as (select city, state, count(*) as n from venues where city <> '' and state <> '' group by all), vr as (select *, sum(n) over (partition by city) as total, row_number() over (partition by city order by n desc, state) as r from vs),
+ v as (select {_FOLD.format('city')} as ck, min(state) as vote, max(state) as other from vr where r = 1 and n >= 2 and n >= 0.8 * total group by 1),
+ x as (select show_id, city, state, {_CITY.format("coalesce(city, '')")} as ck, {_FOLD.format("coalesce(state, '')")} as sk, upper(trim(coalesce(state, ''), ' ')) as up, coalesce(state, '') <> '' as known from {{SHOWS}}),
+ j as (select x.*, admins, lone.admin as dominant, named, land, c.code is not null as is_code, case when v.vote = v.other then v.vote end as vote, ins.admin as in_country from x left join any_hit using (ck) left join lone using (ck) left join n using (sk) left join l using (sk) left join ref_states c on c.code = x.up left join v using (ck) left join ins on ins.ck = x.ck and ins.cc = l.land),
+ k as (select *, case when is_code and (admins is null or list_contains(admins, up)) then 'code' when named is not null then 'name' when in_country is not null then 'country' when is_code then 'code' when not known and vote is not null then 'library' when not known and dominant is not null then 'dominant' end as how from j)
+ select show_id, city, state, case how when 'code' then up when 'name' then named when 'country' then in_country when 'library' then vote when 'dominant' then dominant end as region, how from k""")
 def resolved_places(spark: SparkSession, d: str) -> DataFrame:
     """The region of every show's place: by code, name, country, the library's vote, or the dominant city of that name."""
     votes = merging.majority(table(spark, d, "venues").filter("city <> '' and state <> ''").select(F.col("city").alias("city_key"), "state"), ["city_key"], "state")
@@ -141,10 +156,14 @@ def resolved_places(spark: SparkSession, d: str) -> DataFrame:
     return places.resolve(s, table(spark, d, "places"), table(spark, d, "ref_states"), table(spark, d, "countries"), votes.groupBy("city_key").agg(F.min("state").alias("state")))
 
 
-@query("R-14", "R-15")
+@query("R-14", sql=f"""with c as (select distinct {_CITY.format('name')} as k from places), r as (select distinct {_FOLD.format('name')} as k from ref_states),
+ s as (select show_id, cast(null as varchar) as venue, venue as city, city as state from {{SHOWS}} union all select show_id, venue, city, state from {{SHOWS}}),
+ x as (select *, {_CITY.format("coalesce(state, '')")} as sk, {_CITY.format("coalesce(city, '')")} as ck from s), y as (select *, sk in (select k from c) and ck not in (select k from c) and sk not in (select k from r) and coalesce(venue, '') = '' as moved from x)
+ select show_id, case when moved then city else venue end as venue, case when moved then state else city end as city, case when not moved then state end as state, moved from y""")
 def shifted_places(spark: SparkSession, d: str) -> DataFrame:
-    """Places of which the city was typed as the state."""
-    s = show_fields(spark, d).select("show_id", F.lit(None).cast("string").alias("venue"), F.col("venue").alias("city"), F.col("city").alias("state"))
+    """Every show's place twice: as it is, and with venue and city typed one field too low, which is put right."""
+    s = show_fields(spark, d).select("show_id", "venue", "city", "state")
+    s = s.select("show_id", F.lit(None).cast("string").alias("venue"), F.col("venue").alias("city"), F.col("city").alias("state")).unionByName(s)
     return places.shift(s, table(spark, d, "places"), table(spark, d, "ref_states"))
 
 

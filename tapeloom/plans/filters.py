@@ -38,7 +38,13 @@ def filler_titles(spark: SparkSession, d: str) -> DataFrame:
 _JUNK = "(regexp_matches(title, '(?i)^(set|disc|track|source|lineage)\\b') or ends_with(title, ':') or regexp_matches(title, '(?i)[.](flac|shn|mp3|wav)') or length(regexp_replace(title, '[^0-9]', '', 'g')) > 0.5 * greatest(length(title), 1))"
 
 
-@query("F-6", "F-7", "X-24", sql=f"select rid, {_JUNK} as junk from song_titles where title is not null")
+@query("F-7", sql=f"select rid, {_JUNK} or trim(title, ' ') = '' or regexp_matches(lower(trim(title, ' ')), '^(track|untitled|unknown|title|song)[ _-]?[0-9]*$') or regexp_matches(title, '^[0-9]{{1,2}}:[0-9]{{2}}') or regexp_matches(lower(title), '^d[0-9]+t[0-9]+') as junk from (select rid, coalesce(title, '') as title from song_titles)")
+def junk_on_recheck(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that a re-check takes for none."""
+    return table(spark, d, "song_titles").select("rid", predicates.junk_on_recheck(F.col("title")).alias("junk"))
+
+
+@query("F-6", "X-24", sql=f"select rid, {_JUNK} as junk from song_titles where title is not null")
 def junk_titles(spark: SparkSession, d: str) -> DataFrame:
     """Titles that are labels, file names or numbers."""
     return table(spark, d, "song_titles").filter("title is not null").select("rid", predicates.junk_title(F.col("title")).alias("junk"))
@@ -80,8 +86,8 @@ def curated_agrees(spark: SparkSession, d: str) -> DataFrame:
     return show_fields(spark, d).filter("date is not null").select("show_id", (F.contains("folder_name", "date") & (F.trim(F.coalesce("city", F.lit(""))) != "")).alias("trusted"))
 
 
-_FLAGS = """list_filter([case when state is null or trim(state) = '' then 'no state' end, case when regexp_matches(city, ' - |, ') then 'dash city' end, case when not regexp_matches(folder_name, '[\\[]') then 'no bracket' end,
- case when regexp_matches(lower(venue), '(unknown|private|house|radio)') then 'suspect venue' end, case when date is null or date = '' then 'no date' end], lambda x: x is not null)"""
+_FLAGS = f"""list_filter([case when state is null or trim(state) = '' then 'no state' end, case when regexp_matches(city, ' - |, ') then 'dash city' end, case when not regexp_matches(folder_name, '[\\[]') then 'no bracket' end,
+ case when regexp_matches(lower(venue), '(unknown|private|house|radio)') then 'suspect venue' end, case when date is null or date = '' then 'no date' end, case when lower(venue) = lower(city) then 'repeated part' end, case when not {ARTIST_OK} then 'odd artist' end], lambda x: x is not null)"""
 
 
 @query("F-16", "R-28", sql=f"select show_id, array_to_string({_FLAGS}, ';') as flags from {{SHOWS}}")
@@ -129,11 +135,13 @@ def settled_rows(spark: SparkSession, d: str) -> DataFrame:
     return s.filter("status = 'pending'").crossJoin(F.broadcast(newest)).filter(F.expr("created_at <= newest - interval 5 minutes")).select("id").distinct()  # one row
 
 
-@query("F-23", sql="""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents) select doc_id, count(*) as lines from l where regexp_matches(line, '(19|20)[0-9][0-9]') and not regexp_matches(lower(line), '(transfer|upload|checksum|overspielt|copied)') group by doc_id""")
+@query("F-23", sql="""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents) select doc_id, count(*) as lines from l where regexp_matches(line, '(19|20)[0-9][0-9]') and not regexp_matches(lower(line), '(transfer|upload|checksum|overspielt|copied)')
+  and cast(regexp_extract(line, '((19|20)[0-9][0-9])', 1) as int) <= (select max(year(written_at)) from documents) group by doc_id""")
 def show_date_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with a year that do not speak of transfers."""
+    """Lines with a year, no later than the newest text's, that do not speak of transfers."""
+    newest = table(spark, d, "documents").agg(F.max(F.year("written_at")).alias("newest"))
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.filter(F.col("line").rlike("(19|20)[0-9][0-9]") & ~F.lower("line").rlike("(transfer|upload|checksum|overspielt|copied)")).groupBy("doc_id").agg(F.count("*").alias("lines"))
+    return lines.filter(F.col("line").rlike("(19|20)[0-9][0-9]") & ~F.lower("line").rlike("(transfer|upload|checksum|overspielt|copied)")).crossJoin(F.broadcast(newest)).filter(F.regexp_extract("line", "((19|20)[0-9][0-9])", 1).cast("int") <= F.col("newest")).groupBy("doc_id").agg(F.count("*").alias("lines"))
 
 
 QUERIES, ORACLE, COVERS = family.queries, family.oracle, family.covers

@@ -42,7 +42,16 @@ def seen_semi(spark: SparkSession, d: str) -> DataFrame:
     return release_fields(spark, d).join(table(spark, d, "artists").select(F.col("name").alias("artist")), "artist", "left_semi").select("id")
 
 
-@query("J-5", "F-22", sql="select id from {RELEASES} r where not exists (select 1 from artists a where a.name = r.artist) and r.artist is not null")
+@query("F-22", sql="select id from {RELEASES} r where status = 'grabbed' and first_seen <= (select max(first_seen) from releases) - interval 30 day and not exists (select 1 from {SHOWS} s where s.folder_name = r.release_id)")
+def import_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Releases that were fetched, are old enough and in no ledger of folders."""
+    r = release_fields(spark, d)
+    newest = r.agg(F.max("first_seen").alias("newest"))
+    old = r.filter("status = 'grabbed'").crossJoin(F.broadcast(newest)).filter(F.expr("first_seen <= newest - interval 30 days"))  # one row
+    return old.join(show_fields(spark, d).select(F.col("folder_name").alias("release_id")), "release_id", "left_anti").select("id")
+
+
+@query("J-5", sql="select id from {RELEASES} r where not exists (select 1 from artists a where a.name = r.artist) and r.artist is not null")
 def unseen_anti(spark: SparkSession, d: str) -> DataFrame:
     """Releases of an artist not known by that name."""
     return release_fields(spark, d).filter("artist is not null").join(table(spark, d, "artists").select(F.col("name").alias("artist")), "artist", "left_anti").select("id")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tapeloom.functions import fuzzy, parse, text
 from tapeloom.operators import matching, places
 from tapeloom.plans.base import release_fields, show_fields
-from tapeloom.plans.registry import Family
+from tapeloom.plans.registry import TOLD, Family
 from tapeloom.tables import table
 
 family = Family()
@@ -126,11 +126,18 @@ def labels_and_tapers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", parse.official_label(t).alias("official"), parse.recorder(t).alias("recorder"))
 
 
-@query("X-27", "X-42", "SRC-7")
+_HTML = "(?i)</?(?:html|body|p|br|div|span|table|tr|td|li|ul|b|i|a|h[1-6])\\b[^>]*>"
+_STRIPPED = "regexp_replace(regexp_replace(text, '(?i)<br\\s*/?>|</(?:p|div|li|tr|h[1-6]|table|ul|ol)>', chr(10), 'g'), '<[^<>]{1,400}>', '', 'g')"
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _STRIPPED = f"replace({_STRIPPED}, '{_name}', '{_char}')"
+
+
+@query("X-27", "X-42", "SRC-7", sql=f"""with t as (select doc_id, case when regexp_matches(text, '{_HTML}') then {_STRIPPED} else text end as t from documents)
+ select doc_id, coalesce({TOLD.format("t")}, '') as kind, coalesce(len(string_split(t, chr(10))), -1) as lines from t""")
 def text_sources(spark: SparkSession, d: str) -> DataFrame:
     """A source's class from the evidence in whole texts, their HTML read as lines."""
     t = table(spark, d, "documents").select("doc_id", text.html_lines(F.col("text")).alias("t"))
-    return t.select("doc_id", parse.infer_source(F.col("t")).alias("kind"), F.size(F.split("t", "\n", -1)).alias("lines"))
+    return t.select("doc_id", parse.infer_source(F.col("t")).alias("kind"), F.coalesce(F.size(F.split("t", "\n", -1)), F.lit(-1)).alias("lines"))
 
 
 @query("X-31", "X-32", "X-35", "X-38")
