@@ -141,9 +141,9 @@ def _signs(v: Column) -> Column:
 
 @dataclass
 class _Node:
-    """A place whose fields are looked through: rows with ``doc``, the fields that lead to the place, and its merged schema."""
+    """A kind of document whose fields are looked through: the lists found in its level so far, the fields that lead from
+    the level's items to it, its merged schema, whether it may be a list itself, and the levels known to be inside."""
 
-    rows: DataFrame
     level: list
     path: tuple[str, ...]
     schema: str
@@ -152,15 +152,15 @@ class _Node:
 
     def candidates(self) -> list[tuple[tuple[str, ...], Column]]:
         """The fields that may hold a list, by path, with what they hold where it may be one."""
-        out = [((), F.col("doc"))] if self.lists else []
+        doc = F.col("doc")
+        out = [((), doc)] if self.lists else []
         for name, kind in schema_fields(self.schema):
-            path = (*self.path, name)
-            v = inside(F.col("doc"), path)
+            v = inside(doc, (name,))
             if kind.startswith(("ARRAY", "OBJECT", "VARIANT")):
-                out.append((path, v))
+                out.append(((*self.path, name), v))
             elif kind == "STRING":
                 # Mere text is dropped here, before anything is made of it.
-                out.append((path, F.when(F.try_variant_get(v, "$", "string").rlike(r"^\s*[\[{]"), v)))
+                out.append(((*self.path, name), F.when(F.try_variant_get(v, "$", "string").rlike(r"^\s*[\[{]"), v)))
         return out
 
 
@@ -168,38 +168,45 @@ def infer_levels(df: DataFrame, doc: str = "doc", known: tuple[Level, ...] = ())
     """The tree of lists in the documents: an aggregate for the root, and one for each depth.
 
     ``known`` names fields that mean a list even where these documents only ever hold one bare object; one that
-    no document has is no level all the same. What comes to the driver is one row for each field that may hold a list, never one for a document.
+    no document has is no level all the same. All kinds of documents of one depth are rows of one frame, so every
+    depth reads and parses the documents once. What comes to the driver is one row for each field that may hold a
+    list, never one for a document.
     """
-    base = df.select(F.lit("").alias("sk"), F.col(doc).alias("doc")).filter(F.col("doc").isNotNull())
+    rows = df.select(F.lit(0).alias("node"), F.col(doc).alias("doc")).filter(F.col("doc").isNotNull())
     kind = F.schema_of_variant(F.col("doc"))
     root: list = []
-    first = base.agg(F.schema_of_variant_agg(F.when(kind.startswith("OBJECT"), F.col("doc"))).alias("s"), F.bool_or(kind.startswith("ARRAY")).alias("lists")).first()
-    nodes = [_Node(base, root, (), first["s"] or "VOID", bool(first["lists"]), known)]
-    while nodes:
-        asked, signs = [], None
-        for node in nodes:
-            found = []
+    first = rows.agg(F.schema_of_variant_agg(F.when(kind.startswith("OBJECT"), F.col("doc"))).alias("s"), F.bool_or(kind.startswith("ARRAY")).alias("lists")).first()
+    nodes = [_Node(root, (), first["s"] or "VOID", bool(first["lists"]), known)]
+    while True:
+        asked, found = [], F
+        for k, node in enumerate(nodes):
+            values = []
             for path, v in node.candidates():
-                found.append(F.struct(F.lit(len(asked)).alias("n"), v.alias("v")))
+                values.append(F.struct(F.lit(len(asked)).alias("n"), v.alias("v")))
                 asked.append((node, path))
-            if found:
-                rows = node.rows.select(F.explode(F.filter(F.array(*found), lambda e: e["v"].isNotNull())).alias("e")).select("e.*")
-                rows = rows.filter(F.schema_of_variant("v").rlike("^(ARRAY|OBJECT|STRING$)")).select("n", F.explode(_signs(F.col("v"))).alias("e")).select("n", "e.*")
-                signs = rows if signs is None else signs.unionByName(rows)
-        if signs is None:
+            if values:
+                found = found.when(F.col("node") == k, F.filter(F.array(*values), lambda e: e["v"].isNotNull()))
+        if not asked:
             break
+        held = rows.select(F.explode(found).alias("e")).select("e.*").filter(F.schema_of_variant("v").rlike("^(ARRAY|OBJECT|STRING$)"))
+        signs = held.select("n", F.explode(_signs(F.col("v"))).alias("e")).select("n", "e.*")
         kind = F.schema_of_variant(F.col("item"))
         seen = signs.groupBy("n").agg(F.bool_or("is_list").alias("level"), F.schema_of_variant_agg(F.when(kind.startswith("OBJECT"), F.col("item"))).alias("s"), F.bool_or(F.col("is_list") & kind.startswith("ARRAY")).alias("lists"))
-        nodes = []
+        nodes, places = [], F
         for r in sorted(seen.collect(), key=lambda r: r["n"]):
             node, path = asked[r["n"]]
             told = next((level for level in node.known if level.path == path), None)
             if r["level"] or told:
                 below: list = []
                 node.level.append((path, below))
-                nodes.append(_Node(child_table(node.rows, path), below, (), r["s"] or "VOID", bool(r["lists"]), told.children if told else ()))
-            elif path:
-                nodes.append(_Node(node.rows, node.level, path, r["s"] or "VOID", False, node.known))
+                after = _Node(below, (), r["s"] or "VOID", bool(r["lists"]), told.children if told else ())
+            else:
+                after = _Node(node.level, path, r["s"] or "VOID", False, node.known)
+            places = places.when(F.col("n") == r["n"], len(nodes))
+            nodes.append(after)
+        if not nodes:
+            break
+        rows = signs.select(places.alias("node"), F.col("item").alias("doc"))
     tree = lambda levels: tuple(Level(path, tree(below)) for path, below in levels)
     return tree(root)
 
