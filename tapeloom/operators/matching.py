@@ -78,6 +78,23 @@ def best_fuzzy(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float)
     return good.groupBy(a).agg(F.max(F.struct("score", b)).alias("m")).select(a, F.col(f"m.{b}").alias(b), F.round("m.score", 6).alias("score"))
 
 
+def best_within(left: DataFrame, right: DataFrame, a_id: str, b_id: str, within: list[str], key: str, a: str, b: str, kin: float, other: float) -> DataFrame:
+    """J-10: for each left row the most similar right row with the same ``within``; of equals the least id. a_id, b_id, score.
+
+    A similarity of ``kin`` is enough where the ``key`` is the same too, ``other`` is asked else. Compared are the
+    distinct texts of one ``within`` (the spellings of the acts of one date, not their rows), and of them in Python only
+    pairs whose edit distance allows the similarity: letters outside the matching blocks are edits.
+    """
+    x, y = left.filter(F.col(a).isNotNull()), right.filter(F.col(b).isNotNull())
+    pairs = x.select(*within, key, a).distinct().join(y.select(*within, F.col(key).alias("__key"), b).distinct(), within)
+    least = F.when(F.col(key) == F.col("__key"), kin).otherwise(other)
+    some = pairs.filter(F.levenshtein(a, b) <= (1 - least) * (F.length(a) + F.length(b)) + 1e-6).withColumn("score", fuzzy.ratio(F.col(a), F.col(b))).filter(F.col("score") >= least)
+    ids = lambda df, row, *cols: df.select(*cols, F.col(row).alias(f"__{row}"))
+    every = some.join(ids(x, a_id, *within, key, a), [*within, key, a]).join(ids(y, b_id, *within, F.col(key).alias("__key"), b), [*within, "__key", b])
+    best = every.groupBy(F.col(f"__{a_id}").alias(a_id)).agg(F.max(F.struct("score", (-F.col(f"__{b_id}")).alias("minus"))).alias("m"))
+    return best.select(a_id, (-F.col("m.minus")).alias(b_id), F.round("m.score", 6).alias("score"))
+
+
 def near_duplicates(df: DataFrame, key: str, cutoff: float) -> DataFrame:
     """J-11: each key's closest other key; a pair is reported once, the smaller key first."""
     other = df.select(F.col(key).alias("other"))

@@ -121,12 +121,9 @@ def early_late_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("J-10")
 def fuzzy_within_date(spark: SparkSession, d: str) -> DataFrame:
     """The most similar folder for each release on its date: a similarity of 0.6 with the artist's key, else 0.85."""
-    r = release_fields(spark, d).select("id", "date", F.concat_ws(" ", "artist", "date").alias("a"), text.norm_key(F.col("artist")).alias("ak")).filter("date <> '' and ak <> ''")
-    s = show_fields(spark, d).select("show_id", "date", F.concat_ws(" ", "artist", "date").alias("b"), text.norm_key(F.col("artist")).alias("bk")).distinct()
-    pairs = r.join(s, "date").withColumn("score", fuzzy.ratio(F.lower("a"), F.lower("b")))
-    good = pairs.filter(((F.col("ak") == F.col("bk")) & (F.col("score") >= 0.6)) | (F.col("score") >= 0.85))
-    best = good.groupBy("id").agg(F.max(F.struct("score", (-F.col("show_id")).alias("minus"))).alias("m"))
-    return best.select("id", (-F.col("m.minus")).alias("show_id"), F.round("m.score", 6).alias("score"))
+    r = release_fields(spark, d).select("id", "date", F.lower(F.concat_ws(" ", "artist", "date")).alias("a"), text.norm_key(F.col("artist")).alias("k")).filter("date <> '' and k <> ''")
+    s = show_fields(spark, d).select("show_id", "date", F.lower(F.concat_ws(" ", "artist", "date")).alias("b"), text.norm_key(F.col("artist")).alias("k"))
+    return matching.best_within(r, s, "id", "show_id", ["date"], "k", "a", "b", 0.6, 0.85)
 
 
 @query("J-11")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import changes, matching, merging, places, predicates, sequences
 from tapeloom.operators.alignment import align
-from tapeloom.plans import inputs, scalars
-from tapeloom.plans.base import release_fields
+from tapeloom.plans import inputs, joins, scalars
+from tapeloom.plans.base import release_fields, show_fields
 from tapeloom.sources import sinks, texts
 
 
@@ -109,6 +109,19 @@ def test_fuzzy_cascade_by_brute_force(spark):
     assert {r["a"]: (r["b"], r["score"]) for r in matching.best_fuzzy(a, b, "a", "b", 0.85).collect()} == want and len(want) == 4
 
 
+def test_best_within_a_date_by_brute_force(spark, small):
+    letters = lambda t: re.sub("[^a-z0-9]", "", (t or "").lower())
+    said = lambda r: " ".join(x for x in (r["artist"], r["date"]) if x is not None).lower()
+    r = [x for x in release_fields(spark, small).select("id", "artist", "date").collect() if x["date"] and letters(x["artist"])]
+    s = [x for x in show_fields(spark, small).select("show_id", "artist", "date").collect()]
+    want = {}
+    for x in r:
+        found = [(SequenceMatcher(None, said(x), said(y)).ratio(), -y["show_id"], letters(x["artist"]) == letters(y["artist"])) for y in s if y["date"] == x["date"]]
+        if good := [(n, i) for n, i, kin in found if n >= 0.85 or kin and n >= 0.6]:
+            want[x["id"]] = (-max(good)[1], round(max(good)[0], 6))
+    assert want and {x["id"]: (x["show_id"], x["score"]) for x in joins.fuzzy_within_date(spark, small).collect()} == want
+
+
 @pytest.mark.parametrize("sizes, limit, taken", [([6, 5, 4], 10, [True, False, True]), ([11, 10], 10, [False, True]), ([5, 5], 0, [True, True]), ([None, 10], 10, [True, True])])
 def test_budget(spark, sizes, limit, taken):
     df = spark.createDataFrame([("k", i, s) for i, s in enumerate(sizes)], "k string, o long, s long")
