@@ -127,6 +127,26 @@ def only_best(scored: DataFrame, keys: list[str], score: str) -> DataFrame:
     return ranked.withColumn("__n", F.count("*").over(w)).filter("__n = 1").drop("__rank", "__n")
 
 
+def guarded_lookup(left: DataFrame, right: DataFrame, keys: list[str], venue: str, songs: str, a_id: str, b_id: str, alike: float = 0.72, least: int = 2) -> DataFrame:
+    """J-12, SRC-17: for each left row the one right row with the same keys (city and date) that its venue or its songs point to, or none.
+
+    Where venues are ``alike``, only such rows count; elsewhere ``least`` songs must be the same. The row with most
+    songs in common is taken, then the likest venue, and none if two are equal in both. a_id, b_id, shared, how.
+    """
+    some = [F.coalesce(F.col(k), F.lit("")) != "" for k in keys]
+    x = left.filter(some[0] & some[-1]).select(*keys, a_id, norm_key(F.coalesce(venue, F.lit(""))).alias("__v"), F.col(songs).alias("__s"))
+    y = right.filter(some[0] & some[-1]).select(*keys, b_id, norm_key(F.coalesce(venue, F.lit(""))).alias("__w"), F.col(songs).alias("__t"))
+    pairs = x.join(y, keys).filter(F.col(a_id) != F.col(b_id)).withColumn("shared", F.coalesce(F.size(F.array_intersect("__s", "__t")), F.lit(0)))
+    both = (F.col("__v") != "") & (F.col("__w") != "")
+    sim = F.coalesce(fuzzy.ratio(F.when(both, F.col("__v")), F.when(both, F.col("__w"))), F.lit(0.0))
+    scored = pairs.withColumn("sim", sim).withColumn("near", F.col("sim") >= alike)
+    by = W.partitionBy(a_id)
+    pool = scored.withColumn("pooled", F.max("near").over(by)).filter(F.when(F.col("pooled"), F.col("near")).otherwise(F.col("shared") >= least))
+    top = pool.withColumn("__r", F.rank().over(by.orderBy(F.desc("shared"), F.desc("sim")))).filter("__r = 1")
+    alone = top.withColumn("__n", F.count("*").over(by)).filter("__n = 1")
+    return alone.select(a_id, b_id, "shared", F.when(F.col("pooled"), "venue").otherwise("songs").alias("how"))
+
+
 def pair_one_of_each(df: DataFrame, keys: list[str], kind: str, first: str, second: str, row: str) -> DataFrame:
     """J-9: per key the row of each of two kinds, where there is exactly one of either; keys, first, second."""
     one = lambda k: F.count_if(F.col(kind) == k) == 1

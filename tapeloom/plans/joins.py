@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tapeloom.functions import fuzzy, parse, text
 from tapeloom.operators import matching
-from tapeloom.plans.base import release_fields, show_fields
+from tapeloom.plans.base import release_fields, show_fields, show_tracks
 from tapeloom.plans.registry import Family
 from tapeloom.tables import table
 
@@ -143,6 +143,14 @@ def ambiguity_guarded_match(spark: SparkSession, d: str) -> DataFrame:
     return matching.only_best(n, ["artist_norm"], "shared").filter("shared >= 2").select("artist_norm", "other", "shared")
 
 
+@query("J-12", "SRC-17", "U-3")
+def reverse_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The other record of a show's city and date that its venue or songs point to, if only one does."""
+    songs = show_tracks(spark, d).groupBy("show_id").agg(F.collect_set(F.nullif(text.song_norm(F.col("title")), F.lit(""))).alias("songs"))
+    s = show_fields(spark, d).select("show_id", text.city_key(F.col("city")).alias("city"), "date", "venue").join(songs, "show_id", "left")
+    return matching.guarded_lookup(s, s.withColumnRenamed("show_id", "other"), ["city", "date"], "venue", "songs", "show_id", "other")
+
+
 @query("J-13", "O-11", sql="""with rules(remote, local) as (values ('/data', '/mnt/a'), ('/data/live', '/mnt/b'), ('/data/live/aud', '/mnt/c')),
  p as (select show_id, '/data/' || case source_type when 'AUD' then 'live/aud/' when 'SBD' then 'live/' else 'livestock/' end || coalesce(date, 'x') as path from {SHOWS}),
  h as (select *, row_number() over (partition by show_id order by length(remote) desc) as k from p join rules on path = remote or starts_with(path, remote || '/')) select show_id, path, local || substr(path, length(remote) + 1) as mapped from h where k = 1""")

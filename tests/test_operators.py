@@ -122,6 +122,15 @@ def test_best_within_a_date_by_brute_force(spark, small):
     assert want and {x["id"]: (x["show_id"], x["score"]) for x in joins.fuzzy_within_date(spark, small).collect()} == want
 
 
+def test_guarded_lookup(spark):
+    kind = "id long, city string, date string, venue string, songs array<string>"
+    left = spark.createDataFrame([(1, "c", "d", "Orvan Hall", ["a", "b", "c"]), (2, "c", "d", "Elsewhere", ["a", "b", "x"]), (3, "c", "d", None, ["a"]), (4, "", "d", "Orvan Hall", ["a"]), (5, "e", "d", "", ["p", "q"]), (6, "c", None, "Orvan Hall", None), (7, "f", "d", "Kesten Arena", None)], kind)
+    right = spark.createDataFrame([(10, "c", "d", "The Orvan Hall", ["a"]), (11, "c", "d", "Somewhere Other", ["a", "b", "c"]), (12, "e", "d", None, ["p", "q"]), (13, "e", "d", None, ["q", "p"]), (14, "f", "d", "Kesten Arenas", None), (15, "", "d", "Orvan Hall", ["a"])], kind).withColumnRenamed("id", "other")
+    got = {tuple(r) for r in matching.guarded_lookup(left, right, ["city", "date"], "venue", "songs", "id", "other").collect()}
+    # 1: its venue outweighs more songs elsewhere. 2: by songs. 3: one song is too few. 5: two are equal. 7: by venue alone.
+    assert got == {(1, 10, 1, "venue"), (2, 11, 2, "songs"), (7, 14, 0, "venue")}
+
+
 @pytest.mark.parametrize("sizes, limit, taken", [([6, 5, 4], 10, [True, False, True]), ([11, 10], 10, [False, True]), ([5, 5], 0, [True, True]), ([None, 10], 10, [True, True])])
 def test_budget(spark, sizes, limit, taken):
     df = spark.createDataFrame([("k", i, s) for i, s in enumerate(sizes)], "k string, o long, s long")
