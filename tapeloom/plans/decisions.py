@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tapeloom.functions import fuzzy, parse, text
-from tapeloom.operators import merging, places, predicates, sequences, shows
+from tapeloom.operators import merging, nested, places, predicates, sequences, shows
 from tapeloom.operators.alignment import align
 from tapeloom.plans import problems
 from tapeloom.plans.base import release_fields, show_fields, show_tracks
@@ -215,8 +215,6 @@ def learned_spellings(spark: SparkSession, d: str) -> DataFrame:
 @query("R-26", sql="""with s as (select distinct id, meta from shows where json_valid(meta)), p as (select id, json_array_length(meta->'$.parts') as n from s where json_type(meta->'$.parts') = 'ARRAY') select id as show_id, cast(n as bigint) as parts from p where n > 1""")
 def shows_of_parts(spark: SparkSession, d: str) -> DataFrame:
     """Shows whose parts are stored as a list, and how many."""
-    from tapeloom.operators import nested
-
     docs = shows.documents(spark, d)
     arr = F.try_variant_get(F.try_variant_get("doc", "$.parts", "variant"), "$", "array<variant>")
     return docs.select(F.col("id").alias("show_id"), F.size(arr).cast("long").alias("parts"), nested.is_null_item(F.try_variant_get("doc", "$.parts", "variant")).alias("none")).filter("not none and parts > 1").select("show_id", "parts")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tapeloom.functions import parse
 from tapeloom.operators import predicates
 from tapeloom.plans.base import release_fields, show_fields
 from tapeloom.plans.registry import FILLER_PARTS, Family
@@ -80,10 +81,14 @@ def input_router(spark: SparkSession, d: str) -> DataFrame:
     return release_fields(spark, d).select("id", F.when(item, "item").when(F.contains("release_id", F.lit(".")), "maybe").otherwise("text").alias("route"))
 
 
-@query("F-15", sql="select show_id, contains(folder_name, date) and trim(coalesce(city, '')) <> '' as trusted from {SHOWS} where date is not null")
+@query("F-15", sql="""with s as (select *, ltrim(regexp_extract(folder_name, '\\[[^\\]]*?([0-9]{6})\\]', 1), '0') as told, ltrim(coalesce(shnid, ''), '0') as own from {SHOWS})
+ select show_id, contains(folder_name, date) and trim(coalesce(city, '')) <> '' and (told = '' or own = '' or told = own) as trusted from s where date is not null""")
 def curated_agrees(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a record's date agrees with its folder's and its place says something."""
-    return show_fields(spark, d).filter("date is not null").select("show_id", (F.contains("folder_name", "date") & (F.trim(F.coalesce("city", F.lit(""))) != "")).alias("trusted"))
+    """Whether a record's date and number agree with its folder's and its place says something."""
+    bare = lambda c: F.ltrim(F.coalesce(c, F.lit("")), F.lit("0"))
+    told, own = bare(parse.shnid(F.col("folder_name"))), bare(F.col("shnid"))
+    same = (told == "") | (own == "") | (told == own)
+    return show_fields(spark, d).filter("date is not null").select("show_id", (F.contains("folder_name", "date") & (F.trim(F.coalesce("city", F.lit(""))) != "") & same).alias("trusted"))
 
 
 _FLAGS = f"""list_filter([case when state is null or trim(state) = '' then 'no state' end, case when regexp_matches(city, ' - |, ') then 'dash city' end, case when not regexp_matches(folder_name, '[\\[]') then 'no bracket' end,

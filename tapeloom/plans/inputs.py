@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeloom.functions.text import html_lines
-from tapeloom.operators import places
+from tapeloom.operators import places, predicates
 from tapeloom.plans.base import release_fields, show_fields, show_tracks
 from tapeloom.plans.problems import P1_TRACKS_SQL
 from tapeloom.plans.registry import Family
@@ -21,7 +21,7 @@ query = family.query
 @query("SRC-1", "SRC-2", "SRC-4")
 def folder_listing(spark: SparkSession, d: str) -> DataFrame:
     """The data folder's files by parent folder."""
-    return texts.newest_by_folder(texts.listing(spark, d, "*.parquet")).select("files", "bytes")
+    return texts.newest_by_folder(texts.listing(spark, d, "*.parquet").filter(predicates.visible(F.col("name")))).select("files", "bytes", "newest")
 
 
 @query("SRC-3", sql="select distinct id, regexp_extract(filed_path, '([^/]+)/[^/]+$', 1) as parent, regexp_extract(filed_path, '([^/]+)$', 1) as leaf from shows where filed_path is not null and filed_path <> '' and not regexp_matches(filed_path, '/[^/]*(19|20)[0-9][0-9]/')")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tapeloom.functions import fuzzy, parse, text
-from tapeloom.operators import matching
+from tapeloom.operators import matching, nested
 from tapeloom.plans.base import release_fields, show_fields, show_tracks
 from tapeloom.plans.registry import Family
 from tapeloom.tables import table
@@ -206,8 +206,6 @@ def gazetteer_completion(spark: SparkSession, d: str) -> DataFrame:
 def correction_application(spark: SparkSession, d: str) -> DataFrame:
     """Learned rules: the venue's name always, the city not where a trusted source gave it."""
     raw = table(spark, d, "shows").select(F.col("id").alias("show_id"), "meta", "provenance").distinct()
-    from tapeloom.operators import nested
-
     s = nested.parse_documents(raw, "meta").filter("doc is not null").select("show_id", nested.text_of(F.col("doc"), "venue").alias("sv"), nested.text_of(F.col("doc"), "city").alias("sc"), F.get_json_object("provenance", "$.venue").alias("src"))
     v = _known(spark, d).select(F.col("norm").alias("k"), F.col("venue").alias("vv"), F.nullif("city", F.lit("")).alias("vc"))
     j = s.withColumn("k", text.norm_key(F.col("sv"))).join(v, "k", "left")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from tapeloom.tables import cut, exists
 
 
 def export_json(df: DataFrame, path: str) -> None:
@@ -15,16 +17,9 @@ def append_new(df: DataFrame, ledger: str, key: str) -> DataFrame:
 
     The ledger is a Parquet folder. A batch that is replayed finds its keys there and appends nothing.
     """
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
-
     new = df.select(key).distinct()
-    try:
+    if exists(df.sparkSession, f"{ledger}/_SUCCESS"):
         new = new.join(df.sparkSession.read.parquet(ledger), key, "left_anti")
-    except (AnalysisException, Py4JJavaError):  # no ledger yet
-        pass
-    from tapeloom.tables import cut
-
     new = cut(new)
     new.write.mode("append").parquet(ledger)
     return new

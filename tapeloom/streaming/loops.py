@@ -6,6 +6,7 @@ the result as a table, with the checkpoint in the shared folder, so that a resta
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,13 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from tapeloom.tables import shared_folder
+from tapeloom.tables import exists, shared_folder
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
     """A table's files as a stream, in the order they came."""
-    import os
-
     path, glob = (f"{folder}/{name}.parquet", "*.parquet") if os.path.isdir(f"{folder}/{name}.parquet") else (folder, f"{name}.parquet")
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
@@ -74,7 +73,7 @@ def read_keyed(spark: SparkSession, home: str, schema: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(home)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    numbers = [int(n.rpartition("-")[2]) for n in names if n.startswith("snapshot-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{home}/{n}/_SUCCESS"))]
+    numbers = [int(n.rpartition("-")[2]) for n in names if n.startswith("snapshot-") and exists(spark, f"{home}/{n}/_SUCCESS")]
     paths = list(_snapshot(spark, home, max(numbers, default=-1)).values())
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
