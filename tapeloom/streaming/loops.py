@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -39,6 +40,16 @@ def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, in
     return spark.read.schema(stream.schema).parquet(f"{home}/out")
 
 
+def run_every(stream: DataFrame, home: str, every: str, mode: str = "append") -> StreamingQuery:
+    """T-1: starts a stream that looks for new rows every so often and appends them to ``home``/out; one run at a time.
+
+    A run that takes longer than the interval delays the next one, and missed ones are not made up for: what they would have
+    found is in the next. A restart with the same ``home`` goes on where the last run stopped.
+    """
+    w = stream.writeStream.option("checkpointLocation", f"{home}/checkpoint").trigger(processingTime=every)
+    return w.outputMode(mode).format("parquet").option("path", f"{home}/out").start()
+
+
 def keyed_table(home: str, key: str, schema: str, merge: Callable[[DataFrame], DataFrame], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """M-4, SNK-1: a function for :func:`drain` that upserts every batch into a table kept in ``home``, by buckets of the key.
 

@@ -37,6 +37,16 @@ def test_keyed_table_rewrites_touched_buckets_only(spark, tmp_path):
     assert sum("data-1" in r["path"] for r in spark.read.parquet(f"{home}/snapshot-1").collect()) == 1
 
 
+def test_runs_by_an_interval_and_goes_on(spark, tmp_path):
+    home, schema = f"file://{tmp_path}/run", "id long"
+    for part in range(2):
+        spark.range(part * 10, part * 10 + 10).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in.parquet")
+        q = loops.run_every(spark.readStream.schema(schema).parquet(f"{tmp_path}/in.parquet"), home, "1 second")
+        q.processAllAvailable()
+        q.stop()
+        assert rows(spark.read.schema(schema).parquet(f"{home}/out")) == {(i,) for i in range(part * 10 + 10)}
+
+
 def test_first_sight_within_a_time(spark, small):
     s = loops.file_stream(spark, small, "releases", spark.read.parquet(f"{small}/releases.parquet").schema).select("indexer", "release_id", F.col("first_seen").cast("timestamp").alias("t"))
     got = loops.drain(loops.first_sight(s, ["indexer", "release_id"], "t", "3650 days"))
